@@ -4,18 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import media, mixing, sharding
+from ripplegraph.llm import decontamination, media, mixing, pii, sharding
 from ripplegraph.llm.common import documents
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.personal_data(documents(spark, sf_dir))
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return got.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = media.text_image_features(documents(spark, sf_dir))
     return got.select("doc_id", "n_bytes", "payload_bytes", F.col("samples_sha256").alias("payload_sha256"), "tail_crc32", F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.sha2("tile", 256).alias("tile_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mixed(documents(spark, sf_dir).select("doc_id", "source"))
     return got.select("doc_id", "name", "units", "block", "slot", "release", "due", "place")
@@ -27,7 +41,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media, op7_mixing, op9_sharding)}
+    return {f.__name__: f for f in (op1_pii, op2_media, op3_decontamination, op7_mixing, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ripplegraph.llm.common import bounded_broadcast, new_folder
 
@@ -105,7 +106,7 @@ def manifest(spark: SparkSession, store: str, version: int | None = None) -> Dat
 
 def read(spark: SparkSession, store: str, version: int | None = None) -> DataFrame:
     """The stored rows with their shard."""
-    schema = spark.read.parquet(f"{store}/arrivals").drop("arrival").schema.add("shard", "int")
+    schema = spark.read.parquet(f"{store}/arrivals").drop("arrival").schema.add("shard", T.IntegerType())
     return spark.read.schema(schema).parquet(f"{store}/shards-{version or versions(spark, store)[-1]}")
 
 
