@@ -41,12 +41,12 @@ def seeds(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     items = benchmark.select("item_id", F.expr(word_hashes("text")).alias("words")).filter(F.size("words") >= LEAST_WORDS)
     longest = max(map(len, MASKS))
     short = sorted(r[0] for r in items.filter(F.size("words") < longest).select(F.size("words")).distinct().collect())
-    parts = [items.select("item_id", "words", F.posexplode(F.expr(_keys("words", n, m)))) for n, m in enumerate(MASKS)]
-    parts += [items.filter(F.size("words") == len(m)).select("item_id", "words", F.posexplode(F.expr(_keys("words", n, m)))) for n, m in _all_masks(short)[len(MASKS) :]]
+    parts = [items.select("item_id", "words", F.posexplode_outer(F.expr(_keys("words", n, m)))) for n, m in enumerate(MASKS)]
+    parts += [items.filter(F.size("words") == len(m)).select("item_id", "words", F.posexplode_outer(F.expr(_keys("words", n, m)))) for n, m in _all_masks(short)[len(MASKS) :]]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(F.col("col").alias("key"), "item_id", F.col("pos").alias("at"), "words"), short
+    return out.select(F.col("col").alias("key"), "item_id", F.col("pos").alias("at"), "words").filter("key is not null"), short
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -57,9 +57,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = max(1, -(-n // BLOCK_KEYS))
     found = None
     texts = docs.select("doc_id", F.expr(word_hashes("text")).alias("hs"))
+    # An outer explode: an inner one would have the optimizer compute the keys a second time, in a filter on their number.
     # All masks' keys in one array; a key's index tells its mask and window.
     widths = [f"greatest(0, size(hs) - {len(m) - 1})" for _, m in masks]
-    windows = texts.withColumn("keys", F.expr("concat(" + ", ".join(_keys("hs", k, m) for k, m in masks) + ")")).select("doc_id", "hs", F.posexplode("keys").alias("pos", "key"))
+    windows = texts.withColumn("keys", F.expr("concat(" + ", ".join(_keys("hs", k, m) for k, m in masks) + ")")).select("doc_id", "hs", F.posexplode_outer("keys").alias("pos", "key"))
     window = "pos"
     for k in range(len(masks) - 1, 0, -1):
         before = " + ".join(widths[:k])

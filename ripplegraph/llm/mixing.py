@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import partitions
+from ripplegraph.llm.common import bounded_broadcast, partitions, written
 
 #: Slots of one period, documents of one block.
 PERIOD, BLOCK = 1024, 16
@@ -25,6 +25,8 @@ PERIOD, BLOCK = 1024, 16
 MOST_GROUPS = 256
 #: The default target: shares in proportion to count ** TEMPERATURE.
 TEMPERATURE = 0.5
+#: Sources whose names may be broadcast.
+BROADCAST_NAMES = 100_000
 #: Rows of a source that are ranked together, and parts of a source at most.
 RANKED_ROWS, MOST_PARTS = 1000, 4096
 
@@ -73,14 +75,15 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK,
     """docs with name, block, slot, release, due and place (in the block): their order is that of (slot, place)."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     parts = max(1, min(MOST_PARTS, -(-docs.count() // RANKED_ROWS)))
-    groups = source_groups(docs, weights, period)
-    plan = schedule(groups, period)
-    # Groups are bounded; names are not, so only the sources' own table (a row each) is joined by name.
-    table = docs.withColumn("mix_name", source_name()).join(groups.select(F.col("name").alias("mix_name"), F.col("g").alias("mix_g")), "mix_name")
+    groups = written(source_groups(docs, weights, period), "mix-groups")
+    plan = written(schedule(groups, period), "mix-plan")
+    # Groups are bounded; names need not be: a long list of them is joined by a shuffle.
+    names = bounded_broadcast(groups.select(F.col("name").alias("mix_name"), F.col("g").alias("mix_g")), BROADCAST_NAMES)
+    table = docs.withColumn("mix_name", source_name()).join(names, "mix_name")
     table = table.withColumn("mix_key", key).withColumn("mix_part", F.floor(F.conv(F.substring("mix_key", 1, 4), 16, 10).cast("bigint") * parts / 65536).cast("int"))
     in_part = Window.partitionBy("mix_g", "mix_part")
     ranked = table.withColumn("mix_rank", F.row_number().over(in_part.orderBy("mix_key", "doc_id")))
-    counts = docs.withColumn("mix_name", source_name()).join(groups.select(F.col("name").alias("mix_name"), F.col("g").alias("mix_g")), "mix_name")
+    counts = docs.withColumn("mix_name", source_name()).join(names, "mix_name")
     counts = counts.withColumn("mix_part", F.floor(F.conv(F.substring(key, 1, 4), 16, 10).cast("bigint") * parts / 65536).cast("int")).groupBy("mix_g", "mix_part").agg(F.count(F.lit(1)).alias("rows"))
     before = counts.withColumn("before", F.sum("rows").over(Window.partitionBy("mix_g").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1))).select("mix_g", "mix_part", F.coalesce("before", F.lit(0)).alias("before"))
     placed = ranked.join(before, ["mix_g", "mix_part"]).withColumn("mix_at", F.col("before") + F.col("mix_rank") - 1)
