@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import decontamination, media, mixing, pii, sharding
+from ripplegraph.llm import decontamination, language, media, mixing, pii, sharding, token_counts
 from ripplegraph.llm.common import documents
 
 
@@ -17,7 +17,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans: str) -> Column:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
     return got.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
@@ -30,6 +30,20 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = language.identified(language.document_rows(documents(spark, sf_dir)))
+    return got.select("doc_id", "declared", "language", "confidence", "kept")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = language.identified(language.page_rows(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return got.select("page_id", "declared", "suffix", "host", "language", "confidence", "kept")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mixed(documents(spark, sf_dir).select("doc_id", "source"))
     return got.select("doc_id", "name", "units", "block", "slot", "release", "due", "place")
@@ -41,7 +55,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_media, op3_decontamination, op7_mixing, op9_sharding)}
+    return {f.__name__: f for f in (op1_pii, op2_media, op3_decontamination, op5_language_id, language_id_pages, op6_token_counts, op7_mixing, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
