@@ -10,6 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -44,7 +45,7 @@ def _up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words(NamedTuple):
-    """data: the slice's bytes, lower case; start, end, hash: by word; doc: a word's row in the slice; first: each row's first word, then the number of words."""
+    """data: the slice's bytes, lower case if asked for; start, end, hash: by word; doc: a word's row in the slice; first: each row's first word, then the number of words."""
 
     data: np.ndarray
     start: np.ndarray
@@ -63,9 +64,9 @@ def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(text.buffers()[2], dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def words(text: pa.Array) -> Words:
+def words(text: pa.Array, lower: bool = True) -> Words:
     data, at = raw(text)
-    data = _LOWER[data]
+    data = _LOWER[data] if lower else data
     n = len(data)
     if not n:
         none = np.zeros(0, dtype=np.int64)
@@ -89,7 +90,7 @@ def words(text: pa.Array) -> Words:
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `most` bytes of text (a longer row stands alone), so that arrays stay small."""
-    size = np.asarray(pa.compute.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0))
+    size = np.asarray(pc.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0))
     bound, i = np.cumsum(size), 0
     while i < batch.num_rows:
         before = bound[i - 1] if i else 0
