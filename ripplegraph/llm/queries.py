@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import decontamination, language, media, mixing, pii, sharding, token_counts
+from ripplegraph.llm import decontamination, html_text, language, media, mixing, pii, sharding, token_counts
 from ripplegraph.llm.common import documents
 
 
@@ -49,13 +49,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "name", "units", "block", "slot", "release", "due", "place")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, version = sharding.sharded(documents(spark, sf_dir))
     return sharding.read(spark, store, version).select("doc_id", F.col("shard").cast("bigint").alias("shard"), F.sha2("text", 256).alias("text_sha256"), F.lit(version).cast("bigint").alias("version"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_media, op3_decontamination, op5_language_id, language_id_pages, op6_token_counts, op7_mixing, op9_sharding)}
+    return {f.__name__: f for f in (op1_pii, op2_media, op3_decontamination, op5_language_id, language_id_pages, op6_token_counts, op7_mixing, op8_html_text, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
