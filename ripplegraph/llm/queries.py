@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import decontamination, html_text, language, media, mixing, pii, sharding, token_counts
+from ripplegraph.llm import decontamination, html_text, language, media, mixing, near_duplicates, pii, sharding, token_counts
 from ripplegraph.llm.common import documents
 
 
@@ -58,8 +58,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.read(spark, store, version).select("doc_id", F.col("shard").cast("bigint").alias("shard"), F.sha2("text", 256).alias("text_sha256"), F.lit(version).cast("bigint").alias("version"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_media, op3_decontamination, op5_language_id, language_id_pages, op6_token_counts, op7_mixing, op8_html_text, op9_sharding)}
+    return {f.__name__: f for f in (op1_pii, op2_media, op3_decontamination, op5_language_id, language_id_pages, op6_token_counts, op7_mixing, op8_html_text, op9_sharding, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
