@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import decontamination, html_text, language, media, mixing, near_duplicates, pii, sharding, token_counts
+from ripplegraph.llm import decontamination, html_text, language, language_model, media, mixing, near_duplicates, pii, sharding, token_counts
 from ripplegraph.llm.common import documents
 
 
@@ -30,6 +30,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = language.identified(language.document_rows(documents(spark, sf_dir)))
     return got.select("doc_id", "declared", "language", "confidence", "kept")
@@ -62,8 +66,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_media, op3_decontamination, op5_language_id, language_id_pages, op6_token_counts, op7_mixing, op8_html_text, op9_sharding, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_pii, op2_media, op3_decontamination, op4_language_model, op5_language_id, language_id_pages, op6_token_counts, op7_mixing, op8_html_text, op9_sharding, op10_near_duplicates, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,28 +33,28 @@ def append(docs: DataFrame, store: str) -> None:
 
 
 def sizes(arrivals: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each arrived shard: its rows, bytes of text and smallest id."""
-    return arrivals.groupBy("arrival").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")).alias("bytes"), F.min("doc_id").alias("least"))
+    """A row for each arrived shard: its rows and bytes of text."""
+    return arrivals.groupBy("arrival").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")).alias("bytes"))
 
 
 def merge_once(shards: DataFrame, target: int = TARGET_BYTES, fanout: int = FANOUT) -> DataFrame:
-    """One round over (shard, n, bytes, least, arrivals): in each tier with `fanout` shards or more, neighbours by least id become one shard up to the target size.
+    """One round over (shard, n, bytes, arrivals): in each tier with `fanout` shards or more, neighbours in the order of arrival become one shard up to the target size.
 
     A tier is dealt into runs by its running sum of sizes; a run leaves room for the shard that crosses its end, so
     that no merge passes the target."""
     tier = F.when(F.col("bytes") * 2 > target, -1).otherwise(F.floor(F.log(float(fanout), F.greatest(F.col("bytes"), F.lit(UNIT_BYTES)) / F.lit(UNIT_BYTES)))).cast("int")
     in_tier = Window.partitionBy("tier")
-    run = Window.partitionBy("tier").orderBy("least", "shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy("tier").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     room = F.greatest(F.lit(1), F.lit(target) - F.max("bytes").over(in_tier))
     dealt = shards.withColumn("tier", tier).withColumn("many", F.count(F.lit(1)).over(in_tier)).withColumn("run", F.floor((F.sum("bytes").over(run) - F.col("bytes")) / room))
     alone = (F.col("tier") < 0) | (F.col("many") < fanout)
     dealt = dealt.withColumn("run", F.when(alone, F.col("shard").cast("bigint")).otherwise(F.col("run"))).withColumn("alone", alone)
-    return dealt.groupBy("tier", "alone", "run").agg(F.min("shard").alias("shard"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("least").alias("least"), F.flatten(F.collect_list("arrivals")).alias("arrivals")).drop("tier", "alone", "run")
+    return dealt.groupBy("tier", "alone", "run").agg(F.min("shard").alias("shard"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.flatten(F.collect_list("arrivals")).alias("arrivals")).drop("tier", "alone", "run")
 
 
 def merge_plan(shards: DataFrame, target: int = TARGET_BYTES, fanout: int = FANOUT) -> DataFrame:
     """arrival, shard: where each arrived shard ends after all rounds. The table has a row for each shard, none for a document."""
-    now = shards.select(F.col("arrival").alias("shard"), "n", "bytes", "least", F.array("arrival").alias("arrivals"))
+    now = shards.select(F.col("arrival").alias("shard"), "n", "bytes", F.array("arrival").alias("arrivals"))
     for _ in range(1 + math.ceil(math.log(max(2, target / UNIT_BYTES), fanout))):
         now = merge_once(now, target, fanout)
     return now.select(F.explode("arrivals").alias("arrival"), "shard")
