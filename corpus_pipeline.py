@@ -35,7 +35,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stored in compacted shards: doc_id, source, shard and the manifest's version."""
     store, version = sharding.sharded(docs)
-    return sharding.read(spark, store, version).select("doc_id", "source", F.col("shard").cast("bigint").alias("shard"), F.lit(version).cast("bigint").alias("version"))
+    return sharding.read(spark, store, version).select("row.doc_id", "row.source", F.col("shard").cast("bigint").alias("shard"), F.lit(version).cast("bigint").alias("version"))
 
 
 STAGES = [

@@ -84,4 +84,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold an item."""
     leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leaked_id"]), "left_anti")

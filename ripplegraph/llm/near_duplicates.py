@@ -187,4 +187,4 @@ def one_text(own: DataFrame, seen: DataFrame, width: int) -> DataFrame:
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """docs (the columns they had) without the near-duplicates of a document with a smaller id."""
     gone = near_duplicates(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")

@@ -59,7 +59,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, version = sharding.sharded(documents(spark, sf_dir))
-    return sharding.read(spark, store, version).select("doc_id", F.col("shard").cast("bigint").alias("shard"), F.sha2("text", 256).alias("text_sha256"), F.lit(version).cast("bigint").alias("version"))
+    return sharding.read(spark, store, version).select("row.doc_id", F.col("shard").cast("bigint").alias("shard"), F.sha2("row.text", 256).alias("text_sha256"), F.lit(version).cast("bigint").alias("version"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ planned on the shards' sizes alone and carried out once, each document being rew
 which names the files and sizes of every live shard, is written beside the old one and takes effect by one rename.
 
 Cases: an empty table commits a manifest without shards; null, empty, repeated and very long rows are kept as they are
-(a document of more than the target size makes a shard over the target); extra columns are stored too; a column named
-like one of the shard's own (arrival, shard) is refused with a ValueError."""
+(a document of more than the target size makes a shard over the target); extra columns of any name are stored too, for a
+document is stored as one struct, `row`, beside its shard."""
 
 from __future__ import annotations
 
@@ -27,12 +27,10 @@ BROADCAST_ROWS = 1_000_000
 
 def append(docs: DataFrame, store: str) -> None:
     """Add the rows of docs to the store's arrivals: each task writes one immutable shard, known by the task's number."""
-    if clash := {"arrival", "shard"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} are the shard's own")
-    docs.withColumn("arrival", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{store}/arrivals")
+    docs.select(F.struct("*").alias("row"), F.spark_partition_id().alias("arrival")).write.option("compression", "zstd").parquet(f"{store}/arrivals")
 
 
-def sizes(arrivals: DataFrame, text: str = "text") -> DataFrame:
+def sizes(arrivals: DataFrame, text: str = "row.text") -> DataFrame:
     """A row for each arrived shard: its rows and bytes of text."""
     return arrivals.groupBy("arrival").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")).alias("bytes"))
 
@@ -105,7 +103,7 @@ def manifest(spark: SparkSession, store: str, version: int | None = None) -> Dat
 
 
 def read(spark: SparkSession, store: str, version: int | None = None) -> DataFrame:
-    """The stored rows with their shard."""
+    """row (a struct of the stored columns) and shard."""
     schema = spark.read.parquet(f"{store}/arrivals").drop("arrival").schema.add("shard", T.IntegerType())
     return spark.read.schema(schema).parquet(f"{store}/shards-{version or versions(spark, store)[-1]}")
 
