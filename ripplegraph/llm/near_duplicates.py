@@ -5,9 +5,11 @@ sets form a class, and one of them stands for it. Two sets of a similarity of 0.
 sketches of 64 values the chance of fewer is below 1e-4 at 0.8 exactly, and far less above; a set no larger
 than its sketch leaves no chance). Such sketches share one of their rarest values: only those enter the inverted lists, which
 keeps passages that many documents share out of them. In every list the member whose values are the most frequent is
-the centre: first each member is compared with the centre, and only members that the links found so far leave
-apart are compared with one another. A pair is estimated from the union of its sketches, and what may reach the
-threshold is confirmed on the full sets, made again from the whole texts.
+the centre, and each member is compared with it. Members that these links leave apart get sketches of LONG values (the whole set, for
+most), from which again the rarest enter lists: of a list only those pairs are taken in which enough values follow the shared one
+in both orders to reach the threshold, so that a large group of texts that are nearly, but not quite, alike gives few pairs.
+A pair is estimated from the union of its sketches, and what may reach the threshold is confirmed on the full sets,
+made again from the whole texts.
 
 Cases: texts without words have no set and stay alone; a text of fewer words than a shingle has one shingle, all of them;
 a null doc_id is linked with nothing, has a null component and is kept; rows that repeat a doc_id are one node, and each of them is returned;
@@ -29,6 +31,8 @@ from ripplegraph.llm.words import U, Words, mixed, slices, words
 #: Words of a shingle, percent of similarity.
 SHINGLE, PERCENT = 4, 80
 SKETCH, NEED = 64, 0.6
+#: The second sketch: sets of up to LONG values are whole in it; a larger one shares NEED_LONG of it (five standard deviations).
+LONG, NEED_LONG = 1024, 0.7375
 #: Values known by their frequency (the most frequent ones); all others count as equally rare.
 RANKED_VALUES, FREQUENT = 1_000_000, 24
 #: Estimates may fall short of the threshold by so much.
@@ -73,11 +77,16 @@ def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, f bigint, g bigint, sketch array<bigint>")
 
 
-def rare_values(classes: DataFrame) -> DataFrame:
-    """id, f, n, value, weight: each class's rarest sketch values, and how frequent all of its values are."""
-    counts = classes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= FREQUENT)
-    top = counts.orderBy(F.desc("c"), "value").limit(RANKED_VALUES).toPandas().sort_values("value")
-    spec = classes.sparkSession.sparkContext.broadcast((top["value"].to_numpy(dtype=np.int64), top["c"].to_numpy(dtype=np.int64)))
+def ranked_values(sets: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of `sketch` that at least `least` rows have, and how many: the RANKED_VALUES most frequent ones, by value."""
+    counts = sets.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= least)
+    top = counts.orderBy(F.desc("c"), "value").limit(RANKED_VALUES).toArrow().combine_chunks().sort_by("value")
+    return top.column("value").to_numpy(), top.column("c").to_numpy()
+
+
+def rare_values(sets: DataFrame, least: int, long: bool = False, percent: int = PERCENT) -> DataFrame:
+    """id, f, n, root, value, i, s, weight: each row's rarest sketch values with their places in its order, the sketch's size, and how frequent all its values are."""
+    spec = sets.sparkSession.sparkContext.broadcast(ranked_values(sets, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = spec.value
@@ -90,17 +99,34 @@ def rare_values(classes: DataFrame) -> DataFrame:
             if len(known):
                 p = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                 c = np.where(known[p] == flat, often[p], c)
-            row = np.repeat(np.arange(len(lists)), np.diff(at))
-            order = np.lexsort((flat, c, row))
             size = np.diff(at)
-            take = size - np.ceil(size * NEED).astype(np.int64) + 1
-            first = order[(np.arange(len(flat)) - at[row]) < take[row]]
+            row = np.repeat(np.arange(len(lists)), size)
+            order = np.lexsort((flat, c, row))
+            need = np.ceil(size * (np.where(np.asarray(batch.column("n")) > 0.8 * LONG, NEED_LONG, percent / 100) - 1e-9 if long else NEED))
+            place = np.arange(len(flat)) - at[row]
+            take = place < (size - need + 1)[row]
+            first = order[take]
             weight = np.bincount(row, weights=c, minlength=len(lists)) / np.maximum(1, size)
             of = pa.array(row[first])
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("f").take(of), batch.column("n").take(of), pa.array(flat[first]), pa.array(weight[row[first]])], names=["id", "f", "n", "value", "weight"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x).take(of) for x in ("id", "f", "n", "root")), pa.array(flat[first]), pa.array(place[take]), pa.array(size[row[first]].astype(np.int64)), pa.array(weight[row[first]])], names=["id", "f", "n", "root", "value", "i", "s", "weight"])
 
-    kind = dict(classes.dtypes)["id"]
-    return classes.select("id", "f", "n", "sketch").mapInArrow(run, f"id {kind}, f bigint, n bigint, value bigint, weight double")
+    kind = dict(sets.dtypes)["id"]
+    return sets.select("id", "f", "n", "root", "sketch").mapInArrow(run, f"id {kind}, f bigint, n bigint, root {kind}, value bigint, i bigint, s bigint, weight double")
+
+
+def long_sketches(rows: DataFrame, width: int) -> DataFrame:
+    """rows (id, f, n, root, text) with sketch, the LONG smallest values, for text."""
+    kept = [c for c in rows.columns if c != "text"]
+    types = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sketch = [x[:LONG] for x in shingle_sets(words(part.column("text")), width)]
+                at = np.concatenate([[0], np.cumsum([len(x) for x in sketch])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.ListArray.from_arrays(at, np.concatenate(sketch) if sketch else np.zeros(0, dtype=np.int64))], names=[*kept, "sketch"])
+
+    return rows.select(*kept, "text").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in kept) + ", sketch array<bigint>")
 
 
 def _like(percent: int) -> str:
@@ -138,18 +164,21 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     seen = written(sketches(docs, width), "sketches")
     usable = seen.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(usable.groupBy("f", "g").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    lists = rare_values(classes)
+    lists = rare_values(classes.withColumn("root", F.col("id")), FREQUENT).drop("root", "i", "s")
     centre = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", "id", "f", "n")).alias("c")).filter("size > 1")
-    lists = written(lists.join(centre.select("value", "c"), "value").select("value", "id", "f", "n", "c.weight", F.col("c.id").alias("cid"), F.col("c.f").alias("cf"), F.col("c.n").alias("cn")), "lists")
+    lists = written(lists.join(centre.select("value", "c"), "value").select("value", "id", "f", "n", F.col("c.id").alias("cid"), F.col("c.f").alias("cf"), F.col("c.n").alias("cn")), "lists")
     texts = docs.select(F.col("doc_id"), "text")
 
+    def with_text(ends: DataFrame) -> DataFrame:
+        """ends (id, f and more) with the text of a row that has the id and the set."""
+        rows = seen.select(F.col("doc_id").alias("id"), "f").join(ends.select("id", "f").distinct(), ["id", "f"], "left_semi").distinct()
+        own = rows.join(texts, F.col("id") == F.col("doc_id")).select("id", "f", "text")
+        return ends.join(one_text(own, seen, width), ["id", "f"])
+
     def linked(pairs: DataFrame, step: str) -> DataFrame:
         likely = written(estimated(pairs, classes, percent), f"likely-{step}")
         ends = likely.select(F.col("a").alias("id"), F.col("fa").alias("f")).union(likely.select("b", "fb")).distinct()
-        # A class's text is that of a row with its representative's id and its set.
-        rows = seen.select(F.col("doc_id").alias("id"), "f").join(ends, ["id", "f"], "left_semi").distinct()
-        own = rows.join(texts, F.col("id") == F.col("doc_id")).select("id", "f", "text")
-        return written(confirmed(likely, one_text(own, seen, width), percent, width), f"links-{step}")
+        return written(confirmed(likely, with_text(ends), percent, width), f"links-{step}")
 
     stars = lists.filter(f"NOT (id = cid AND f = cf) AND 100 * least(n, cn) >= {percent} * greatest(n, cn)").select(F.col("cid").alias("a"), F.col("cf").alias("fa"), F.col("id").alias("b"), F.col("f").alias("fb")).distinct()
     first = linked(stars, "stars")
@@ -157,11 +186,14 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     again = usable.join(same_id.select("doc_id"), "doc_id", "left_semi").join(classes.select("f", "g", "id"), ["f", "g"]).select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     edges = written(first.select(F.col("a").alias("u"), F.col("b").alias("v")).union(again), "all-edges")
     roots = components(edges)
-    # Lists whose members are still apart: all pairs of different components, the centre's pairs being done.
+    # Lists with members that are still apart, besides the centre, whose pairs are done.
     named = lists.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     apart = named.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi AND m > 2").select("value")
-    named = written(named.join(apart, "value", "left_semi").filter("NOT (id = cid AND f = cf)"), "apart")
-    rest = named.alias("a").join(named.alias("b"), F.expr(f"a.value = b.value AND a.root < b.root AND {_like(percent)}"))
+    left = written(named.join(apart, "value", "left_semi").select("id", "f", "n", "root").distinct(), "apart")
+    long = written(rare_values(written(long_sketches(with_text(left), width), "long"), 2, True, percent).drop("weight"), "long-lists")
+    # Values that follow the shared one, itself included, bound what a pair whose first shared value it is can have in common.
+    enough = f"CASE WHEN a.n <= {LONG} AND b.n <= {LONG} THEN {100 + percent} * least(a.n - a.i, b.n - b.i) >= {percent} * (a.n + b.n) ELSE least(a.s - a.i, b.s - b.i) >= {NEED_LONG} * least(a.s, b.s) END"
+    rest = long.alias("a").join(long.alias("b"), F.expr(f"a.value = b.value AND a.root < b.root AND {_like(percent)} AND {enough}"))
     rest = rest.select(F.col("a.id").alias("a"), F.col("a.f").alias("fa"), F.col("b.id").alias("b"), F.col("b.f").alias("fb")).distinct()
     second = linked(rest, "rest")
     if second.isEmpty():
