@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.llm import decontamination, html_text, language, language_model, media, mixing, near_duplicates, pii, sharding, token_counts
 from ripplegraph.llm.common import documents
+from ripplegraph.llm.oracles import ORACLES
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
