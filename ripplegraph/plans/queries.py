@@ -11,6 +11,7 @@ from ripplegraph.functions import paths
 from ripplegraph.operators import architecture as arch
 from ripplegraph.operators import assessment, changes, evidence, graph, selection
 from ripplegraph.schema import MAX_DEPTH, MAX_IMPACTED, evidence_name
+from ripplegraph.session import written
 from ripplegraph.sources.adapters import load, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,7 +97,8 @@ def impact_sql(root: str, cap: int, depth: int = MAX_DEPTH) -> str:
 
 
 def _impact(t: Tables, root: str, cap: int = MAX_IMPACTED) -> DataFrame:
-    got = graph.impact(graph_of(t), t.spark.createDataFrame([(root,)], "id string"), max_impacted=cap)
+    # The traversal scans the graph once for each level: it is deduplicated once, before.
+    got = graph.impact(written(graph_of(t), "graph"), t.spark.createDataFrame([(root,)], "id string"), max_impacted=cap)
     return got.reached.drop("hops")
 
 
@@ -126,12 +128,12 @@ def many_sql(depth: int) -> str:
 @query(many_sql(2))
 def impact_of_every_part(t: Tables) -> DataFrame:
     roots = t.part.select(F.col("p_partkey").alias("query"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
-    return graph.impact_many(graph_of(t), roots, 2)
+    return graph.impact_many(written(graph_of(t), "graph"), roots, 2)
 
 
 @query()
 def dependency_path(t: Tables) -> DataFrame:
-    return graph.dependency_path(graph_of(t), "orders:1", "region:1")
+    return graph.dependency_path(written(graph_of(t), "graph"), "orders:1", "region:1")
 
 
 CLOSURE = "c AS (SELECT id, parent AS ancestor, 1 AS distance FROM {sym} WHERE parent IS NOT NULL UNION ALL SELECT c.id, s.parent, c.distance + 1 FROM c JOIN {sym} s ON c.ancestor = s.id WHERE s.parent IS NOT NULL)"
