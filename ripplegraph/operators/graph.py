@@ -202,3 +202,36 @@ def top_by_depth(reached: DataFrame, cap: int) -> DataFrame:
 def ranked(df: DataFrame, group: list[str], *order) -> DataFrame:
     """The first row of each group in a total order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter("_rn = 1").drop("_rn")
+
+
+def path_either_way(edges: DataFrame, source: str, target: str, max_depth: int = PATH_DEPTH) -> DataFrame:
+    """The path from source to target or, where there is none, the one back; reversed tells which."""
+    there = dependency_path(edges, source, target, max_depth)
+    if source == target or not there.isEmpty():
+        return there.withColumn("reversed", F.lit(False))
+    return dependency_path(edges, target, source, max_depth).withColumn("reversed", F.lit(True))
+
+
+def reaching(edges: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """id, depth: what depends on any of the targets (id) by edges other than containment, with the fewest steps; targets have 0.
+
+    Both sets stay on the cluster; each level is one join and one anti-join on written tables."""
+    back = edges.filter("kind <> 'CONTAINS'").select(F.col("t").alias("n"), F.col("f").alias("nxt")).distinct()
+    level = written(targets.select("id", F.lit(0).alias("depth")).distinct(), "reach")
+    seen = level
+    for d in range(1, max_depth + 1):
+        nxt = back.join(level, F.col("n") == F.col("id")).select(F.col("nxt").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        level = written(nxt.select("id", F.lit(d).alias("depth")), "reach")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen
+
+
+def overrides(methods: DataFrame, supers: DataFrame) -> DataFrame:
+    """f, t, strength: the nearest method up the hierarchy (owner, above, distance) with the name and the erased parameters of a method (id, owner, name, params, signature);
+    exact (5) if the signatures are equal, else inferred (3)."""
+    up = methods.select(F.col("owner").alias("above"), "name", "params", F.col("id").alias("t"), F.col("signature").alias("theirs"))
+    both = methods.join(supers, "owner").join(up, ["above", "name", "params"])
+    best = both.groupBy(F.col("id").alias("f")).agg(F.min(F.struct("distance", "t", F.when(F.col("signature") == F.col("theirs"), 5).otherwise(3).alias("strength"))).alias("x"))
+    return best.select("f", F.col("x.t").alias("t"), F.col("x.strength").alias("strength"))

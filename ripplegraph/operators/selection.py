@@ -112,3 +112,16 @@ def nearest_ranks(samples: DataFrame, group: str, value: str) -> DataFrame:
     r = samples.withColumn("k", F.row_number().over(w.orderBy(value))).withColumn("n", F.count(F.lit(1)).over(w))
     at = lambda p: F.max(F.when(F.col("k") == F.ceil(F.col("n") * p / 100), F.col(value)))
     return r.groupBy(group).agg(F.max("n").alias("n"), at(50).alias("p50"), at(95).alias("p95"), F.min(value).alias("low"), F.max(value).alias("high"))
+
+
+#: Reasons to run every test, by how sure they are: fixed values.
+HIGH_REASONS = ("MIGRATION", "LOCKFILE", "BUILD_FILE", "CHANGED_FILE_NOT_UNDERSTOOD", "IMPACT_TRUNCATED", "NO_TEST_EVIDENCE")
+MEDIUM_REASONS = ("CI", "CONTAINER", "CONFIG", "RESOURCE", "UNRESOLVED_REFERENCE", "UNSUPPORTED_FILE_CHANGED", "CHANGED_CODE_WITHOUT_COVERAGE", "STALE_COVERAGE")
+
+
+def fallback_reasons(files: DataFrame, more: DataFrame) -> DataFrame:
+    """reason, severity, n, example: changed files (path, category, status) and other observations (reason, example) that speak against a selection."""
+    reason = F.when(F.col("category") == "BUILD", "BUILD_FILE").when(F.col("category").isNotNull(), F.col("category")).when(F.col("status").isin("TOO_LARGE", "BINARY", "SYNTAX_ERRORS"), "CHANGED_FILE_NOT_UNDERSTOOD").when(F.col("status") == "UNSUPPORTED", "UNSUPPORTED_FILE_CHANGED")
+    every = files.select(reason.alias("reason"), F.col("path").alias("example")).unionByName(more.select("reason", "example")).filter("reason is not null")
+    severity = F.when(F.col("reason").isin(*HIGH_REASONS), "HIGH").when(F.col("reason").isin(*MEDIUM_REASONS), "MEDIUM").otherwise("LOW")
+    return every.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("example").alias("example")).select("reason", severity.alias("severity"), "n", "example")

@@ -697,3 +697,36 @@ def what_if(t: Tables) -> DataFrame:
 def tests_reaching(t: Tables) -> DataFrame:
     got = _impact(t, "part:7").filter("strength >= 4").select("id", "depth")
     return got.join(t.sym.filter("is_test").select("id"), "id", "left_semi")
+
+
+REACH = f"WITH e AS MATERIALIZED (SELECT DISTINCT f, t FROM {GRAPH} g WHERE kind <> 'CONTAINS'), r0 AS (SELECT concat('part:', cast(p_partkey as string)) AS id, 0 AS depth FROM {{part}} WHERE p_size = 1), r1 AS (SELECT * FROM r0 UNION ALL SELECT DISTINCT f, 1 FROM e WHERE t IN (SELECT id FROM r0) AND f NOT IN (SELECT id FROM r0)), r2 AS (SELECT * FROM r1 UNION ALL SELECT DISTINCT f, 2 FROM e WHERE t IN (SELECT id FROM r1) AND f NOT IN (SELECT id FROM r1))"
+
+
+@query(f"{REACH} SELECT r.id, depth FROM r2 r JOIN {{sym}} s ON s.id = r.id WHERE s.is_test")
+def critical_reach(t: Tables) -> DataFrame:
+    """Tests from which a critical symbol is at most two steps away."""
+    critical = t.part.filter("p_size = 1").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
+    return graph.reaching(written(graph_of(t), "graph"), critical, 2).join(t.sym.filter("is_test").select("id"), "id", "left_semi")
+
+
+METHODS = "SELECT p_partkey AS id, p_brand AS owner, concat('m', cast(p_partkey % 4 as string)) AS name, cast(p_size % 2 as string) AS params, cast(p_size % 4 as string) AS signature FROM {part}"
+SUPERS = "SELECT a.b AS owner, c.b AS above, cast(cast(right(a.b, 1) as int) - cast(right(c.b, 1) as int) as int) AS distance FROM (SELECT DISTINCT p_brand AS b FROM {part}) a JOIN (SELECT DISTINCT p_brand AS b FROM {part}) c ON left(a.b, length(a.b) - 1) = left(c.b, length(c.b) - 1) AND right(c.b, 1) < right(a.b, 1)"
+
+
+@query(f"SELECT f, t, strength FROM (SELECT m.id AS f, u.id AS t, CASE WHEN m.signature = u.signature THEN 5 ELSE 3 END AS strength, row_number() OVER (PARTITION BY m.id ORDER BY s.distance, u.id) AS rn FROM ({METHODS}) m JOIN ({SUPERS}) s ON m.owner = s.owner JOIN ({METHODS}) u ON u.owner = s.above AND u.name = m.name AND u.params = m.params) x WHERE rn = 1")
+def overrides(t: Tables) -> DataFrame:
+    return graph.overrides(t.spark.sql(METHODS, part=t.part), t.spark.sql(SUPERS, part=t.part))
+
+
+REASON = f"CASE {' '.join(f"WHEN regexp_matches(lower(path), '{p}') THEN '{'BUILD_FILE' if n == 'BUILD' else n}'" for n, p in paths.CATEGORIES)} WHEN id % 5 = 0 THEN 'UNSUPPORTED_FILE_CHANGED' END"
+
+
+@query(f"SELECT reason, CASE WHEN reason IN {selection.HIGH_REASONS} THEN 'HIGH' ELSE 'MEDIUM' END AS severity, count(*) AS n, min(path) AS example FROM (SELECT {REASON} AS reason, path FROM ({NAMES}) p UNION ALL SELECT 'IMPACT_TRUNCATED', 'x') q WHERE reason IS NOT NULL GROUP BY reason")
+def fallback_reasons(t: Tables) -> DataFrame:
+    files = t.spark.sql(NAMES, part=t.part).select("path", paths.category("path").alias("category"), F.when(F.col("id") % 5 == 0, "UNSUPPORTED").otherwise("INDEXED").alias("status"))
+    return selection.fallback_reasons(files, t.spark.createDataFrame([("IMPACT_TRUNCATED", "x")], "reason string, example string"))
+
+
+@query()
+def path_either_way(t: Tables) -> DataFrame:
+    return graph.path_either_way(written(graph_of(t), "graph"), "region:1", "orders:1")
