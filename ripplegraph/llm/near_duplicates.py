@@ -6,7 +6,8 @@ sketches of 64 values the chance of fewer is below 1e-4 at 0.8 exactly, and far
 than its sketch leaves no chance). Such sketches share one of their rarest values: only those enter the inverted lists, which
 keeps passages that many documents share out of them. In every list the member whose values are the most frequent is
 the centre, and each member is compared with it. Members that these links leave apart get sketches of LONG values (the whole set, for
-most), from which again the rarest enter lists: of a list only those pairs are taken in which enough values follow the shared one
+most), from which again the rarest enter lists. Each is compared with its lists' new centres, and only what is then still
+apart with one another: of a list only those pairs are taken in which enough values follow the shared one
 in both orders to reach the threshold, so that a large group of texts that are nearly, but not quite, alike gives few pairs.
 A pair is estimated from the union of its sketches, and what may reach the threshold is confirmed on the full sets,
 made again from the whole texts.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import written
+from ripplegraph.llm.common import most_frequent, written
 from ripplegraph.llm.components import components
 from ripplegraph.llm.words import U, Words, mixed, slices, words
 
@@ -78,9 +79,9 @@ def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def ranked_values(sets: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values of `sketch` that at least `least` rows have, and how many: the RANKED_VALUES most frequent ones, by value."""
+    """Values of `sketch` that at least `least` rows have, and how many: the most frequent ones, at most RANKED_VALUES, by value."""
     counts = sets.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= least)
-    top = counts.orderBy(F.desc("c"), "value").limit(RANKED_VALUES).toArrow().combine_chunks().sort_by("value")
+    top = most_frequent(written(counts, "counts"), "c", RANKED_VALUES).toArrow().combine_chunks().sort_by("value")
     return top.column("value").to_numpy(), top.column("c").to_numpy()
 
 
@@ -161,9 +162,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Da
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    seen = written(sketches(docs, width), "sketches")
+    # The texts are read twice, so that the sketches are stored once, for the classes alone.
+    seen = written(sketches(docs, width).drop("sketch"), "sets")
     usable = seen.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(usable.groupBy("f", "g").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    classes = written(sketches(docs, width).filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f", "g").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     lists = rare_values(classes.withColumn("root", F.col("id")), FREQUENT).drop("root", "i", "s")
     centre = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", "id", "f", "n")).alias("c")).filter("size > 1")
     lists = written(lists.join(centre.select("value", "c"), "value").select("value", "id", "f", "n", F.col("c.id").alias("cid"), F.col("c.f").alias("cf"), F.col("c.n").alias("cn")), "lists")
@@ -190,16 +192,21 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     named = lists.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     apart = named.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi AND m > 2").select("value")
     left = written(named.join(apart, "value", "left_semi").select("id", "f", "n", "root").distinct(), "apart")
-    long = written(rare_values(written(long_sketches(with_text(left), width), "long"), 2, True, percent).drop("weight"), "long-lists")
+    long = written(rare_values(written(long_sketches(with_text(left), width), "long"), 2, True, percent), "long-lists")
     # Values that follow the shared one, itself included, bound what a pair whose first shared value it is can have in common.
-    enough = f"CASE WHEN a.n <= {LONG} AND b.n <= {LONG} THEN {100 + percent} * least(a.n - a.i, b.n - b.i) >= {percent} * (a.n + b.n) ELSE least(a.s - a.i, b.s - b.i) >= {NEED_LONG} * least(a.s, b.s) END"
-    rest = long.alias("a").join(long.alias("b"), F.expr(f"a.value = b.value AND a.root < b.root AND {_like(percent)} AND {enough}"))
-    rest = rest.select(F.col("a.id").alias("a"), F.col("a.f").alias("fa"), F.col("b.id").alias("b"), F.col("b.f").alias("fb")).distinct()
-    second = linked(rest, "rest")
-    if second.isEmpty():
-        final = roots
-    else:
-        final = components(roots.toDF("u", "v").union(second.select("a", "b")))
+    enough = f"a.value = b.value AND {_like(percent)} AND CASE WHEN a.n <= {LONG} AND b.n <= {LONG} THEN {100 + percent} * least(a.n - a.i, b.n - b.i) >= {percent} * (a.n + b.n) ELSE least(a.s - a.i, b.s - b.i) >= {NEED_LONG} * least(a.s, b.s) END"
+    ends = [F.col("a.id").alias("a"), F.col("a.f").alias("fa"), F.col("b.id").alias("b"), F.col("b.f").alias("fb")]
+    # Whole sets tell better which member is the most typical: once more each is compared with that one,
+    middle = long.groupBy("value").agg(F.max(F.struct("weight", "id", "f", "n", "i", "s", "root")).alias("c")).select("value", "c.*")
+    second = linked(middle.alias("a").join(long.alias("b"), F.expr(f"{enough} AND a.root <> b.root")).select(*ends).distinct(), "middle")
+    links = roots.toDF("u", "v").union(second.select("a", "b"))
+    roots = components(links)
+    # and only those that are still apart with one another.
+    fresh = written(long.drop("root").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node"), "fresh")
+    apart = fresh.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("value")
+    fresh = fresh.join(apart, "value", "left_semi")
+    third = linked(fresh.alias("a").join(fresh.alias("b"), F.expr(f"{enough} AND a.root < b.root")).select(*ends).distinct(), "rest")
+    final = roots if third.isEmpty() else components(links.union(third.select("a", "b")))
     member = seen.join(classes.select(F.col("f").alias("cf"), F.col("g").alias("cg"), "id"), F.expr("f = cf AND g = cg AND n_shingles > 0 AND doc_id IS NOT NULL"), "left")
     out = member.join(final, F.col("id") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "id", "doc_id")).otherwise(F.col("doc_id"))
