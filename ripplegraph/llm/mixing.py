@@ -3,14 +3,15 @@
 A source's documents form blocks. Block j of a source with `units` of `period` slots is released at slot
 floor((j-1)*period/units) and due by slot ceil(j*period/units). In each slot the earliest deadline among the
 released blocks goes first, so that a source is never a whole block from its target share. The schedule repeats
-with the period: it is found once, by a fold over the slots of one period, and joined to the blocks.
+with the period: it is found once, by a fold over the slots of one period, and joined to the blocks. Sources of equal
+units have equal releases and deadlines, so the fold keeps one entry for each number of units, not for each source.
 
 Every document is kept and gets one place; a source that runs out leaves its later slots empty.
 
 Cases: a null source is a source of its own (the name ''); a null doc_id is ordered first and kept; rows that repeat
 a doc_id have neighbouring places; an empty table gives an empty one; other columns are neither read nor changed;
-empty and very long texts count as one document each. Sources beyond the MOST_GROUPS - 1 largest share one group,
-mixed by their documents' hashes, which bounds the schedule's size."""
+empty and very long texts count as one document each. Every source is scheduled, however many there are: the period
+doubles until it has room for all (see period_of)."""
 
 from __future__ import annotations
 
@@ -19,14 +20,16 @@ from pyspark.sql import functions as F
 
 from ripplegraph.llm.common import bounded_broadcast, partitions, written
 
-#: Slots of one period, documents of one block.
+#: Slots of the shortest period, documents of one block.
 PERIOD, BLOCK = 1024, 16
-#: Groups of the schedule: the largest sources, the last one for all others.
+#: Sources that the shortest period gives room for weights; for more, a longer one has as many slots a source.
 MOST_GROUPS = 256
 #: The default target: shares in proportion to count ** TEMPERATURE.
 TEMPERATURE = 0.5
-#: Sources whose names may be broadcast.
+#: Sources whose names, and slots whose blocks, may be broadcast.
 BROADCAST_NAMES = 100_000
+#: Slots in one inner fold.
+CHUNK = 256
 #: Rows of a source that are ranked together, and parts of a source at most.
 RANKED_ROWS, MOST_PARTS = 1000, 4096
 
@@ -35,8 +38,16 @@ def source_name(source: str = "source") -> Column:
     return F.coalesce(F.col(source).cast("string"), F.lit(""))
 
 
+def period_of(sources: int, weighted: bool, period: int = PERIOD) -> int:
+    """The slots of a period: `period` where every source gets one, by given weights up to MOST_GROUPS sources; for more it is doubled up to PERIOD / MOST_GROUPS slots a source."""
+    if sources > (MOST_GROUPS if weighted else period):
+        while period < sources * PERIOD / MOST_GROUPS:
+            period *= 2
+    return period
+
+
 def source_groups(docs: DataFrame, weights: DataFrame | None = None, period: int = PERIOD) -> DataFrame:
-    """name, g (1..), n, units: slots of each period by largest remainders, one at least; at most MOST_GROUPS rows with different g.
+    """name, g (1.., in the order of names), units: slots of each period by largest remainders, one at least. The units add up to the period (period_of).
 
     weights: (source, weight), positive; sources that it lacks, or all without it, weigh count ** TEMPERATURE over
     the sum of those."""
@@ -45,30 +56,40 @@ def source_groups(docs: DataFrame, weights: DataFrame | None = None, period: int
         counts = counts.join(weights.select(source_name().alias("name"), F.col("weight").cast("double").alias("weight")), "name", "left")
     else:
         counts = counts.withColumn("weight", F.lit(None).cast("double"))
-    top = counts.orderBy(F.desc("n"), "name").limit(MOST_GROUPS - 1).select("name", F.lit(True).alias("top"))
-    named = counts.join(F.broadcast(top), "name", "left").withColumn("group", F.when(F.col("top"), F.concat(F.lit("="), "name")).otherwise(F.lit("")))
-    pooled = named.groupBy("group").agg(F.sum("n").alias("group_n"), F.sum(F.coalesce("weight", F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE)))).alias("w"))
-    # At most MOST_GROUPS rows from here: windows over all of them are bounded.
+    named = written(counts.select("name", F.coalesce("weight", F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE))).alias("w")), "mix-names")
+    period = period_of(named.count(), weights is not None, period)
+    # One row a source from here.
     whole = Window.partitionBy(F.lit(0))
     spare = F.lit(period) - F.count(F.lit(1)).over(whole)
-    share = pooled.withColumn("exact", F.col("w") / F.sum("w").over(whole) * spare)
+    share = named.withColumn("exact", F.col("w") / F.sum("w").over(whole) * spare)
     share = share.withColumn("base", F.floor("exact")).withColumn("left", spare - F.sum("base").over(whole))
-    rank = F.row_number().over(whole.orderBy(F.desc(F.round(F.col("exact") - F.col("base"), 9)), "group"))
+    rank = F.row_number().over(whole.orderBy(F.desc(F.round(F.col("exact") - F.col("base"), 9)), "name"))
     share = share.withColumn("units", (1 + F.col("base") + F.when(rank <= F.col("left"), 1).otherwise(0)).cast("int"))
-    share = share.withColumn("g", F.row_number().over(whole.orderBy("group")))
-    return named.select("name", "group").join(F.broadcast(share.select("group", "g", "units")), "group")
+    return share.select("name", F.row_number().over(whole.orderBy("name")).alias("g"), "units")
+
+
+def schedule(groups: DataFrame) -> DataFrame:
+    """g, m, slot: where the m-th block of group g in a period goes. One fold over the period's slots; groups of equal units are one entry of its state.
+
+    Of such groups, the smallest g goes first and none has a block more before all have as many: `c` blocks in all tell whose turn it is."""
+    classes = groups.select("g", "units").distinct().groupBy("units").agg(F.sort_array(F.collect_list("g")).alias("members"))
+    one = classes.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("units").cast("bigint").alias("u"), "members"))).alias("classes"))
+    one = one.filter(F.size("classes") > 0).withColumn("period", F.expr("aggregate(classes, 0L, (a, k) -> a + k.u * size(k.members))"))
 
+    def entry(i: str, c: str) -> str:
+        turn, u = f"({c} div size(classes[{i}].members))", f"classes[{i}].u"
+        return f"named_struct('due', (({turn} + 1) * period + {u} - 1) div {u}, 'g', classes[{i}].members[cast({c} % size(classes[{i}].members) as int)], 'i', {i}, 'release', {turn} * period div {u}, 'c', {c})"
 
-def schedule(groups: DataFrame, period: int = PERIOD) -> DataFrame:
-    """g, m, units, slot: where the m-th block of group g in a period goes. One fold over the period's slots, over at most MOST_GROUPS groups."""
-    one = groups.select("g", "units").distinct().groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "units"))), lambda x: x["units"]).alias("units"))
-    fold = f"""aggregate(sequence(0, {period} - 1),
-        named_struct('done', transform(units, u -> 0), 'order', cast(array() as array<int>)),
-        (s, t) -> transform(array(array_min(filter(transform(units, (u, i) -> if(s.done[i] < u and s.done[i] * {period} div u <= t, named_struct('due', ((s.done[i] + 1) * {period} + u - 1) div u, 'i', i), null)), x -> x is not null)).i),
-            best -> named_struct('done', transform(s.done, (d, i) -> d + if(i = best, 1, 0)), 'order', concat(s.order, array(best + 1))))[0],
-        s -> s.order)"""
-    slots = one.filter(F.size("units") > 0).select("units", F.posexplode(F.expr(fold)).alias("slot", "g"))
-    return slots.select("g", F.element_at("units", F.col("g")).alias("units"), "slot", F.row_number().over(Window.partitionBy("g").orderBy("slot")).alias("m"))
+    step = f"""transform(array(array_min(filter(s.next, x -> x.release <= t))),
+            best -> named_struct('next', transform(s.next, x -> if(x.i = best.i, {entry("x.i", "(x.c + 1L)")}, x)), 'order', concat(s.order, array(best.g))))[0]"""
+    chunk = f"""aggregate(sequence(k * {CHUNK}, least(k * {CHUNK} + {CHUNK}, period) - 1),
+            named_struct('next', o.next, 'order', cast(array() as array<int>)), (s, t) -> {step})"""
+    fold = f"""aggregate(sequence(0L, (period - 1) div {CHUNK}),
+            named_struct('next', transform(classes, (k, i) -> {entry("i", "0L")}), 'all', cast(array() as array<array<int>>)),
+            (o, k) -> transform(array({chunk}), x -> named_struct('next', x.next, 'all', concat(o.all, array(x.order))))[0],
+            o -> flatten(o.all))"""
+    slots = one.select(F.posexplode(F.expr(fold)).alias("slot", "g"))
+    return slots.select("g", "slot", F.row_number().over(Window.partitionBy("g").orderBy("slot")).alias("m"))
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
@@ -76,9 +97,10 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK,
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     parts = max(1, min(MOST_PARTS, -(-docs.count() // RANKED_ROWS)))
     groups = written(source_groups(docs, weights, period), "mix-groups")
-    plan = written(schedule(groups, period), "mix-plan")
-    # Groups are bounded; names need not be: a long list of them is joined by a shuffle.
-    names = bounded_broadcast(groups.select(F.col("name").alias("mix_name"), F.col("g").alias("mix_g")), BROADCAST_NAMES)
+    plan = written(schedule(groups), "mix-plan")
+    period = groups.agg(F.sum("units")).first()[0] or period
+    # A long list of names is joined by a shuffle.
+    names = bounded_broadcast(groups.select(F.col("name").alias("mix_name"), F.col("g").alias("mix_g"), F.col("units").alias("mix_units")), BROADCAST_NAMES)
     table = docs.withColumn("mix_name", source_name()).join(names, "mix_name")
     table = table.withColumn("mix_key", key).withColumn("mix_part", F.floor(F.conv(F.substring("mix_key", 1, 4), 16, 10).cast("bigint") * parts / 65536).cast("int"))
     in_part = Window.partitionBy("mix_g", "mix_part")
@@ -88,15 +110,14 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK,
     before = counts.withColumn("before", F.sum("rows").over(Window.partitionBy("mix_g").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1))).select("mix_g", "mix_part", F.coalesce("before", F.lit(0)).alias("before"))
     placed = ranked.join(before, ["mix_g", "mix_part"]).withColumn("mix_at", F.col("before") + F.col("mix_rank") - 1)
     placed = placed.withColumn("mix_block", F.expr(f"mix_at div {block}"))
-    units = F.broadcast(groups.select(F.col("g").alias("mix_g"), F.col("units").alias("mix_units")).distinct())
-    placed = placed.join(units, "mix_g").withColumn("mix_turn", F.expr("mix_block div mix_units")).withColumn("mix_m", (F.expr("mix_block % mix_units") + 1).cast("int"))
-    times = F.broadcast(plan.select(F.col("g").alias("mix_g"), F.col("m").alias("mix_m"), F.col("slot").alias("mix_slot")))
+    placed = placed.withColumn("mix_turn", F.expr("mix_block div mix_units")).withColumn("mix_m", (F.expr("mix_block % mix_units") + 1).cast("int"))
+    times = bounded_broadcast(plan.select(F.col("g").alias("mix_g"), F.col("m").alias("mix_m"), F.col("slot").alias("mix_slot")), BROADCAST_NAMES)
     out = placed.join(times, ["mix_g", "mix_m"])
     return out.withColumns(
         {
             "slot": F.col("mix_turn") * period + F.col("mix_slot"),
-            "release": F.col("mix_turn") * period + F.expr(f"(mix_m - 1) * {period} div mix_units"),
-            "due": F.col("mix_turn") * period + F.expr(f"(mix_m * {period} + mix_units - 1) div mix_units"),
+            "release": F.col("mix_turn") * period + F.expr(f"(mix_m - 1L) * {period} div mix_units"),
+            "due": F.col("mix_turn") * period + F.expr(f"(mix_m * {period}L + mix_units - 1) div mix_units"),
             "place": F.expr(f"mix_at % {block}"),
             "block": F.col("mix_block"),
             "units": F.col("mix_units"),

@@ -45,6 +45,23 @@ def test_more_sources_than_groups(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in rows) == list(range(600)) and len({(r["slot"], r["place"]) for r in rows}) == 600
 
 
+def test_every_source_has_its_own_weight_and_times(spark):
+    # More sources than an earlier pool's bound, than one period's slots, and with weights of their own.
+    for n, weights, period in ((400, None, 1024), (1030, None, 8192), (400, {"s3": 50.0, "s399": 100.0}, 2048)):
+        docs = spark.createDataFrame([(i, f"s{i % n}") for i in range(n + 300)], "doc_id bigint, source string")
+        given = weights and spark.createDataFrame(list(weights.items()), "source string, weight double")
+        groups = {r["g"]: r for r in mixing.source_groups(docs, given).collect()}
+        units = [groups[g]["units"] for g in range(1, n + 1)]
+        assert sum(units) == period and len({r["name"] for r in groups.values()}) == n
+        if weights:
+            by = {r["name"]: r["units"] for r in groups.values()}
+            assert by["s399"] > 1.9 * by["s3"] > 30 * by["s4"]
+        plan = sorted((r["slot"], r["g"]) for r in mixing.schedule(mixing.source_groups(docs, given)).collect())
+        assert [g for _, g in plan] == edf(units, period)
+        rows = mixing.mixed(docs, given).collect()
+        assert sorted(r["doc_id"] for r in rows) == list(range(n + 300)) and all(r["release"] <= r["slot"] < r["due"] for r in rows)
+
+
 def test_odd_rows(odd, none):
     out = mixing.in_mixed_order(odd)
     assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
