@@ -6,8 +6,7 @@ item is laid over the document at the hit's offset, and the positions where both
 that were put in place of others cost only themselves. Overlaps at several offsets (words added or left out) add up.
 
 Cases: null and empty texts have no windows and are clean; items of fewer than LEAST_WORDS words match nothing, items shorter than a
-mask are sought as one key of all their words; rows that repeat a doc_id are judged together; a null doc_id is judged like
-any other; an empty benchmark leaves all clean; repeated items each count; very long texts are read whole."""
+mask are sought as one key of all their words; rows that repeat a doc_id, or have none, are judged one by one, by their texts; an empty benchmark leaves all clean; repeated items each count; very long texts are read whole."""
 
 from __future__ import annotations
 
@@ -50,17 +49,17 @@ def seeds(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, matched, words: the leaked items of each document."""
+    """doc_id, digest (of the text), item_id, matched, words: the leaked items of each document."""
     keys, short = seeds(benchmark)
     masks = _all_masks(short)
     n = keys.count()
     blocks = max(1, -(-n // BLOCK_KEYS))
     found = None
-    texts = docs.select("doc_id", F.expr(word_hashes("text")).alias("hs"))
+    texts = docs.select("doc_id", F.md5("text").alias("digest"), F.expr(word_hashes("text")).alias("hs"))
     # An outer explode: an inner one would have the optimizer compute the keys a second time, in a filter on their number.
     # All masks' keys in one array; a key's index tells its mask and window.
     widths = [f"greatest(0, size(hs) - {len(m) - 1})" for _, m in masks]
-    windows = texts.withColumn("keys", F.expr("concat(" + ", ".join(_keys("hs", k, m) for k, m in masks) + ")")).select("doc_id", "hs", F.posexplode_outer("keys").alias("pos", "key"))
+    windows = texts.withColumn("keys", F.expr("concat(" + ", ".join(_keys("hs", k, m) for k, m in masks) + ")")).select("doc_id", "digest", "hs", F.posexplode_outer("keys").alias("pos", "key"))
     window = "pos"
     for k in range(len(masks) - 1, 0, -1):
         before = " + ".join(widths[:k])
@@ -68,20 +67,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for b in range(blocks):
         part = keys.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         hit = windows.join(F.broadcast(part), "key").withColumn("offset", F.expr(f"{window} - at"))
-        same = hit.select("doc_id", "item_id", F.size("words").alias("words"), F.expr("filter(sequence(0, size(words) - 1), j -> offset + j >= 0 AND offset + j < size(hs) AND hs[offset + j] = words[j])").alias("same"))
+        same = hit.select("doc_id", "digest", "item_id", F.size("words").alias("words"), F.expr("filter(sequence(0, size(words) - 1), j -> offset + j >= 0 AND offset + j < size(hs) AND hs[offset + j] = words[j])").alias("same"))
         found = same if found is None else found.unionByName(same)
-    summed = found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.size(F.array_distinct(F.flatten(F.collect_set("same")))).alias("matched"))
+    summed = found.groupBy("doc_id", "digest", "item_id").agg(F.max("words").alias("words"), F.size(F.array_distinct(F.flatten(F.collect_set("same")))).alias("matched"))
     return summed.filter(F.col("matched") >= F.least(F.lit(ENOUGH), F.greatest(F.lit(LEAST_WORDS), F.ceil(F.col("words") * SHARE))))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, items (their ids in order, comma-joined), best (the largest share of an item's words) for every row of docs."""
-    leaks = overlaps(docs, benchmark).groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("item_id")), lambda x: x.cast("string")), ",").alias("list"), F.max(F.round(F.col("matched") / F.col("words"), 4)).alias("most"))
-    both = docs.select("doc_id").join(leaks, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    leaks = overlaps(docs, benchmark).groupBy(F.col("doc_id").alias("id"), "digest").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("item_id")), lambda x: x.cast("string")), ",").alias("list"), F.max(F.round(F.col("matched") / F.col("words"), 4)).alias("most"))
+    both = docs.select("doc_id", F.md5("text").alias("of")).join(leaks, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("of").eqNullSafe(F.col("digest")), "left")
     return both.select("doc_id", F.col("n").isNotNull().alias("contaminated"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_items"), F.coalesce("list", F.lit("")).alias("items"), F.coalesce("most", F.lit(0.0)).alias("best"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold an item."""
-    leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leaked_id"]), "left_anti")
+    leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias("leaked_id"), "digest").distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leaked_id"]) & F.md5(docs["text"]).eqNullSafe(leaks["digest"]), "left_anti")

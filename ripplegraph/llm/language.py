@@ -162,6 +162,8 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """docs (the columns they had) without those whose language stays unknown."""
-    rejected = identified(document_rows(docs)).filter("not kept").select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["rejected_id"]), "left_anti")
+    """docs (the columns they had) without those whose language stays unknown. A row goes by its own verdict: by its id and all that was judged."""
+    rejected = identified(document_rows(docs).withColumn("digest", F.md5("text"))).filter("not kept").select(F.col("doc_id").alias("rejected_id"), "declared", "host", "digest").distinct()
+    same = docs["doc_id"].eqNullSafe(rejected["rejected_id"]) & F.md5(docs["text"]).eqNullSafe(rejected["digest"])
+    same &= F.lower(docs["lang"]).eqNullSafe(rejected["declared"]) & docs["source"].cast("string").eqNullSafe(rejected["host"])
+    return docs.join(rejected, same, "left_anti")

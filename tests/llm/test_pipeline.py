@@ -27,3 +27,17 @@ def test_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_that_share_an_id_go_by_their_own_verdict(spark):
+    rows = [(7, "a text of words that stays", "en", "a", 1), (7, "", "en", "a", 0), (None, "another text of words", "en", "a", 1), (None, None, "en", "a", 0), (None, "x1 x2 x3 x4 x5 x6 y1 y2 y3 y4 y5 y6 x7 x8 x9", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = sorted(r["text"] for r in corpus_pipeline.language.accepted(docs).collect())
+    assert kept == sorted(t for _, t, *_ in rows if t)
+    item = "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10 x11 x12"
+    halves = [(None, "x1 x2 x3 x4 x5 x6 and more words"), (None, "words x7 x8 x9 x10 x11 x12"), (8, f"before {item} after"), (8, "a clean row"), (None, f"so {item}")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in halves], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = corpus_pipeline.decontamination.clean(docs, bench)
+    assert got.columns == docs.columns and sorted(r["text"] for r in got.collect()) == sorted(halves[i][1] for i in (0, 1, 3))
+    assert sorted(r["contaminated"] for r in corpus_pipeline.decontamination.decontaminated(docs, bench).collect()) == [False, False, False, True, True]
