@@ -3,7 +3,8 @@
 Base spans (e-mail, IP, card, phone) are found in every whole text. They seed the bootstrap: the words around a
 span form lexical patterns, a pattern's score for a kind is the share of its distinct values that are known to be
 of that kind, and a value's score is the noisy-or of its confident patterns. Scores pass between the two sides of this
-graph for ROUNDS rounds; values that reach KNOWN join the kind, and their occurrences outside base spans are added.
+graph until none changes; values that reach KNOWN join the kind (and keep it), count in every pattern of theirs from then on,
+and their occurrences outside base spans are added. Scores have three places and only rise, so the rounds end.
 
 Cases: null text counts as empty; a text without hits has an empty list; rows that repeat a doc_id and text get equal
 results each; a null doc_id is kept; spans of one kind never overlap; an added span never overlaps a base one; ties at one start go by
@@ -30,8 +31,8 @@ NEEDS = {"email": "[A-Za-z0-9-]@[A-Za-z0-9-]|[._%+]@[A-Za-z0-9-]", "ip": r"[0-9]
 #: Words with a digit or an at sign may be identifiers.
 TOKEN, TOKEN_NEEDS = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", "[0-9@]"
 CONTEXT = 64
-#: Rounds; distinct known values that a pattern needs; scores from which a pattern is confident and a value known.
-ROUNDS, SUPPORT, CONFIDENT, KNOWN = 3, 3, 0.8, 0.9
+#: Distinct known values that a pattern needs; scores from which a pattern is confident and a value known.
+SUPPORT, CONFIDENT, KNOWN = 3, 0.8, 0.9
 #: Hits whose positions are summed in one inner fold.
 CHUNK = 256
 
@@ -95,18 +96,24 @@ def occurrences(found: DataFrame) -> DataFrame:
 def bootstrap(found: DataFrame) -> DataFrame:
     """value, kind: values that confident patterns make known, base values left out. found: occurrences()."""
     edges = written(found.select("value", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-edges")
-    known = edges.filter("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
-    seeds = known
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.count("kind").alias("seeded")).filter(F.col("seeded") >= 1).select("pattern", "values")
-    sizes = written(sizes, "pii-sizes")
-    for _ in range(ROUNDS):
-        scored = edges.drop("kind").join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("n"))
-        confident = scored.join(sizes, "pattern").withColumn("p", F.least(F.lit(1.0), F.col("sum") / F.col("values"))).filter((F.col("n") >= SUPPORT) & (F.col("p") >= CONFIDENT)).select("pattern", "kind", "p")
+    seeds = written(edges.filter("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)), "pii-seeds")
+    # A pattern needs SUPPORT known values, whether seeds or found: no other can become confident in any round.
+    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values")).filter(F.col("values") >= SUPPORT)
+    edges = written(edges.drop("kind").join(sizes, "pattern"), "pii-sizes")
+    found, seen = seeds.limit(0), None
+    while True:
+        scored = edges.join(seeds.unionByName(found), "value").groupBy("pattern", "kind", "values").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("n"))
+        confident = scored.withColumn("p", F.least(F.lit(1.0), F.round(F.col("sum") / F.col("values"), 9))).filter((F.col("n") >= SUPPORT) & (F.col("p") >= CONFIDENT)).select("pattern", "kind", "p")
         # Noisy-or; a product of (1 - p) as a sum of logarithms, a sure pattern as a small remainder.
-        reached = edges.drop("kind").join(confident, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("p")))))).alias("score"))
-        reached = reached.filter(F.col("score") >= KNOWN).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best")).select("value", "best.kind", "best.score")
-        known = written(seeds.unionByName(reached.join(seeds.select("value"), "value", "left_anti")), "pii-known")
-    return known.join(seeds.select("value"), "value", "left_anti").select("value", "kind")
+        reached = edges.join(confident, "pattern").groupBy("value", "kind").agg(F.round(1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("p"))))), 3).alias("score"))
+        reached = reached.filter(F.col("score") >= KNOWN).join(seeds.select("value"), "value", "left_anti")
+        both = found.withColumn("old", F.lit(True)).unionByName(reached.withColumn("old", F.lit(False)))
+        best = both.groupBy("value", "kind").agg(F.max("old").alias("old"), F.max("score").alias("score")).groupBy("value").agg(F.max(F.struct("old", "score", "kind")).alias("best"))
+        found = written(best.select("value", "best.kind", "best.score"), "pii-known")
+        now = found.agg(F.count(F.lit(1)), F.sum(F.round(F.col("score") * 1000).cast("bigint"))).first()
+        if now == seen or not now[0]:
+            return found.select("value", "kind")
+        seen = now
 
 
 def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:

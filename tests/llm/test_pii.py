@@ -60,6 +60,17 @@ def test_contexts_add_identifiers_and_leave_other_words_alone(spark):
     assert not got[51]["spans"] and not got[52]["spans"]
 
 
+def test_contexts_of_found_identifiers_find_more(spark):
+    rows = [(i, f"please write to user{i}@host{i}.org before noon") for i in range(60)] + [(100 + i, f"please write to agent-0-{i} before noon") for i in range(9)]
+    for hop in range(1, 6):  # Nine contexts, each with the nine identifiers of the hop before and a new one.
+        for c in range(9):
+            word = f"{'abcdef'[hop]}{'abcdefghi'[c]}"
+            rows += [(1000 * hop + 10 * c + i, f"{word}x {word}y {x} {word}z end") for i, x in enumerate([*(f"agent-{hop - 1}-{k}" for k in range(9)), f"agent-{hop}-{c}"])]
+    rows.append((9999, "nobody knows agent-9-9 here"))
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert not got.pop(9999) and all([x["kind"] for x in spans] == ["email"] for spans in got.values())
+
+
 def test_odd_rows(odd, none):
     got = pii.personal_data(odd).collect()
     assert len(got) == odd.count() and all(r["base"] == [] for r in got)
