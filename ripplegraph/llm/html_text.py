@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 TRAIN_PAGES, TRAIN_BYTES = 150, 1 << 16
 PATH_SIZE, WORD_SIZE, HIDDEN = 48, 16, 16
+WORDS = 40
 SIZE = PATH_SIZE + WORD_SIZE + 4
 EPOCHS, RATE, SEED = 40, 0.02, 7
 #: Pages, and steps of padded sequences, that are labelled together.
@@ -97,7 +98,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if name in _CLOSES and name != "p":
             close(_CLOSES[name], frozenset(("ul", "ol", "table", "dl", "select")))
         if name not in _VOID and not (m[3] or m[6] or "").endswith("/"):
-            extra = tuple(t for x in _NAMES.findall(m[3] or m[6] or "") for t in _PARTS.findall("".join(x).lower())[:6])
+            extra = tuple(t for x in _NAMES.findall(m[3] or m[6] or "") for t in _PARTS.findall("".join(x).lower()))
             stack.append((name, extra))
     flush()
     return out
@@ -109,10 +110,12 @@ def vectors(page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
         for t in path:
             h = zlib.crc32(t.encode())
             x[i, h % PATH_SIZE] += 1 if h & 0x10000 else -1
-        words = text.split(" ", 40)[:40]
+        words = text.lower().split(" ")
+        # From WORDS words on, divided by the root of their number: sums of long blocks spread no wider.
+        unit = 0.2 / max(1.0, (len(words) / WORDS) ** 0.5)
         for w in words:
-            h = zlib.crc32(w.lower().encode())
-            x[i, PATH_SIZE + h % WORD_SIZE] += 0.2 if h & 0x10000 else -0.2
+            h = zlib.crc32(w.encode())
+            x[i, PATH_SIZE + h % WORD_SIZE] += unit if h & 0x10000 else -unit
         n = len(text)
         x[i, -4:] = links, np.log1p(n) / 8, sum(text.count(c) for c in ".,;!?") / (1 + n / 20), i / len(page)
     return np.clip(x, -2, 2)

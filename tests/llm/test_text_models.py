@@ -122,6 +122,15 @@ def test_host_priors_decide_texts_that_say_little(spark):
     assert (got[100], got[101]) == ("xx", "yy")
 
 
+def test_all_names_and_words_of_a_block_are_read():
+    page = "<div class='a b c d e f g h sidebar'><p>" + "word " * 60 + "%s</p></div>"
+    (path, text, _), = html_text.blocks(page % "last")
+    assert "sidebar" in path and text.endswith("last")
+    one, other = (html_text.vectors(html_text.blocks(page % w)) for w in ("last", "cookie"))
+    words = slice(html_text.PATH_SIZE, html_text.PATH_SIZE + html_text.WORD_SIZE)
+    assert (one[:, words] != other[:, words]).any() and html_text.weak_label(("article", *path)) == 0
+
+
 def test_main_text(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     import html
