@@ -4,20 +4,21 @@ from __future__ import annotations
 
 MIXING = """
 WITH RECURSIVE counts AS (SELECT coalesce(source, '') AS name, count(*) AS n FROM documents GROUP BY ALL),
-share AS (SELECT name, sqrt(n) / sum(sqrt(n)) OVER () * (1024 - count(*) OVER ()) AS exact FROM counts),
-base AS (SELECT name, exact, cast(floor(exact) AS BIGINT) AS base, 1024 - count(*) OVER () - sum(cast(floor(exact) AS BIGINT)) OVER () AS spare FROM share),
-groups AS (SELECT name, cast(1 + base + CASE WHEN row_number() OVER (ORDER BY round(exact - base, 9) DESC, name) <= spare THEN 1 ELSE 0 END AS BIGINT) AS units, row_number() OVER (ORDER BY name) AS g FROM base),
-u AS (SELECT list(units ORDER BY g) AS units FROM groups),
+share AS (SELECT name, n, sqrt(n) / sum(sqrt(n)) OVER () * 1000000 AS exact FROM counts),
+base AS (SELECT name, n, exact, cast(floor(exact + 1e-6) AS BIGINT) AS base, 1000000 - sum(cast(floor(exact + 1e-6) AS BIGINT)) OVER () AS spare FROM share),
+groups AS (SELECT name, n, greatest(1, cast(base + CASE WHEN row_number() OVER (ORDER BY round(exact - base, 6) DESC, name) <= spare THEN 1 ELSE 0 END AS BIGINT)) AS units, row_number() OVER (ORDER BY name) AS g FROM base),
+u AS (SELECT list(units ORDER BY g) AS units, cast(sum(units) AS BIGINT) AS whole FROM groups),
+needed AS (SELECT least((SELECT whole FROM u), max(((n + 15) // 16 * (SELECT whole FROM u) + units - 1) // units)) AS slots FROM groups),
 sched(t, done, pick) AS (
     SELECT -1, list_transform(units, lambda x: cast(0 AS BIGINT)), cast(0 AS BIGINT) FROM u
     UNION ALL
     SELECT t + 1, list_transform(done, lambda d, i: d + CASE WHEN i = p THEN 1 ELSE 0 END), p
-    FROM (SELECT t, done, list_sort(list_filter(list_transform(u.units, lambda x, i: CASE WHEN done[i] < x AND done[i] * 1024 // x <= t + 1 THEN {'due': ((done[i] + 1) * 1024 + x - 1) // x, 'i': i} END), lambda x: x IS NOT NULL))[1].i AS p FROM sched, u WHERE t < 1023) q),
+    FROM (SELECT t, done, list_sort(list_filter(list_transform(u.units, lambda x, i: CASE WHEN done[i] * whole // x <= t + 1 THEN {'due': ((done[i] + 1) * whole + x - 1) // x, 'i': i} END), lambda x: x IS NOT NULL))[1].i AS p FROM sched, u, needed WHERE t < slots - 1) q),
 times AS (SELECT pick AS g, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) AS m FROM sched WHERE t >= 0),
 ranked AS (SELECT doc_id, coalesce(source, '') AS name, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(cast(doc_id AS VARCHAR), '')), doc_id NULLS FIRST) - 1 AS r FROM documents),
 placed AS (SELECT doc_id, r.name, units, g, r // 16 AS block, r % 16 AS place, (r // 16) // units AS turn, (r // 16) % units + 1 AS m FROM ranked r JOIN groups USING (name))
-SELECT doc_id, name, cast(units AS INTEGER) AS units, block, turn * 1024 + slot AS slot, turn * 1024 + (p.m - 1) * 1024 // units AS release, turn * 1024 + (p.m * 1024 + units - 1) // units AS due, place
-FROM placed p JOIN times t ON p.g = t.g AND p.m = t.m
+SELECT doc_id, name, units, block, turn * whole + slot AS slot, turn * whole + (p.m - 1) * whole // units AS release, turn * whole + (p.m * whole + units - 1) // units AS due, place
+FROM placed p JOIN times t ON p.g = t.g AND p.m = t.m, u
 """
 
 NEAR_DUPLICATES = r"""
