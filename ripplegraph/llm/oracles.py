@@ -17,7 +17,7 @@ sched(t, done, pick) AS (
 times AS (SELECT pick AS g, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) AS m FROM sched WHERE t >= 0),
 ranked AS (SELECT doc_id, coalesce(source, '') AS name, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(cast(doc_id AS VARCHAR), '')), doc_id NULLS FIRST) - 1 AS r FROM documents),
 placed AS (SELECT doc_id, r.name, units, g, r // 16 AS block, r % 16 AS place, (r // 16) // units AS turn, (r // 16) % units + 1 AS m FROM ranked r JOIN groups USING (name))
-SELECT doc_id, name, units, block, turn * whole + slot AS slot, turn * whole + (p.m - 1) * whole // units AS release, turn * whole + (p.m * whole + units - 1) // units AS due, place
+SELECT doc_id, name, p.units, block, turn * whole + slot AS slot, turn * whole + (p.m - 1) * whole // p.units AS release, turn * whole + (p.m * whole + p.units - 1) // p.units AS due, place
 FROM placed p JOIN times t ON p.g = t.g AND p.m = t.m, u
 """
 
