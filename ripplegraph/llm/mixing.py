@@ -73,9 +73,12 @@ def schedule(groups: DataFrame, block: int = BLOCK) -> DataFrame:
     g = groups.withColumn("u", all_units).withColumn("slots", F.least("u", F.max(last).over(whole))).withColumn("width", F.count(F.lit(1)).over(whole) + 1)
     jobs = g.withColumn("j", F.explode(F.expr("sequence(1L, (slots * units + u - 1) div u)")))
     jobs = jobs.select("slots", "width", F.expr("(j - 1) * u div units").alias("t"), F.expr("(j * u + units - 1) div units * width + g").alias("key"))
-    by_slot = jobs.groupBy("slots", "width", "t").agg(F.collect_list("key").alias("keys"))
-    one = by_slot.groupBy("slots", "width").agg(F.map_from_entries(F.collect_list(F.struct("t", "keys"))).alias("at"))
-    one = one.select("width", "slots", F.expr("transform(sequence(0L, slots - 1), t -> coalesce(try_element_at(at, t), cast(array() as array<bigint>)))").alias("released"))
+    # A slot that releases nothing has an empty list.
+    every = g.select("slots", "width").distinct().withColumn("t", F.explode(F.expr("sequence(0L, slots - 1)"))).withColumn("key", F.lit(None).cast("bigint"))
+    by_slot = jobs.unionByName(every).groupBy("slots", "width", "t").agg(F.collect_list("key").alias("keys"))
+    one = by_slot.groupBy("slots", "width").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "keys"))), lambda x: x["keys"]).alias("released"))
+    # Stored, so that the fold finds the lists and does not make them again for every slot.
+    one = written(one, "mix-released")
     none = "cast(array() as array<bigint>)"
     least = "transform(array(array_min(q)), b -> named_struct('pool', array_remove(q, b), 'order', concat(s.order, array(b))))[0]"
     step = f"transform(array(concat(s.pool, released[cast(t as int)])), q -> {least})[0]"
