@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -66,10 +67,15 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         bits = np.unpackbits(np.frombuffer(data, np.uint8, h * ((w + 7) // 8), at).reshape(h, -1), axis=1)[:, :w]
         return (1 - bits) * np.uint8(255)
     (w, h, most), at = _header(data, 3)
+    if not 0 < most < 65536:
+        raise ValueError("bad maximum")
     shape = (h, w, 3) if kind in (b"P3", b"P6") else (h, w)
-    n = int(np.prod(shape))
+    n = math.prod(shape)
     if kind in (b"P2", b"P3"):
-        return np.array(data[at:].split()[:n], dtype=np.uint16 if most > 255 else np.uint8).reshape(shape)
+        samples = np.array([int(x) for x in data[at:].split()[:n]], dtype=np.int64)
+        if ((samples < 0) | (samples > most)).any():
+            raise ValueError("a sample out of range")
+        return samples.astype(np.uint16 if most > 255 else np.uint8).reshape(shape)
     return np.frombuffer(data, ">u2" if most > 255 else np.uint8, n, at).reshape(shape)
 
 
@@ -77,7 +83,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
     """Uncompressed 8-bit (with palette), 24-bit and 32-bit BMP; grey palettes give one channel."""
     start, size = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<I", data, 14)[0]
     w, h, _, depth, packed = struct.unpack_from("<iiHHI", data, 18)
-    if packed or depth not in (8, 24, 32):
+    if packed or depth not in (8, 24, 32) or w <= 0:
         raise ValueError("this BMP is not supported")
     stride = (w * depth // 8 + 3) // 4 * 4
     rows = np.frombuffer(data, np.uint8, abs(h) * stride, start).reshape(abs(h), stride)[:, : w * depth // 8]
@@ -139,17 +145,17 @@ def npy(image: np.ndarray) -> bytes:
 
 
 def features(data: bytes | None) -> dict:
-    """What one stored image gives; all null if it cannot be decoded."""
+    """What one stored image gives; all null if it cannot be decoded, whatever its header claims."""
     try:
         image = decode(data or b"")
         plane = grey(image)
         if not plane.size:
             raise ValueError("no pixels")
-    except (ValueError, IndexError, struct.error):
+        flat = image.tobytes()
+        tile = np.clip(np.rint(area_resized(plane, TILE, TILE)), 0, 255).astype(np.uint8)
+        return {"rows": image.shape[0], "columns": image.shape[1], "samples_sha256": hashlib.sha256(flat).hexdigest(), "tail_crc32": zlib.crc32(flat[-64:]), "tile": npy(tile), "feature": difference_hash(plane)}
+    except (ValueError, TypeError, IndexError, OverflowError, MemoryError, struct.error):
         return dict.fromkeys(("rows", "columns", "samples_sha256", "tail_crc32", "tile", "feature"))
-    flat = image.tobytes()
-    tile = np.clip(np.rint(area_resized(plane, TILE, TILE)), 0, 255).astype(np.uint8)
-    return {"rows": image.shape[0], "columns": image.shape[1], "samples_sha256": hashlib.sha256(flat).hexdigest(), "tail_crc32": zlib.crc32(flat[-64:]), "tile": npy(tile), "feature": difference_hash(plane)}
 
 
 _FEATURES = "rows bigint, columns bigint, samples_sha256 string, tail_crc32 bigint, tile binary, feature string"

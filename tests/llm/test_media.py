@@ -42,3 +42,10 @@ def test_other_bytes_have_no_features(spark, none):
     df = spark.createDataFrame([(1, None), (2, bytearray(b"")), (3, bytearray(b"GIF89a")), (4, bytearray(b"P5\n9 9\n255\nxx")), (5, bytearray(b"BM"))], "id bigint, media binary")
     assert all(r["feature"] is None for r in media.media_features(df).collect())
     assert media.text_image_features(none).collect() == []
+
+
+def test_hostile_media_decode_to_nothing():
+    huge = b"9" * 30
+    for bad in (b"P5 " + huge + b" " + huge + b" 255\n", b"P4 " + huge + b" 2\n", b"P5 " + b"9" * 5000 + b" 1 255\n", b"P2 2 1 255\n1 300", b"P2 2 1 255\n-3 1", b"P2 1 1 65535\n65536", b"P2 1 1 255\nx", b"P5 1 1 0\n\0", b"P5 1 1 70000\n\0\0", b"P6 0 0 255\n", b"P5", b"BM", b"BM" + b"\xff" * 60, b"P5 #", None, b""):
+        assert media.features(bad)["feature"] is None, bad
+    assert media.features(b"P2 2 1 255\n255 0")["rows"] == 1
