@@ -7,7 +7,8 @@ and that towards the table's.
 
 Cases: null and empty texts and texts without letters are `und` and rejected; a null declared language, suffix or host adds no evidence;
 equal posteriors go to the language first in the alphabet; rows that repeat a doc_id are judged one by one; an empty table, or one
-without any declared language, makes every row `und`; texts are read whole; extra columns are not read."""
+without any declared language, makes every row `und`; texts are read whole; extra columns are not read. Every declared language is
+told, however many there are (256 KB each to a task, LANGUAGES_AT_ONCE of them in one process)."""
 
 from __future__ import annotations
 
@@ -22,8 +23,8 @@ from ripplegraph.llm.common import bounded_broadcast, written
 from ripplegraph.llm.words import raw, slices
 
 BUCKETS = 1 << 16
-#: Rows for each language that the likelihoods are fitted on, about; languages at most, the most frequent ones.
-FIT_ROWS, MOST_LANGUAGES = 1000, 64
+#: Distinct texts for each language that the likelihoods are fitted on, about; languages whose tables a process holds.
+FIT_ROWS, LANGUAGES_AT_ONCE = 1000, 128
 #: Trigrams overlap: each counts for this share of an independent one.
 TEXT_WEIGHT = 0.3
 #: Rows that a host's, a domain's and a table's prior are worth; false declarations, suffixes.
@@ -49,35 +50,48 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and the log probability of each bucket in each; rows: text, declared. Fitted on a bounded sample of declared rows."""
-    n = rows.filter("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()
+    """Languages in order, and the log probability of each bucket in each; rows: text, declared. Fitted on a bounded sample of declared rows.
+
+    The sample is drawn by the text's hash, and of copies one stays: about FIT_ROWS distinct texts of each language, whatever is repeated."""
+    n = rows.filter("declared is not null").groupBy("declared").agg(F.approx_count_distinct("text", 0.02).alias("n")).collect()
     if not n:
         return [], np.zeros((0, BUCKETS), dtype=np.float32)
     languages = sorted(r["declared"] for r in n)
-    share = F.create_map(*[x for r in n for x in (F.lit(r["declared"]), F.lit(FIT_ROWS / r["n"]))])
-    sample = rows.filter(F.col("declared").isin(languages) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("declared")] * (1 << 20)))
+    share = F.create_map(*[x for r in n for x in (F.lit(r["declared"]), F.lit(FIT_ROWS / max(1, r["n"])))])
+    h = F.xxhash64("text")
+    sample = rows.filter(F.col("declared").isNotNull() & (F.pmod(h, F.lit(1 << 20)) < share[F.col("declared")] * (1 << 20)))
+    sample = sample.groupBy("declared", h.alias("h")).agg(F.min("text").alias("text"))
     order = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), dtype=np.int64)
         for batch in batches:
             for part in slices(batch):
                 data, at = raw(part.column("text"))
+                if not len(data):
+                    continue
                 grams, of = trigrams(data), np.repeat([order[x] for x in part.column("declared").to_pylist()], np.diff(at))
-                total += np.bincount(of * BUCKETS + grams, minlength=total.size).reshape(total.shape)
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total.ravel()[cell])], names=["cell", "n"])
+                cell, n = np.unique(of * BUCKETS + grams, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
 
     got = sample.select("text", "declared").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(len(languages) * BUCKETS)
-    table[got["cell"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=float)
-    table = table.reshape(-1, BUCKETS) + 0.5
-    return languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    table = np.zeros(len(languages) * BUCKETS, dtype=np.float32)
+    table[got["cell"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.float32)
+    table = table.reshape(-1, BUCKETS) + np.float32(0.5)
+    return languages, np.log(table / table.sum(axis=1, keepdims=True, dtype=np.float64)).astype(np.float32)
 
 
 def text_evidence(rows: DataFrame, log_p: np.ndarray) -> DataFrame:
     """rows without text, with ll (a language's log likelihood, in the order of log_p) and letters (bytes of letters)."""
-    others = [c for c in rows.columns if c != "text"]
+    kept = [c for c in rows.columns if c != "text"]
+    rows = rows.withColumn("ll", F.array().cast("array<double>")).withColumn("letters", F.lit(0).cast("bigint"))
+    for k in range(0, len(log_p), LANGUAGES_AT_ONCE):
+        rows = _evidence(rows, log_p[k : k + LANGUAGES_AT_ONCE])
+    return rows.select(*kept, "ll", "letters")
+
+
+def _evidence(rows: DataFrame, log_p: np.ndarray) -> DataFrame:
+    """rows with the likelihoods of more languages after those in ll."""
+    others = [c for c in rows.columns if c not in ("ll", "letters")]
     types = dict(rows.dtypes)
     spec = rows.sparkSession.sparkContext.broadcast(log_p)
     schema = ", ".join(f"`{c}` {types[c]}" for c in others) + ", ll array<double>, letters bigint"
@@ -88,6 +102,7 @@ def text_evidence(rows: DataFrame, log_p: np.ndarray) -> DataFrame:
             for part in slices(batch):
                 data, at = raw(part.column("text"))
                 grams = trigrams(data)
+                before = part.column("ll")
                 sums = np.zeros((len(at) - 1, len(table)))
                 for k, row in enumerate(table):
                     run_sum = np.zeros(len(data) + 1)
@@ -95,25 +110,32 @@ def text_evidence(rows: DataFrame, log_p: np.ndarray) -> DataFrame:
                     sums[:, k] = TEXT_WEIGHT * (run_sum[at[1:]] - run_sum[at[:-1]])
                 inside = np.zeros(len(data) + 1, dtype=np.int64)
                 np.cumsum(_FOLD[data] != 32, out=inside[1:])
-                ll = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, max(1, sums.shape[1]), dtype=np.int32) if sums.shape[1] else np.zeros(len(at), dtype=np.int32)), pa.array(sums.ravel()))
+                sums = np.concatenate([np.asarray(before.flatten(), dtype=float).reshape(len(sums), -1), sums], axis=1) if len(sums) else sums
+                ll = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * np.int32(sums.shape[1])), pa.array(sums.ravel()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), ll, pa.array(inside[at[1:]] - inside[at[:-1]])], names=[*others, "ll", "letters"])
 
-    return rows.select(*others, "text").mapInArrow(run, schema)
+    return rows.select(*others, "ll", "letters").mapInArrow(run, schema)
+
+
+def _counts(seen: DataFrame, by: list[str], k: int) -> DataFrame:
+    """by and n: rows of each language, grouped by language first."""
+    n = seen.groupBy(*by, "guess").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("guess", "c"))).alias("m"))
+    return n.select(*by, F.expr(f"transform(sequence(0, {k - 1}), i -> coalesce(try_element_at(m, i), 0.0D))").alias("n"))
 
 
 def _likelihood(seen: DataFrame, column: str, k: int) -> DataFrame:
     """column, its log likelihood under each language: grouped counts, smoothed."""
-    counts = seen.filter(F.col(column).isNotNull()).groupBy(column).agg(F.array(*(F.sum((F.col("guess") == i).cast("double")) for i in range(k))).alias("n"))
-    total = seen.filter(F.col(column).isNotNull()).groupBy().agg(F.array(*(F.coalesce(F.sum((F.col("guess") == i).cast("double")), F.lit(0.0)) for i in range(k))).alias("all"))
-    return counts.crossJoin(F.broadcast(total)).select(column, F.zip_with("n", "all", lambda n, a: F.log((n + 1) / (a + OTHER_ROWS))).alias(f"{column}_ll"))
+    known = seen.filter(F.col(column).isNotNull())
+    total = _counts(known, [], k).select(F.col("n").alias("all"))
+    return _counts(known, [column], k).crossJoin(F.broadcast(total)).select(column, F.zip_with("n", "all", lambda n, a: F.log((n + 1) / (a + OTHER_ROWS))).alias(f"{column}_ll"))
 
 
 def _priors(seen: DataFrame, k: int) -> DataFrame:
     """host, its log prior: host counts smoothed by the domain's share, that by the table's."""
-    n = [F.sum((F.col("guess") == i).cast("double")) for i in range(k)]
-    host = seen.filter("host is not null").groupBy("host").agg(F.first("domain").alias("domain"), F.array(*n).alias("h"))
-    domain = host.groupBy("domain").agg(F.array(*(F.sum(F.col("h")[i]) for i in range(k))).alias("d"))
-    table = host.groupBy().agg(F.array(*(F.coalesce(F.sum(F.col("h")[i]), F.lit(0.0)) for i in range(k))).alias("t"))
+    named = seen.filter("host is not null")
+    host = _counts(named, ["host"], k).withColumnRenamed("n", "h").join(named.groupBy("host").agg(F.min("domain").alias("domain")), "host")
+    domain = _counts(named, ["domain"], k).withColumnRenamed("n", "d")
+    table = _counts(named, [], k).withColumnRenamed("n", "t")
 
     def smoothed(n: str, over: str, rows: float) -> Column:
         total = F.aggregate(n, F.lit(0.0), lambda a, x: a + x)
@@ -135,7 +157,7 @@ def identified(rows: DataFrame) -> DataFrame:
     seen = written(seen.withColumn("guess", F.when(F.col("letters") > 0, F.array_position("ll", F.array_max("ll")).cast("int") - 1)), "language")
     counted = seen.filter("guess is not null")
     none = F.array_repeat(F.lit(0.0), k)
-    out = seen.join(F.broadcast(_likelihood(counted.filter(F.col("declared").isin(languages)), "declared", k)), "declared", "left")
+    out = seen.join(bounded_broadcast(_likelihood(counted, "declared", k), BROADCAST_HOSTS), "declared", "left")
     out = out.join(bounded_broadcast(_likelihood(counted, "suffix", k), BROADCAST_HOSTS), "suffix", "left").join(bounded_broadcast(_priors(counted, k), BROADCAST_HOSTS), "host", "left")
     total = F.col("ll")
     for part in ("declared_ll", "suffix_ll", "host_ll"):
@@ -148,9 +170,11 @@ def identified(rows: DataFrame) -> DataFrame:
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
-    """documents: the declared language is lang, the host is source; there is no address."""
-    none = F.lit(None).cast("string")
-    return docs.select("doc_id", "text", F.lower("lang").alias("declared"), none.alias("suffix"), F.col("source").cast("string").alias("host"), none.alias("domain"))
+    """documents: the declared language is lang, the host is source, its domain the source's name without a number at its end. Where a source
+    is an address, the suffix is its last label; other sources have none."""
+    host = F.lower(F.col("source").cast("string"))
+    suffix = F.nullif(F.regexp_extract(host, r"^(?:\w+://)?[^/?#:]*\.([a-z]{2,})(?:[/?#:]|$)", 1), F.lit(""))
+    return docs.select("doc_id", "text", F.lower("lang").alias("declared"), suffix.alias("suffix"), host.alias("host"), F.regexp_replace(host, "[0-9]+$", "").alias("domain"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -165,5 +189,5 @@ def accepted(docs: DataFrame) -> DataFrame:
     """docs (the columns they had) without those whose language stays unknown. A row goes by its own verdict: by its id and all that was judged."""
     rejected = identified(document_rows(docs).withColumn("digest", F.md5("text"))).filter("not kept").select(F.col("doc_id").alias("rejected_id"), "declared", "host", "digest").distinct()
     same = docs["doc_id"].eqNullSafe(rejected["rejected_id"]) & F.md5(docs["text"]).eqNullSafe(rejected["digest"])
-    same &= F.lower(docs["lang"]).eqNullSafe(rejected["declared"]) & docs["source"].cast("string").eqNullSafe(rejected["host"])
+    same &= F.lower(docs["lang"]).eqNullSafe(rejected["declared"]) & F.lower(docs["source"].cast("string")).eqNullSafe(rejected["host"])
     return docs.join(rejected, same, "left_anti")
