@@ -6,18 +6,21 @@ Blocks labelled as content are joined by one line feed.
 
 The labeller is trained here, on the driver, on at most TRAIN_PAGES pages (those of the smallest hashes) and copies of
 them with boilerplate of many kinds put in; training labels come from the semantic elements (article and main against
-navigation, header, footer, aside, forms, adverts, notices, comments).
+navigation, header, footer, aside, forms, adverts, notices, comments). Some copies keep the labels and lose the elements that told them:
+their articles stand in plain divisions or table cells, as older sites have them.
 
 Cases: null and empty html, and pages without content, give the empty string; scripts, styles, comments and markup never count as text;
-unclosed tags, comments and quotes end with the page; rows that repeat are treated alike; whole pages are read, however long; an
-empty table gives an empty one; extra columns are not read."""
+unclosed tags, comments and quotes end with the page; rows that repeat are treated alike; whole pages are read, however long and however
+deep (time and memory grow with the page's length); an empty table gives an empty one; extra columns are not read."""
 
 from __future__ import annotations
 
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ EPOCHS, RATE, SEED = 40, 0.02, 7
 PAGES_AT_ONCE, STEPS_AT_ONCE = 128, 1 << 14
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_RAW = frozenset("script style noscript template iframe object svg canvas math".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msub msup msubsup msqrt mroot mover munder semantics".split())
+_RAW = frozenset("script style template iframe".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _PARTS = re.compile(r"[a-z]+")
@@ -47,10 +50,125 @@ _CONTENT = frozenset(("article", "main"))
 _NOISE = frozenset("nav header footer aside form button select dialog head menu ad ads advert advertisement banner sponsored promo sidebar comment comments reply replies notice cookie consent newsletter subscribe share social related breadcrumb breadcrumbs pagination widget popup modal navigation contentinfo complementary".split())
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """The page's blocks in order: tokens of the path (elements, and words of class, id and role), text, share of text in links."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Element:
+    """An open element: its name, its own words (of class, id and role), what is around it, whether it is in a link; `sum`, the vector of its whole path, is made once."""
+
+    __slots__ = ("name", "up", "linked", "own", "sum")
+
+    def __init__(self, name: str, extra: tuple[str, ...], up: Element | None) -> None:
+        self.name, self.up = name, up
+        self.linked = name == "a" or (up is not None and up.linked)
+        self.own = () if name in _INLINE else (name, *extra)
+        self.sum: np.ndarray | None = None
+
+    def path(self) -> tuple[str, ...]:
+        """The words of all elements around, the outermost first."""
+        chain, e = [], self
+        while e is not None:
+            chain.append(e.own)
+            e = e.up
+        return tuple(t for own in reversed(chain) for t in own)
+
+    def vector(self) -> np.ndarray:
+        """The hashed words of the whole path: those of the elements around are added up once."""
+        chain, e = [], self
+        while e is not None and e.sum is None:
+            chain.append(e)
+            e = e.up
+        total = np.zeros(PATH_SIZE, dtype=np.float32) if e is None else e.sum
+        for e in reversed(chain):
+            if e.own:
+                total = total + path_vector(e.own)
+            e.sum = total
+        return total
+
+
+def path_vector(words: tuple[str, ...]) -> np.ndarray:
+    out = np.zeros(PATH_SIZE, dtype=np.float32)
+    for t in words:
+        h = zlib.crc32(t.encode())
+        out[h % PATH_SIZE] += 1 if h & 0x10000 else -1
+    return out
+
+
+class Block(NamedTuple):
+    """A block's innermost element, its text and the share of it in links; words: a path in place of the element's, for training."""
+
+    element: Element
+    text: str
+    links: float
+    words: tuple[str, ...] | None = None
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.element.path() if self.words is None else self.words
+
+
+_ROOT = Element("b", (), None)
+
+
+class Element:
+    """An open element: its name, its own words (of class, id and role), what is around it, whether it is in a link; `sum`, the vector of its whole path, is made once."""
+
+    __slots__ = ("name", "up", "linked", "own", "sum")
+
+    def __init__(self, name: str, extra: tuple[str, ...], up: Element | None) -> None:
+        self.name, self.up = name, up
+        self.linked = name == "a" or (up is not None and up.linked)
+        self.own = () if name in _INLINE else (name, *extra)
+        self.sum: np.ndarray | None = None
+
+    def path(self) -> tuple[str, ...]:
+        """The words of all elements around, the outermost first."""
+        chain, e = [], self
+        while e is not None:
+            chain.append(e.own)
+            e = e.up
+        return tuple(t for own in reversed(chain) for t in own)
+
+    def vector(self) -> np.ndarray:
+        """The hashed words of the whole path: those of the elements around are added up once."""
+        chain, e = [], self
+        while e is not None and e.sum is None:
+            chain.append(e)
+            e = e.up
+        total = np.zeros(PATH_SIZE, dtype=np.float32) if e is None else e.sum
+        for e in reversed(chain):
+            if e.own:
+                total = total + path_vector(e.own)
+            e.sum = total
+        return total
+
+
+def path_vector(words: tuple[str, ...]) -> np.ndarray:
+    out = np.zeros(PATH_SIZE, dtype=np.float32)
+    for t in words:
+        h = zlib.crc32(t.encode())
+        out[h % PATH_SIZE] += 1 if h & 0x10000 else -1
+    return out
+
+
+class Block(NamedTuple):
+    """A block's innermost element, its text and the share of it in links; words: a path in place of the element's, for training."""
+
+    element: Element
+    text: str
+    links: float
+    words: tuple[str, ...] | None = None
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.element.path() if self.words is None else self.words
+
+
+_ROOT = Element("b", (), None)
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's blocks in order. The cost of a tag does not depend on how deep it stands: an end tag of which no element is open is passed over."""
+    out: list[Block] = []
+    stack: list[Element] = [_ROOT]
+    is_open: Counter[str] = Counter()
     text: list[str] = []
     linked = at = 0
 
@@ -58,23 +176,26 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         nonlocal linked
         plain = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
         if plain:
-            out.append((tuple(t for name, extra in stack if name not in _INLINE for t in (name, *extra)), plain, min(1.0, linked / max(1, len(plain)))))
+            out.append(Block(stack[-1], plain, min(1.0, linked / max(1, len(plain)))))
         text.clear()
         linked = 0
 
     def close(names: tuple[str, ...], until: frozenset[str] = frozenset()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
+        if not any(is_open[n] for n in names):
+            return
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name in names:
+                is_open.subtract(e.name for e in stack[i:])
                 del stack[i:]
                 return
-            if stack[i][0] in until:
+            if stack[i].name in until:
                 return
 
     while at < len(page):
         m = _TAG.search(page, at)
         piece = page[at : m.start() if m else len(page)]
         text.append(piece)
-        if piece and any(name == "a" for name, _ in stack):
+        if piece and stack[-1].linked:
             linked += len(piece.strip())
         if not m:
             break
@@ -90,7 +211,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             close((name,))
             continue
         if name in _RAW:
-            end = re.compile(rf"</{name}[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             continue
         if name in _ENDS_P:
@@ -99,25 +220,24 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             close(_CLOSES[name], frozenset(("ul", "ol", "table", "dl", "select")))
         if name not in _VOID and not (m[3] or m[6] or "").endswith("/"):
             extra = tuple(t for x in _NAMES.findall(m[3] or m[6] or "") for t in _PARTS.findall("".join(x).lower()))
-            stack.append((name, extra))
+            stack.append(Element(name, extra, stack[-1]))
+            is_open[name] += 1
     flush()
     return out
 
 
-def vectors(page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+def vectors(page: list[Block]) -> np.ndarray:
     x = np.zeros((len(page), SIZE), dtype=np.float32)
-    for i, (path, text, links) in enumerate(page):
-        for t in path:
-            h = zlib.crc32(t.encode())
-            x[i, h % PATH_SIZE] += 1 if h & 0x10000 else -1
-        words = text.lower().split(" ")
+    for i, b in enumerate(page):
+        x[i, :PATH_SIZE] = b.element.vector() if b.words is None else path_vector(b.words)
+        words = b.text.lower().split(" ")
         # From WORDS words on, divided by the root of their number: sums of long blocks spread no wider.
         unit = 0.2 / max(1.0, (len(words) / WORDS) ** 0.5)
         for w in words:
             h = zlib.crc32(w.encode())
             x[i, PATH_SIZE + h % WORD_SIZE] += unit if h & 0x10000 else -unit
-        n = len(text)
-        x[i, -4:] = links, np.log1p(n) / 8, sum(text.count(c) for c in ".,;!?") / (1 + n / 20), i / len(page)
+        n = len(b.text)
+        x[i, -4:] = b.links, np.log1p(n) / 8, sum(b.text.count(c) for c in ".,;!?") / (1 + n / 20), i / len(page)
     return np.clip(x, -2, 2)
 
 
@@ -215,21 +335,29 @@ def packed(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def _put_in(page: list, r: np.random.Generator, phrases: list[str]) -> list:
-    """A copy of the page with boilerplate of several kinds around and between its blocks, and paths as other sites have them."""
+#: What stands for the article's element in a copy: by its name, by a class, or by nothing but the layout.
+_ARTICLES = (("article",), ("main",), ("div", "content"), ("div", "post"), ("section", "entry"), ("div",), ("table", "tr", "td"), ("table", "tbody", "tr", "td"))
+
+
+#: What stands for the article's element in a copy: by its name, by a class, or by nothing but the layout.
+_ARTICLES = (("article",), ("main",), ("div", "content"), ("div", "post"), ("section", "entry"), ("div",), ("table", "tr", "td"), ("table", "tbody", "tr", "td"))
+
+
+def _put_in(page: list[tuple[Block, float]], r: np.random.Generator, phrases: list[str]) -> list[tuple[Block, float]]:
+    """A copy of the page's blocks and labels with boilerplate of several kinds around and between them, and paths as other sites have them."""
     noise = sorted(_NOISE - {"head"})
     around = ("body", "div", "section", "ul", "li", "p", "span")
-    renamed = ["article", "main"][int(r.integers(2))]
+    renamed = _ARTICLES[int(r.integers(2))] if r.random() < 0.6 else _ARTICLES[int(r.integers(len(_ARTICLES)))]
     # Containers on the way to the content: their own words say nothing.
-    outer = tuple(r.choice(["div", "section", "wrapper", "page", "content", "container", "post", "entry", "body"], int(r.integers(0, 4))))
-    out = [((*path[:2], *outer, *(renamed if t == "article" else t for t in path[2:])), text, links) for path, text, links in page]
+    outer = tuple(str(x) for x in r.choice(["div", "section", "wrapper", "page", "content", "container", "post", "entry", "body"], int(r.integers(0, 4))))
+    out = [(b._replace(words=(*b.path[:2], *outer, *(x for t in b.path[2:] for x in (renamed if t in _CONTENT else (t,))))), yes) for b, yes in page]
     for _ in range(int(r.integers(1, 6))):
         kind = noise[int(r.integers(len(noise)))]
         inside = r.random() < 0.4
-        path = ("html", "body", *((renamed,) if inside else ()), str(r.choice(around)), kind, *(str(x) for x in r.choice(around, int(r.integers(0, 3)))))
+        path = ("html", "body", *(renamed if inside else ()), str(r.choice(around)), kind, *(str(x) for x in r.choice(around, int(r.integers(0, 3)))))
         at = int(r.integers(len(out) + 1))
         for _ in range(int(r.integers(1, 5))):
-            out.insert(at, (path, phrases[int(r.integers(len(phrases)))], float(r.random() < 0.5)))
+            out.insert(at, (Block(_ROOT, phrases[int(r.integers(len(phrases)))], float(r.random() < 0.5), path), 0.0))
     return out
 
 
@@ -239,16 +367,16 @@ def fit(pages: DataFrame) -> Labeller:
     # Hashes under a bound that leaves about twice as many pages: the sort has few rows to send.
     few = F.pmod(F.xxhash64("url", "html"), F.lit(whole)) < max(1, min(whole, 2 * TRAIN_PAGES * whole // max(1, pages.count())))
     rows = pages.filter(F.length("html").between(1, TRAIN_BYTES) & few).select("html").orderBy(F.xxhash64("url", "html"), "html").limit(TRAIN_PAGES).collect()
-    seen = [b for b in (blocks(r["html"]) for r in rows) if b]
-    if not any(weak_label(p) for b in seen for p, _, _ in b):
-        seen.append([(("html", "body", "nav"), "home", 1.0), (("html", "body", "article", "p"), "A sentence of some length, as articles have them.", 0.0), (("html", "body", "footer"), "imprint", 0.5)])
+    seen = [[(b, weak_label(b.path)) for b in page] for page in (blocks(r["html"]) for r in rows) if page]
+    if not any(yes for page in seen for _, yes in page):
+        seen.append([(Block(_ROOT, text, links, path), weak_label(path)) for path, text, links in ((("html", "body", "nav"), "home", 1.0), (("html", "body", "article", "p"), "A sentence of some length, as articles have them.", 0.0), (("html", "body", "footer"), "imprint", 0.5))])
     r = np.random.default_rng(SEED)
-    phrases = [t for b in seen for _, t, _ in b]
-    seen = [*seen, *(_put_in(b, r, phrases) for b in seen for _ in range(2))]
-    return Labeller().train([vectors(b) for b in seen], [np.array([weak_label(p) for p, _, _ in b], dtype=np.float32) for b in seen])
+    phrases = [b.text for page in seen for b, _ in page]
+    seen = [*seen, *(_put_in(page, r, phrases) for page in seen for _ in range(2))]
+    return Labeller().train([vectors([b for b, _ in page]) for page in seen], [np.array([yes for _, yes in page], dtype=np.float32) for page in seen])
 
 
-def label(model: Labeller, pages: list[list]) -> list[np.ndarray]:
+def label(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
     """Whether each block of each page is content. Pages of a like length are run together."""
     out: list[np.ndarray] = [np.zeros(0, dtype=bool)] * len(pages)
     order, k = sorted((i for i, b in enumerate(pages) if b), key=lambda i: len(pages[i])), 0
@@ -274,7 +402,7 @@ def main_text(pages: DataFrame, model: Labeller | None = None, key: str = "page_
             for i in range(0, batch.num_rows, PAGES_AT_ONCE):
                 part = batch.slice(i, PAGES_AT_ONCE)
                 seen = [blocks(x.as_py() or "") for x in part.column(2)]
-                texts = ["\n".join(text for (_, text, _), yes in zip(b, keep, strict=True) if yes) for b, keep in zip(seen, label(net, seen), strict=True)]
+                texts = ["\n".join(x.text for x, yes in zip(b, keep, strict=True) if yes) for b, keep in zip(seen, label(net, seen), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[key, "url", "text", "n_chars"])
 
     return pages.select(key, "url", "html").mapInArrow(run, f"{key} {dict(pages.dtypes)[key]}, url string, text string, n_chars bigint")

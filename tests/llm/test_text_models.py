@@ -124,7 +124,8 @@ def test_host_priors_decide_texts_that_say_little(spark):
 
 def test_all_names_and_words_of_a_block_are_read():
     page = "<div class='a b c d e f g h sidebar'><p>" + "word " * 60 + "%s</p></div>"
-    (path, text, _), = html_text.blocks(page % "last")
+    (block,) = html_text.blocks(page % "last")
+    path, text = block.path, block.text
     assert "sidebar" in path and text.endswith("last")
     one, other = (html_text.vectors(html_text.blocks(page % w)) for w in ("last", "cookie"))
     words = slice(html_text.PATH_SIZE, html_text.PATH_SIZE + html_text.WORD_SIZE)
@@ -157,3 +158,97 @@ def test_main_text_of_odd_pages(spark):
     assert len(got) == 7 and by[1] == by[2] == by[3] == ""
     assert by[4] == "One & two three\nfour" and by[5] == "unclosed" and by[6] == "\n".join(["word word"] * 3000)
     assert html_text.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+
+
+def test_languages_in_several_processes_and_copies_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    many = docs.selectExpr("doc_id", "text", "concat(lang, '-', doc_id % 2) AS lang", "source")
+    verdict = lambda df: sorted((r["doc_id"], r["language"], round(r["confidence"], 4)) for r in language.identified(language.document_rows(df)).collect())
+    one = verdict(many)
+    assert len({x[1] for x in one}) > 5
+    monkeypatch.setattr(language, "LANGUAGES_AT_ONCE", 3)
+    assert verdict(many) == one
+    # A language whose rows are mostly copies of one text is still told by its other texts.
+    copies = spark.range(1000, 3000).selectExpr("id AS doc_id", "'uno y el mismo texto' AS text", "'es' AS lang", "'s' AS source")
+    monkeypatch.setattr(language, "FIT_ROWS", 60)
+    got = language.identified(language.document_rows(docs.select("doc_id", "text", "lang", "source").union(copies))).collect()
+    assert np.mean([r["language"] == r["declared"] for r in got if r["doc_id"] < 1000]) > 0.9
+    languages, table = language.fit(language.document_rows(docs.select("doc_id", "text", "lang", "source").union(copies)))
+    assert languages == ["de", "en", "es", "fr"] and np.allclose(np.exp(table.astype(float)).sum(axis=1), 1, atol=1e-3)
+
+
+def test_pages_use_markup_suffix_and_domain(spark):
+    texts = {"xx": "alpha beta gamma delta words words {}", "yy": "eins zwei drei vier sieben acht {}"}
+    rows = []
+    for i in range(120):
+        k = "xx" if i % 2 else "yy"
+        rows.append((i, f"http://h{i % 6}.site{i % 2}.{k}/p{i}", f"<html lang='{k}'><script>zwei zwei zwei</script><p>{texts[k].format(i)}</p></html>"))
+    rows += [(200, "http://h9.site1.com/", "<p>q</p>"), (201, "http://h8.site0.com/", "<p>q</p>"), (202, "http://new.org/", "<html lang=xx><p>q</p>"), (203, "http://other.yy/", "<p>q</p>"), (204, None, None), (205, "no address", "<p></p>")]
+    got = {r["page_id"]: r for r in language.identified(language.page_rows(spark.createDataFrame(rows, "page_id bigint, url string, html string"))).collect()}
+    assert all(got[i]["language"] == ("xx" if i % 2 else "yy") for i in range(120))
+    assert (got[202]["language"], got[203]["language"]) == ("xx", "yy")
+    assert got[204]["language"] == got[205]["language"] == "und" and not got[204]["kept"]
+    assert (got[3]["suffix"], got[3]["host"], got[3]["domain"], got[3]["declared"]) == ("xx", "h3.site1.xx", "site1.xx", "xx")
+
+
+def test_priors_are_smoothed_from_host_to_domain_to_table(spark):
+    """The grouped counts of a host with one row, against the formula."""
+    rows = [("a1", "a", 0)] * 30 + [("a2", "a", 1)] + [("b1", "b", 1)] * 9
+    got = {r["host"]: np.exp(r["host_ll"]) for r in language._priors(spark.createDataFrame(rows, "host string, domain string, guess int"), 2).collect()}
+    t = (np.array([30, 10]) + language.TABLE_ROWS / 2) / (40 + language.TABLE_ROWS)
+    d = (np.array([30, 1]) + language.DOMAIN_ROWS * t) / (31 + language.DOMAIN_ROWS)
+    assert np.allclose(got["a2"], (np.array([0, 1]) + language.HOST_ROWS * d) / (1 + language.HOST_ROWS))
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (5_000, 40_000):
+        began = time.process_time()
+        page = html_text.blocks("<div>x" * n + "</span>" * n)
+        assert len(page) == n and len(html_text.vectors(page)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.02)
+    assert html_text.blocks("<p>" + "<b>" * 3 + "one</b>")[0].path == ("p",)
+
+
+def test_text_of_all_elements_counts():
+    page = "<article><p>E = <math><mi>m</mi><mo>c</mo></math> it</p><noscript>plain</noscript><object>fallback</object><canvas>drawn</canvas><svg><text>axis</text></svg><script>no()</script></article>"
+    assert [b.text for b in html_text.blocks(page)] == ["E = mc it", "plain", "fallback", "drawn", "axis"]
+
+
+def test_an_article_without_semantic_elements(spark):
+    model = html_text.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    body = "".join(f"<p>{prose(random.Random(k), 40)}, and so on. {prose(random.Random(k + 50), 30)}.</p>" for k in range(6))
+    for kind in ("<table><tr><td>%s</td></tr></table>", "<div>%s</div>", "<div class='content'>%s</div>"):
+        html = "<html><body><nav><a href=x>home</a><a href=y>news</a></nav>" + kind % body + "<footer>imprint</footer></body></html>"
+        (got,) = html_text.main_text(spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string"), model).collect()
+        assert got["text"].count("\n") == 5 and "home" not in got["text"] and "imprint" not in got["text"], kind
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (5_000, 40_000):
+        began = time.process_time()
+        page = html_text.blocks("<div>x" * n + "</span>" * n)
+        assert len(page) == n and len(html_text.vectors(page)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.02)
+    assert html_text.blocks("<p>" + "<b>" * 3 + "one</b>")[0].path == ("p",)
+
+
+def test_text_of_all_elements_counts():
+    page = "<article><p>E = <math><mi>m</mi><mo>c</mo></math> it</p><noscript>plain</noscript><object>fallback</object><canvas>drawn</canvas><svg><text>axis</text></svg><script>no()</script></article>"
+    assert [b.text for b in html_text.blocks(page)] == ["E = mc it", "plain", "fallback", "drawn", "axis"]
+
+
+def test_an_article_without_semantic_elements(spark):
+    model = html_text.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    body = "".join(f"<p>{prose(random.Random(k), 40)}, and so on. {prose(random.Random(k + 50), 30)}.</p>" for k in range(6))
+    for kind in ("<table><tr><td>%s</td></tr></table>", "<div>%s</div>", "<div class='content'>%s</div>"):
+        html = "<html><body><nav><a href=x>home</a><a href=y>news</a></nav>" + kind % body + "<footer>imprint</footer></body></html>"
+        (got,) = html_text.main_text(spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string"), model).collect()
+        assert got["text"].count("\n") == 5 and "home" not in got["text"] and "imprint" not in got["text"], kind
