@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ripplegraph.llm.common import bounded_broadcast, new_folder
 
 #: Bytes of a full shard; shards of one tier that call for a merge; bytes of the smallest tier.
-TARGET_BYTES, FANOUT, UNIT_BYTES = 128 << 20, 4, 1 << 20
+TARGET_BYTES, FANOUT, UNIT_BYTES = 64 << 20, 4, 1 << 20
 #: Files of a merge plan that may be broadcast (a name and three numbers each).
 BROADCAST_ROWS = 500_000
 MANIFEST = "file string, bytes bigint, rows bigint, first struct<batch: bigint, at: struct<file: string, index: bigint>>, shard bigint"
