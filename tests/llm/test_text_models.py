@@ -62,18 +62,131 @@ def test_language_model_odd_rows(odd, none):
     assert language_model.scored(none).collect() == []
 
 
-def test_seating_of_one_restaurant_matches_its_expectation():
-    n = np.full(4000, 6, dtype=np.int64)
-    w = language_model.mixed(np.arange(4000, dtype=np.uint64))
-    got = language_model.tables(n, np.full(4000, 0.7), 0.4, w, np.zeros(4000, dtype=np.int64), 1).mean()
+def partitions_of(n):
+    """The sizes of the blocks of every way to deal n customers to tables."""
+    if not n:
+        yield ()
+        return
+    for rest in partitions_of(n - 1):
+        yield (*rest, 1)
+        for k in range(len(rest)):
+            yield (*rest[:k], rest[k] + 1, *rest[k + 1 :])
+
+
+def test_seating_of_one_restaurant_follows_its_law():
+    n, alpha, p, d = 6, 1.3, 0.2, 0.4
+    weight = Counter()
+    for sizes in partitions_of(n):
+        w = math.prod(math.prod(j - d for j in range(1, s)) for s in sizes) * math.prod((alpha + d * i) * p for i in range(len(sizes)))
+        weight[len(sizes)] += w
+    many = 40_000
+    w = language_model.mixed(np.arange(many, dtype=np.uint64))
+    got = language_model.tables(np.full(many, n), np.full(many, alpha), np.full(many, p), d, w, np.zeros(many, dtype=np.int64), 1)
+    for t, x in weight.items():
+        assert abs((got == t).mean() - x / sum(weight.values())) < 0.01
+
+
+def test_seating_of_many_customers_follows_the_restaurant():
+    """With all of the parent's chance on one dish the law is that of the restaurant itself, seated one by one."""
+    n, alpha, d = 500, 3.0, 0.6
+    w = language_model.mixed(np.arange(3000, dtype=np.uint64))
+    got = language_model.tables(np.full(3000, n), np.full(3000, alpha), np.ones(3000), d, w, np.zeros(3000, dtype=np.int64), 1)
     r = np.random.default_rng(0)
-    want = []
-    for _ in range(4000):
-        t = 1
-        for j in range(1, 6):
-            t += r.random() < 0.7 / (0.7 + j - 0.4 * t)
-        want.append(t)
-    assert abs(got - np.mean(want)) < 0.06
+    t = np.ones(3000)
+    for j in range(1, n):
+        t += r.random(3000) < (alpha + d * t) / (alpha + j)
+    assert abs(got.mean() - t.mean()) < 0.03 * t.mean() and abs(got.std() - t.std()) < 0.1 * t.std()
+
+
+def test_binomial_quantiles():
+    u = (np.arange(20_000) + 0.5) / 20_000
+    for m, p in ((8, 0.3), (100, 0.02), (1000, 0.4), (5, 1.0), (7, 0.0)):
+        got = language_model.binomial(np.full(len(u), m), np.full(len(u), p), u)
+        assert abs(got.mean() - m * p) < 0.02 * m * p + 0.01 and abs(got.var() - m * p * (1 - p)) < 0.05 * m * p * (1 - p) + 0.01
+
+
+def plain_model(train, sweeps=60, burn=20, seed=3):
+    """The same hierarchy, seated customer by customer: a probability function of (word, context)."""
+    r = random.Random(seed)
+    d, a, d0, a0 = language_model.DISCOUNT, language_model.STRENGTH, language_model.ROOT_DISCOUNT, language_model.ROOT_STRENGTH
+    events = [(c, w) for text in train for c, w in zip([None, *tokens(text)[:-1]], tokens(text), strict=True)]
+    known = len({w for _, w in events})
+    rooms = {None: {}}  # context or None for the parent: word: sizes of its tables
+
+    def chance(room, w):
+        sizes = rooms["ROOT"].get(w, []) if room == "ROOT" else rooms[room].get(w, [])
+        n, t = totals[room]
+        dd, aa, base = (d0, a0, 1 / (known + 1)) if room == "ROOT" else (d, a, chance("ROOT", w))
+        return ((sum(sizes) - dd * len(sizes)) + (aa + dd * t) * base) / (aa + n)
+
+    def seat(room, w):
+        sizes = rooms[room].setdefault(w, [])
+        dd, aa = (d0, a0) if room == "ROOT" else (d, a)
+        new = (aa + dd * totals[room][1]) * (1 / (known + 1) if room == "ROOT" else chance("ROOT", w))
+        weights = [s - dd for s in sizes] + [new]
+        k = r.choices(range(len(weights)), weights)[0]
+        totals[room][0] += 1
+        if k < len(sizes):
+            sizes[k] += 1
+        else:
+            sizes.append(1)
+            totals[room][1] += 1
+            if room != "ROOT":
+                seat("ROOT", w)
+
+    def leave(room, w):
+        sizes = rooms[room][w]
+        k = r.choices(range(len(sizes)), sizes)[0]
+        sizes[k] -= 1
+        totals[room][0] -= 1
+        if not sizes[k]:
+            del sizes[k]
+            totals[room][1] -= 1
+            if room != "ROOT":
+                leave("ROOT", w)
+
+    rooms = {"ROOT": {}, **{("c", c): {} for c, _ in events}}
+    totals = {k: [0, 0] for k in rooms}
+    for c, w in events:
+        seat(("c", c), w)
+    probe, sums = {(c, w) for c, w in events}, Counter()
+    for s in range(sweeps):
+        for c, w in events:
+            leave(("c", c), w)
+            seat(("c", c), w)
+        if s >= burn:
+            for c, w in probe:
+                sums[c, w] += chance(("c", c), w) / (sweeps - burn)
+    return sums
+
+
+def test_scores_are_those_of_a_plain_sampler(spark):
+    r = random.Random(21)
+    texts = {}
+    for i in range(60):
+        w = [r.choice("abcdefgh")]
+        for _ in range(25):
+            w.append(chr(97 + (ord(w[-1]) - 97 + r.choice([1, 1, 1, 2, 3])) % 8) if r.random() < 0.8 else r.choice("abcdefghxyz"))
+        texts[i] = " ".join(w)
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    want = plain_model(train)
+    got = {x["doc_id"]: x for x in language_model.scored(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    off = []
+    for i, t in texts.items():
+        pairs = list(zip([None, *tokens(t)[:-1]], tokens(t), strict=True))
+        if all(p in want for p in pairs):
+            plain = sum(math.log10(want[p]) for p in pairs)
+            off.append(got[i]["score"] / plain - 1)
+    assert len(off) > 50 and abs(np.mean(off)) < 0.02 and np.abs(off).max() < 0.08
+
+
+def test_frequent_words_do_not_depend_on_the_partitions(spark):
+    r = random.Random(5)
+    rows = [(i, prose(r, 60, 40 if i < 100 else 5000)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    one = language_model.frequent(docs.coalesce(1))
+    many = language_model.frequent(docs.repartition(17))
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(one, many, strict=True))
 
 
 def best_cut(word: bytes, scored: dict[bytes, float]) -> int:
