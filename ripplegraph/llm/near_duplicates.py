@@ -1,17 +1,20 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
-A document's set holds the 64-bit hashes of its distinct word shingles; its sketch the SKETCH smallest. Documents with equal
-sets form a class, and one of them stands for it. Two sets of a similarity of 0.8 or more have at least NEED of a sketch in common (for
+A document's set holds the 64-bit hashes of its distinct word shingles; its sketch the smallest of them. Documents with equal
+sets form a class, and one of them stands for it. Two sets of a similarity of 0.8 or more have at least `need` of a sketch in common (for
 sketches of 64 values the chance of fewer is below 1e-4 at 0.8 exactly, and far less above; a set no larger
 than its sketch leaves no chance). Such sketches share one of their rarest values: only those enter the inverted lists, which
 keeps passages that many documents share out of them. In every list the member whose values are the most frequent is
-the centre, and each member is compared with it. Members that these links leave apart get sketches of LONG values (the whole set, for
+the centre, and each member is compared with it. Members that these links leave apart get longer sketches (the whole set, for
 most), from which again the rarest enter lists. Each is compared with its lists' new centres, and only what is then still
 apart with one another: of a list only those pairs are taken in which enough values follow the shared one
 in both orders to reach the threshold, so that a large group of texts that are nearly, but not quite, alike gives few pairs.
 A pair is estimated from the union of its sketches, and what may reach the threshold is confirmed on the full sets,
 made again from the whole texts.
 
+All that may lose a link is in Bounds: with EXACT the sketches are the whole sets, as many values are asked for as the threshold
+itself asks, and estimates have no slack to need, so that no link is lost, at the price of longer lists.
+
 Cases: texts without words have no set and stay alone; a text of fewer words than a shingle has one shingle, all of them;
 a null doc_id is linked with nothing, has a null component and is kept; rows that repeat a doc_id are one node, and each of them is returned;
 ties go to the smaller doc_id; extra columns are not read; an empty table gives an empty one."""
@@ -19,6 +22,7 @@ ties go to the smaller doc_id; extra columns are not read; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +35,24 @@ from ripplegraph.llm.words import U, Words, mixed, slices, words
 
 #: Words of a shingle, percent of similarity.
 SHINGLE, PERCENT = 4, 80
-SKETCH, NEED = 64, 0.6
-#: The second sketch: sets of up to LONG values are whole in it; a larger one shares NEED_LONG of it (five standard deviations).
-LONG, NEED_LONG = 1024, 0.7375
 #: Values known by their frequency (the most frequent ones); all others count as equally rare.
 RANKED_VALUES, FREQUENT = 1_000_000, 24
-#: Estimates may fall short of the threshold by so much.
-SLACK = 0.22
+
+
+class Bounds(NamedTuple):
+    """sketch: values of a sketch; need: the share of it that linked sets have in common, at least; long, need_long: those of the second sketch, where sets of up to
+    `long` values are whole and go by the threshold; slack: what an estimate may fall short of it."""
+
+    sketch: int = 64
+    need: float | None = 0.6
+    long: int = 1024
+    need_long: float = 0.7375
+    slack: float = 0.22
+
+
+#: need is 4.9 and need_long five standard deviations below the threshold of 0.8; need None: the threshold itself.
+SAMPLED = Bounds()
+EXACT = Bounds(sketch=1 << 30, need=None, long=1 << 30, need_long=1.0, slack=0.0)
 
 
 def shingle_sets(w: Words, width: int) -> Iterator[np.ndarray]:
@@ -57,7 +72,7 @@ def shingle_sets(w: Words, width: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, dtype=np.int64)
 
 
-def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+def sketches(docs: DataFrame, width: int = SHINGLE, size: int = SAMPLED.sketch) -> DataFrame:
     """doc_id, n_shingles, f and g (128 bits that stand for the set), sketch (ascending)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +84,7 @@ def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                     n.append(len(s))
                     f.append(int(mixed(u ^ U(0xA5A5)).sum().astype(np.int64)))
                     g.append(int(mixed(u + U(0x1234567)).sum().astype(np.int64)))
-                    sketch.append(s[:SKETCH])
+                    sketch.append(s[:size])
                 at = np.concatenate([[0], np.cumsum([len(x) for x in sketch])]).astype(np.int32)
                 values = np.concatenate(sketch) if sketch else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.ListArray.from_arrays(at, values)], names=["doc_id", "n_shingles", "f", "g", "sketch"])
@@ -85,7 +100,7 @@ def ranked_values(sets: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     return top.column("value").to_numpy(), top.column("c").to_numpy()
 
 
-def rare_values(sets: DataFrame, least: int, long: bool = False, percent: int = PERCENT) -> DataFrame:
+def rare_values(sets: DataFrame, least: int, long: bool = False, percent: int = PERCENT, bounds: Bounds = SAMPLED) -> DataFrame:
     """id, f, n, root, value, i, s, weight: each row's rarest sketch values with their places in its order, the sketch's size, and how frequent all its values are."""
     spec = sets.sparkSession.sparkContext.broadcast(ranked_values(sets, least))
 
@@ -103,7 +118,8 @@ def rare_values(sets: DataFrame, least: int, long: bool = False, percent: int =
             size = np.diff(at)
             row = np.repeat(np.arange(len(lists)), size)
             order = np.lexsort((flat, c, row))
-            need = np.ceil(size * (np.where(np.asarray(batch.column("n")) > 0.8 * LONG, NEED_LONG, percent / 100) - 1e-9 if long else NEED))
+            share = np.where(np.asarray(batch.column("n")) > 0.8 * bounds.long, bounds.need_long, percent / 100) if long else bounds.need or percent / 100
+            need = np.ceil(size * share - 1e-9)
             place = np.arange(len(flat)) - at[row]
             take = place < (size - need + 1)[row]
             first = order[take]
@@ -115,15 +131,15 @@ def rare_values(sets: DataFrame, least: int, long: bool = False, percent: int =
     return sets.select("id", "f", "n", "root", "sketch").mapInArrow(run, f"id {kind}, f bigint, n bigint, root {kind}, value bigint, i bigint, s bigint, weight double")
 
 
-def long_sketches(rows: DataFrame, width: int) -> DataFrame:
-    """rows (id, f, n, root, text) with sketch, the LONG smallest values, for text."""
+def long_sketches(rows: DataFrame, width: int, long: int) -> DataFrame:
+    """rows (id, f, n, root, text) with sketch, the `long` smallest values, for text."""
     kept = [c for c in rows.columns if c != "text"]
     types = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sketch = [x[:LONG] for x in shingle_sets(words(part.column("text")), width)]
+                sketch = [x[:long] for x in shingle_sets(words(part.column("text")), width)]
                 at = np.concatenate([[0], np.cumsum([len(x) for x in sketch])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.ListArray.from_arrays(at, np.concatenate(sketch) if sketch else np.zeros(0, dtype=np.int64))], names=[*kept, "sketch"])
 
@@ -135,15 +151,15 @@ def _like(percent: int) -> str:
     return f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
 
 
-def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def estimated(pairs: DataFrame, classes: DataFrame, percent: int, bounds: Bounds) -> DataFrame:
     """The pairs (a, fa, b, fb) that the union of their sketches leaves possible."""
     s = classes.select("id", "f", "sketch")
     both = pairs.join(s.toDF("a", "fa", "sa"), ["a", "fa"]).join(s.toDF("b", "fb", "sb"), ["b", "fb"])
-    union = f"slice(array_sort(array_union(sa, sb)), 1, {SKETCH})"
+    union = f"slice(array_sort(array_union(sa, sb)), 1, {bounds.sketch})"
     share = F.expr(f"size(array_intersect(array_intersect({union}, sa), sb)) / size({union})")
     # Sets no larger than a sketch are known whole: their estimate is exact.
-    exact = (F.size("sa") < SKETCH) & (F.size("sb") < SKETCH) & (F.expr("size(array_union(sa, sb))") <= SKETCH)
-    return both.filter(F.when(exact, share >= percent / 100 - 1e-9).otherwise(share >= percent / 100 - SLACK)).select("a", "fa", "b", "fb")
+    exact = (F.size("sa") < bounds.sketch) & (F.size("sb") < bounds.sketch) & (F.expr("size(array_union(sa, sb))") <= bounds.sketch)
+    return both.filter(F.when(exact, share >= percent / 100 - 1e-9).otherwise(share >= percent / 100 - bounds.slack)).select("a", "fa", "b", "fb")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -160,13 +176,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Da
     return both.select("a", "fa", "b", "fb", "ta", "tb").mapInArrow(run, f"a {kinds['a']}, fa bigint, b {kinds['b']}, fb bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, bounds: Bounds = SAMPLED) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; bounds: EXACT loses no link, SAMPLED one in ten thousand of those at the threshold itself."""
     # The texts are read twice, so that the sketches are stored once, for the classes alone.
     seen = written(sketches(docs, width).drop("sketch"), "sets")
     usable = seen.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(sketches(docs, width).filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f", "g").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    lists = rare_values(classes.withColumn("root", F.col("id")), FREQUENT).drop("root", "i", "s")
+    classes = written(sketches(docs, width, bounds.sketch).filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f", "g").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    lists = rare_values(classes.withColumn("root", F.col("id")), FREQUENT, percent=percent, bounds=bounds).drop("root", "i", "s")
     centre = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", "id", "f", "n")).alias("c")).filter("size > 1")
     lists = written(lists.join(centre.select("value", "c"), "value").select("value", "id", "f", "n", F.col("c.id").alias("cid"), F.col("c.f").alias("cf"), F.col("c.n").alias("cn")), "lists")
     texts = docs.select(F.col("doc_id"), "text")
@@ -178,7 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
         return ends.join(one_text(own, seen, width), ["id", "f"])
 
     def linked(pairs: DataFrame, step: str) -> DataFrame:
-        likely = written(estimated(pairs, classes, percent), f"likely-{step}")
+        likely = written(estimated(pairs, classes, percent, bounds), f"likely-{step}")
         ends = likely.select(F.col("a").alias("id"), F.col("fa").alias("f")).union(likely.select("b", "fb")).distinct()
         return written(confirmed(likely, with_text(ends), percent, width), f"links-{step}")
 
@@ -192,9 +208,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     named = lists.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     apart = named.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi AND m > 2").select("value")
     left = written(named.join(apart, "value", "left_semi").select("id", "f", "n", "root").distinct(), "apart")
-    long = written(rare_values(written(long_sketches(with_text(left), width), "long"), 2, True, percent), "long-lists")
+    long = written(rare_values(written(long_sketches(with_text(left), width, bounds.long), "long"), 2, True, percent, bounds), "long-lists")
     # Values that follow the shared one, itself included, bound what a pair whose first shared value it is can have in common.
-    enough = f"a.value = b.value AND {_like(percent)} AND CASE WHEN a.n <= {LONG} AND b.n <= {LONG} THEN {100 + percent} * least(a.n - a.i, b.n - b.i) >= {percent} * (a.n + b.n) ELSE least(a.s - a.i, b.s - b.i) >= {NEED_LONG} * least(a.s, b.s) END"
+    enough = f"a.value = b.value AND {_like(percent)} AND CASE WHEN a.n <= {bounds.long} AND b.n <= {bounds.long} THEN {100 + percent} * least(a.n - a.i, b.n - b.i) >= {percent} * (a.n + b.n) ELSE least(a.s - a.i, b.s - b.i) >= {bounds.need_long} * least(a.s, b.s) END"
     ends = [F.col("a.id").alias("a"), F.col("a.f").alias("fa"), F.col("b.id").alias("b"), F.col("b.f").alias("fb")]
     # Whole sets tell better which member is the most typical: once more each is compared with that one,
     middle = long.groupBy("value").agg(F.max(F.struct("weight", "id", "f", "n", "i", "s", "root")).alias("c")).select("value", "c.*")

@@ -97,3 +97,24 @@ def test_odd_rows(odd, none):
     assert {r["component_id"] for r in by[5]} == {5} and {r["component_id"] for r in by[6]} == {6}
     assert near_duplicates.near_duplicates(none).collect() == []
     assert near_duplicates.deduplicated(odd).columns == odd.columns
+
+
+def test_exact_bounds_lose_no_link_and_the_sampled_ones_hardly_any(spark):
+    """Pairs at and just above the threshold, where a sketch may fail."""
+    r = random.Random(77)
+    rows = []
+    for k in range(60):
+        text = prose(r, 100 + 13 * k, 10**6).split()
+        other = list(text)
+        # Each replaced word costs four shingles of a side; about as many as 80 percent allow.
+        for j in r.sample(range(len(text)), max(1, len(text) // 36 + k % 3 - 1)):
+            other[j] = f"z{r.randrange(10**6)}"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows)
+    linked = sum(want[i] != i for i, _ in rows)
+    assert 20 < linked < 60
+    exact = {x["doc_id"]: x["component_id"] for x in near_duplicates.near_duplicates(df, bounds=near_duplicates.EXACT).collect()}
+    assert exact == want
+    sampled = {x["doc_id"]: x["component_id"] for x in near_duplicates.near_duplicates(df).collect()}
+    assert sum(sampled[i] != want[i] for i in want) <= 1
