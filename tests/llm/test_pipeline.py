@@ -20,6 +20,14 @@ def test_stages_keep_their_columns_and_the_result_equals_brute_force(spark, tmp_
     assert sorted(x["doc_id"] for x in docs.collect()) == want
     last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert sorted(x["doc_id"] for x in last) == want
+    # The shards hold the documents in the order that mixing gave them.
+    order = [x["doc_id"] for x in docs.selectExpr("doc_id", "_metadata.file_name AS f", "_metadata.row_index AS i").orderBy("f", "i").collect()]
+    place = {x["doc_id"]: (x["slot"], x["place"]) for x in corpus_pipeline.mixing.mixed(docs).collect()}
+    assert [place[i] for i in order] == sorted(place.values())
+    at = {i: k for k, i in enumerate(order)}
+    for shard in {x["shard"] for x in last}:
+        own = [at[x["doc_id"]] for x in last if x["shard"] == shard]
+        assert own == sorted(own)
     assert sorted(x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
 
 
