@@ -49,6 +49,39 @@ def language(path: str) -> Column:
     return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.lower(extension(path))]
 
 
+#: Source languages that are not analysed, by extension: fixed values.
+UNREAD = {"py": "Python", "go": "Go", "rs": "Rust", "kt": "Kotlin", "kts": "Kotlin", "scala": "Scala", "groovy": "Groovy", "rb": "Ruby", "php": "PHP", "cs": "C#", "c": "C", "h": "C", "cc": "C++", "cpp": "C++", "hpp": "C++", "swift": "Swift", "m": "Objective-C", "vue": "Vue", "svelte": "Svelte", "dart": "Dart"}
+
+
+def unread_language(path: str) -> Column:
+    """The language of source code that is not analysed; null for other files."""
+    return F.create_map(*[F.lit(x) for kv in UNREAD.items() for x in kv])[F.lower(extension(path))]
+
+
+def owner_and_name(symbol: str) -> tuple[Column, Column]:
+    """The owner and the name of a member's id `owner#name(parameters)`."""
+    return F.substring_index(symbol, "#", 1), F.regexp_extract(symbol, r"#([^(#]*)", 1)
+
+
+def location(file: str, start: str, end: str) -> Column:
+    return F.concat(F.col(file), F.lit(":"), F.col(start).cast("string"), F.lit("-"), F.col(end).cast("string"))
+
+
+def without_controls(text: str) -> Column:
+    """Control characters that a terminal would obey as visible escapes; line ends and tabs stay."""
+    return F.regexp_replace(text, r"[\x00-\x08\x0b-\x1f\x7f-\x9f]", "?")
+
+
+def workflow_data(text: str) -> Column:
+    """Text inside a workflow command: per cent signs and line ends are encoded."""
+    return F.replace(F.replace(F.replace(text, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
+def path_uri(path: str) -> Column:
+    """A path as a URI: its components are encoded, its slashes stay."""
+    return F.replace(F.replace(F.url_encode(path), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20"))
+
+
 def excluded(path: str) -> Column:
     return F.array_contains(F.split(path, "/"), "node_modules") | F.col(path).endswith(".min.js") | F.col(path).endswith(".bundle.js")
 

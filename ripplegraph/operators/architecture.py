@@ -87,13 +87,30 @@ def is_api(closure: DataFrame, symbols: DataFrame) -> DataFrame:
     return g.select("id", (F.col("open") & (F.col("outer.visibility") == "public")).alias("api"))
 
 
-def surface_delta(base: DataFrame, head: DataFrame) -> DataFrame:
-    """id, change: API symbols (id, parent, api) that are gone (REMOVED), new (ADDED) or no longer API (NARROWED); of what is gone or new only the topmost."""
+def surface_delta(base: DataFrame, head: DataFrame, signed: DataFrame | None = None) -> DataFrame:
+    """id, change: API symbols (id, parent, api) that are gone (REMOVED), new (ADDED), no longer API (NARROWED) or become so (WIDENED); of what is gone or new only the topmost.
+
+    signed: previous and id of symbols whose signature changed: they are SIGNATURE_CHANGED, neither gone nor new."""
     b, h = base.filter("api").select("id", "parent"), head.filter("api").select("id", "parent")
     ids_b, ids_h = b.select("id"), h.select("id")
     removed = b.join(head.select("id"), "id", "left_anti")
     added = h.join(base.select("id"), "id", "left_anti")
+    if signed is not None:
+        removed = removed.join(signed.select(F.col("previous").alias("id")), "id", "left_anti")
+        added = added.join(signed.select("id"), "id", "left_anti")
     top = lambda x: x.join(x.select(F.col("id").alias("parent")), "parent", "left_anti").select("id")
     narrowed = ids_b.join(head.filter("not api").select("id"), "id", "left_semi")
     widened = ids_h.join(base.filter("not api").select("id"), "id", "left_semi")
-    return top(removed).withColumn("change", F.lit("REMOVED")).union(top(added).withColumn("change", F.lit("ADDED"))).union(narrowed.withColumn("change", F.lit("NARROWED"))).union(widened.withColumn("change", F.lit("WIDENED")))
+    out = top(removed).withColumn("change", F.lit("REMOVED")).union(top(added).withColumn("change", F.lit("ADDED"))).union(narrowed.withColumn("change", F.lit("NARROWED"))).union(widened.withColumn("change", F.lit("WIDENED")))
+    if signed is not None:
+        out = out.union(signed.join(ids_b.withColumnRenamed("id", "previous"), "previous", "left_semi").select("id", F.lit("SIGNATURE_CHANGED").alias("change")))
+    return out
+
+
+#: Changes of the surface that break its users: fixed values.
+BREAKING = ("REMOVED", "NARROWED", "SIGNATURE_CHANGED")
+
+
+def checked(deps: DataFrame, rules: DataFrame) -> DataFrame:
+    """f, t, kind, a, b, rule, status of one snapshot: all that it violates is there already."""
+    return violations(deps, rules).withColumn("status", F.lit("PRE_EXISTING"))

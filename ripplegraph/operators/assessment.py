@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ripplegraph.functions import paths
+from ripplegraph.session import placed
+
 #: The risk model: fixed values. signal, bands (None: linear), weight, cap.
 SIGNALS = (
     ("public_api_changed", None, 8, 24),
@@ -67,11 +70,10 @@ def worst(status: DataFrame) -> DataFrame:
 
 
 def capped(items: DataFrame, group: str, item: str, cap: int = EVIDENCE_CAP) -> DataFrame:
-    """group, item: the first cap distinct items of each group in order, and further: how many more there are. Ranked by a window, no list is gathered."""
+    """group, item: the first cap distinct items of each group in order, and further: how many more there are. Ranked by ranges, no list is gathered."""
     distinct = items.select(group, item).distinct()
-    w = Window.partitionBy(group)
-    r = distinct.withColumn("k", F.row_number().over(w.orderBy(item))).withColumn("n", F.count(F.lit(1)).over(w))
-    return r.filter(F.col("k") <= cap).select(group, item, F.greatest(F.col("n") - cap, F.lit(0)).alias("further"))
+    r = placed(distinct, [F.col(item)], "k", [group])
+    return r.filter(F.col("k") <= cap).join(distinct.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group).select(group, item, F.greatest(F.col("n") - cap, F.lit(0)).alias("further"))
 
 
 def owners(files: DataFrame, rules: list[tuple[int, str, list[str]]], path: str = "path") -> DataFrame:
@@ -93,8 +95,65 @@ def owner_summary(owned: DataFrame) -> DataFrame:
 def findings(candidates: DataFrame) -> DataFrame:
     """One finding for each (rule, fingerprint) of candidates (rule, level, path, line, message), the first by place; the fingerprint leaves lines out."""
     print_ = F.md5(F.concat_ws("\n", "rule", "path", "message"))
-    w = Window.partitionBy("rule", "fingerprint").orderBy(F.col("path").asc_nulls_first(), F.col("line").asc_nulls_first(), "level")
-    return candidates.withColumn("fingerprint", print_).withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+    # A struct with a null compares as the smaller one, as the order wants it.
+    first = candidates.withColumn("fingerprint", print_).groupBy("rule", "fingerprint").agg(F.min(F.struct("path", "line", "level", "message")).alias("x"))
+    return first.select("rule", "x.level", "x.path", "x.line", "x.message", "fingerprint")
+
+
+#: Uncertainties by severity, in order: fixed values.
+SEVERITIES = ("high", "medium", "low")
+_ROW = "severity string, kind string, file string, line int, symbol string, detail string"
+
+
+def uncertainty(changed: DataFrame, head: DataFrame, unresolved: DataFrame, relevant: DataFrame, truncated: bool = False, cap: int = 200) -> DataFrame:
+    """severity, kind, file, line, symbol, detail: what an analysis could not know.
+
+    changed: path, side (head or base), status, language, size, reason of the changed files of both sides; head: path, status of all files;
+    unresolved: id, file, line, detail, of which those of relevant symbols (id) count, cap of them at most and a row that counts the rest."""
+    spark = changed.sparkSession
+    status, text = F.col("status"), F.lit(None).cast("string")
+    is_head = F.col("side") == "head"
+    unread = F.col("unread").isNotNull()
+    known = changed.withColumn("unread", paths.unread_language("path"))
+    cases = [
+        (status == "SYNTAX_ERRORS", F.when(is_head, "high").otherwise("medium"), "SYNTAX_ERROR", F.concat(F.lit("syntax errors in the "), "side", F.lit(" revision"))),
+        (status == "PARSE_FAILED", F.lit("high"), "PARSE_FAILURE", F.concat("side", F.lit(" revision not parsed"))),
+        (status == "TOO_LARGE", F.lit("high"), "FILE_TOO_LARGE", F.concat("side", F.lit(" revision has "), F.col("size").cast("string"), F.lit(" bytes"))),
+        ((status == "BINARY") & F.col("language").isNotNull(), F.lit("medium"), "BINARY_FILE", F.concat("side", F.lit(" revision is no text"))),
+        (status == "UNSUPPORTED", F.when(unread, "medium").otherwise("low"), "UNSUPPORTED_LANGUAGE", F.when(unread, F.concat(F.lit("source code in "), "unread", F.lit(" is not analysed"))).otherwise("not a supported language")),
+        (status == "EXCLUDED", F.lit("low"), "EXCLUDED_FILE", F.lit("not indexed")),
+        (status.isin("SYMLINK", "SUBMODULE"), F.lit("low"), "SYMLINK_OR_SUBMODULE", F.lit("not followed")),
+        (status == "INVALID_PATH", F.lit("medium"), "REJECTED_PATH", F.col("reason")),
+    ]
+    out = None
+    for when, severity, kind, detail in cases:
+        rows = known.filter(when).select(severity.alias("severity"), F.lit(kind).alias("kind"), F.col("path").alias("file"), F.lit(None).cast("int").alias("line"), text.alias("symbol"), detail.alias("detail"))
+        out = rows if out is None else out.union(rows)
+    failures = head.filter(F.col("status").isin("PARSE_FAILED", "TOO_LARGE")).join(changed.filter(is_head).select("path"), "path", "left_anti").agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+    out = out.union(failures.select(F.lit("medium"), F.lit("PARSE_FAILURE"), text, F.lit(None).cast("int"), text, F.concat(F.col("n").cast("string"), F.lit(" unchanged files could not be indexed"))))
+    open_ = unresolved.join(relevant.select("id").distinct(), "id", "left_semi").distinct()
+    first = open_.orderBy("id", "file", "line", "detail").limit(cap)
+    out = out.union(first.select(F.lit("medium"), F.lit("UNRESOLVED_REFERENCE"), "file", F.col("line").cast("int"), F.col("id"), F.col("detail")))
+    rest = open_.agg((F.count(F.lit(1)) - cap).alias("n")).filter("n > 0")
+    out = out.union(rest.select(F.lit("medium"), F.lit("UNRESOLVED_REFERENCE"), text, F.lit(None).cast("int"), text, F.concat(F.col("n").cast("string"), F.lit(" further unresolved references"))))
+    if truncated:
+        out = out.union(spark.createDataFrame([("high", "IMPACT_TRUNCATED", None, None, None, "the impacted set is a lower bound")], _ROW))
+    return out.distinct()
+
+
+def measured(counts: list[tuple[str, DataFrame]]) -> DataFrame:
+    """signal, value: the number of rows of each list, one row a signal; what is not evaluated is left out."""
+    out = None
+    for signal, df in counts:
+        row = df.agg(F.lit(signal).alias("signal"), F.count(F.lit(1)).alias("value"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+def listed(rows: DataFrame, order: list[str], cap: int) -> DataFrame:
+    """The first cap rows in the order, with `of`, the number of all: a report's list."""
+    every = rows.agg(F.count(F.lit(1)).alias("of"))
+    return rows.orderBy(*(F.col(c).asc_nulls_first() for c in order)).limit(cap).crossJoin(F.broadcast(every))
 
 
 def capped_uncertainty(rows: DataFrame, cap: int = 200) -> DataFrame:

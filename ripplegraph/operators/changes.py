@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplegraph.session import placed, written
+
+#: Candidate pairs that the driver pairs off by itself.
+FEW_PAIRS = 20_000
+
 
 def diff_paths(base: DataFrame, head: DataFrame) -> DataFrame:
     """path, change: ADDED, DELETED, MODIFIED or UNCHANGED; a file is modified if its blob or its kind of entry differs."""
@@ -14,49 +19,79 @@ def diff_paths(base: DataFrame, head: DataFrame) -> DataFrame:
 
 
 def exact_renames(deleted: DataFrame, added: DataFrame) -> DataFrame:
-    """blob, source, target: deleted and added files (path, blob) of one blob, paired in the order of their paths."""
-    place = Window.partitionBy("blob").orderBy("path")
-    d = deleted.select("blob", F.col("path").alias("source"), F.row_number().over(place).alias("n"))
-    a = added.select("blob", F.col("path").alias("target"), F.row_number().over(place).alias("n"))
+    """blob, source, target: deleted and added files (path, blob) of one blob, paired in the order of their paths. A blob of very many files (empty ones) is numbered by ranges."""
+    d = placed(deleted.select("blob", F.col("path").alias("source")), [F.col("source")], "n", ["blob"])
+    a = placed(added.select("blob", F.col("path").alias("target")), [F.col("target")], "n", ["blob"])
     return d.join(a, ["blob", "n"]).select("blob", "source", "target")
 
 
 def rename_candidates(deleted: DataFrame, added: DataFrame, least: int = 50) -> DataFrame:
     """source, target, similarity of unpaired files (path, text) with one extension that may be alike: an upper bound of line similarity,
-    200 * common lines / all lines, with lines as multisets. Only files that share a line meet."""
+    200 * common lines / all lines, with lines as multisets.
+
+    Files of a similarity of `least` have a share of their lines in common, so that each of them has one of the rarest of both among
+    its rarest lines: only those bring files together, and lines that all files have (braces, empty ones) only count."""
 
     def lines(df: DataFrame) -> DataFrame:
         ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
-        return df.select("path", ext.alias("ext"), F.explode(F.split("text", "\n")).alias("line"))
+        rows = df.select("path", ext.alias("ext"), F.explode(F.split("text", "\n")).alias("line"))
+        return rows.groupBy("path", "ext", "line").agg(F.count(F.lit(1)).alias("n"))
+
+    d, a = written(lines(deleted), "lines"), written(lines(added), "lines")
+    often = d.select("ext", "line").union(a.select("ext", "line")).groupBy("ext", "line").agg(F.count(F.lit(1)).alias("often"))
+    size = lambda df, name: df.groupBy("path").agg(F.sum("n").alias(name))
 
-    def counted(df: DataFrame, path: str, n: str) -> tuple[DataFrame, DataFrame]:
-        rows = lines(df)
-        return rows.groupBy(F.col("path").alias(path), "ext", "line").agg(F.count(F.lit(1)).alias(n)), rows.groupBy(F.col("path").alias(path)).agg(F.count(F.lit(1)).alias(f"all_{n}"))
+    def rarest(df: DataFrame) -> DataFrame:
+        # 200 c >= least (n + m) and c <= m give c >= n * least / (200 - least).
+        so_far = Window.partitionBy("path").orderBy("often", "line").rowsBetween(Window.unboundedPreceding, -1)
+        r = df.join(often, ["ext", "line"]).withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("path")))
+        return r.filter(F.col("before") <= F.col("all") - F.ceil(F.col("all") * least / (200 - least))).select("path", "ext", "line")
 
-    d, d_all = counted(deleted, "source", "d")
-    a, a_all = counted(added, "target", "a")
-    common = d.join(a, ["ext", "line"]).groupBy("source", "target").agg(F.sum(F.least("d", "a")).alias("common"))
-    out = common.join(d_all, "source").join(a_all, "target").withColumn("similarity", F.expr("200 * common div (all_d + all_a)"))
-    return out.filter(F.col("similarity") >= least).select("source", "target", "similarity")
+    pairs = rarest(d).withColumnRenamed("path", "source").join(rarest(a).withColumnRenamed("path", "target"), ["ext", "line"]).select("source", "target").distinct()
+    both = pairs.join(d.select(F.col("path").alias("source"), "ext", "line", F.col("n").alias("x")), "source").join(a.select(F.col("path").alias("target"), "line", F.col("n").alias("y")), ["target", "line"])
+    common = both.groupBy("source", "target").agg(F.sum(F.least("x", "y")).alias("common"))
+    out = common.join(size(d, "all_d").withColumnRenamed("path", "source"), "source").join(size(a, "all_a").withColumnRenamed("path", "target"), "target")
+    return out.withColumn("similarity", F.expr("200 * common div (all_d + all_a)")).filter(F.col("similarity") >= least).select("source", "target", "similarity")
 
 
-def greedy_pairs(candidates: DataFrame, rounds: int = 50) -> DataFrame:
+def line_similarity(rows: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """key, similarity of each row (of its own key): 200 * common lines / all lines of two text columns, lines as multisets; two empty texts are alike (100)."""
+    lines = lambda c, n: rows.select(key, F.explode(F.split(F.coalesce(c, F.lit("")), "\n")).alias("line")).groupBy(key, "line").agg(F.count(F.lit(1)).alias(n))
+    both = lines(left, "x").join(lines(right, "y"), [key, "line"], "full_outer")
+    x, y = (F.coalesce(c, F.lit(0)) for c in ("x", "y"))
+    return both.groupBy(key).agg(F.sum(F.least(x, y)).alias("c"), F.sum(x + y).alias("n")).select(key, F.expr("200 * c div n").alias("similarity"))
+
+
+def greedy_pairs(candidates: DataFrame) -> DataFrame:
     """source, target, similarity: candidates taken by similarity, source and target, each file once.
 
-    A pair that is the first choice of both its files is always taken by the greedy order; taking all such pairs at once and
-    repeating gives the same pairs without a loop over rows."""
-    out = None
-    left = candidates
-    for _ in range(rounds):
+    A pair that is the first choice of both its files is always taken by the greedy order; all such pairs are taken at once, again and
+    again. When no more than FEW_PAIRS candidates are left, the driver goes through them in their order."""
+    spark, taken_all = candidates.sparkSession, None
+    left = written(candidates.select("source", "target", "similarity"), "pairs")
+    while left.limit(FEW_PAIRS + 1).count() > FEW_PAIRS:
         choice = F.struct((-F.col("similarity")).alias("s"), "source", "target")
         by_source = left.groupBy("source").agg(F.min(choice).alias("x")).select("x.*")
         by_target = left.groupBy("target").agg(F.min(choice).alias("x")).select("x.*")
-        taken = by_source.join(by_target, ["s", "source", "target"], "left_semi").select("source", "target", (-F.col("s")).alias("similarity")).checkpoint()
-        out = taken if out is None else out.union(taken)
-        left = left.join(taken.select("source"), "source", "left_anti").join(taken.select("target"), "target", "left_anti").checkpoint()
-        if left.isEmpty():
-            break
-    return out
+        taken = written(by_source.join(by_target, ["s", "source", "target"], "left_semi").select("source", "target", (-F.col("s")).alias("similarity")), "taken")
+        taken_all = taken if taken_all is None else taken_all.unionByName(taken)
+        left = written(left.join(taken.select("source"), "source", "left_anti").join(taken.select("target"), "target", "left_anti").select("source", "target", "similarity"), "pairs")
+    sources, targets, rest = set(), set(), []
+    for r in left.orderBy(F.desc("similarity"), "source", "target").collect():
+        if r["source"] not in sources and r["target"] not in targets:
+            sources.add(r["source"])
+            targets.add(r["target"])
+            rest.append(tuple(r))
+    few = spark.createDataFrame(rest, left.schema)
+    return few if taken_all is None else taken_all.unionByName(few)
+
+
+def renames(deleted: DataFrame, added: DataFrame, least: int = 50) -> DataFrame:
+    """source, target, similarity: files (path, blob, text) that go on under another path: equal ones first (100), then alike ones."""
+    exact = written(exact_renames(deleted, added).select("source", "target", F.lit(100).cast("bigint").alias("similarity")), "renamed")
+    d = deleted.join(exact.select(F.col("source").alias("path")), "path", "left_anti").filter("text is not null")
+    a = added.join(exact.select(F.col("target").alias("path")), "path", "left_anti").filter("text is not null")
+    return exact.unionByName(greedy_pairs(rename_candidates(d.select("path", "text"), a.select("path", "text"), least)))
 
 
 def classify_symbols(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -93,6 +128,28 @@ def innermost_symbols(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     return inside.groupBy("file", "line").agg(best.alias("x")).select("file", "line", F.coalesce("x.id", F.concat(F.lit("file:"), "file")).alias("id"))
 
 
+def touched_symbols(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """file, start, id: the innermost symbols of every hunk (file, start, len); a pure insertion (len 0) belongs to the symbols around both of its neighbours."""
+    span = F.sequence("start", F.col("start") + F.greatest("len", F.lit(2)) - 1)
+    lines = hunks.select("file", "start", "len", F.explode(F.when(F.col("len") > 0, F.sequence("start", F.col("start") + F.col("len") - 1)).otherwise(span)).alias("line"))
+    found = innermost_symbols(lines.select("file", "line").distinct(), symbols)
+    each = lines.join(found, ["file", "line"]).groupBy("file", "start", "id").agg(F.max("len").alias("len"), F.count(F.lit(1)).alias("n"))
+    return each.filter("len > 0 OR n > 1").select("file", "start", "id")
+
+
+def classified(base: DataFrame, head: DataFrame) -> DataFrame:
+    """id, change, previous, probable_move of symbols (id, kind, owner, name, fp): added, deleted and modified ones, callables whose signature
+    changed (one row, under the new id), and what was moved."""
+    plain = classify_symbols(base, head)
+    gone, come = (written(s.join(plain.filter(F.col("change") == c), "id", "left_semi"), "classify") for s, c in ((base, "DELETED"), (head, "ADDED")))
+    call = F.col("kind").isin("method", "constructor", "function")
+    signed = written(signature_changes(gone.filter(call), come.filter(call)), "signatures")
+    moved = probable_moves(gone, come, signed).withColumn("probable_move", F.lit(True))
+    rest = plain.join(signed.select("id"), "id", "left_anti").join(signed.select(F.col("previous").alias("id")), "id", "left_anti")
+    rest = rest.join(moved, "id", "left").select("id", "change", "previous", F.coalesce("probable_move", F.lit(False)).alias("probable_move"))
+    return rest.unionByName(signed.select("id", F.lit("SIGNATURE_CHANGED").alias("change"), "previous", F.lit(False).alias("probable_move")))
+
+
 def table_delta(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """added, removed, updated, unchanged: rows of two versions of a table, by key."""
     rest = [c for c in old.columns if c not in key]

@@ -1,6 +1,6 @@
 """Symbols and edges of Java and TypeScript files from their lines, with built-in functions only.
 
-Comments and strings are blanked, lines numbered, and the running sum of braces over a file's lines gives the nesting: a declaration ends where its
+Comments and strings are blanked in one pass from left to right, lines numbered, and the running sum of braces over a file's lines gives the nesting: a declaration ends where its
 level closes, and stands in the innermost declaration around it. Names are resolved by joins, the nearer definition first. This reads
 declarations, imports, supertypes, calls and constructions; types of expressions are not inferred, so calls carry inferred evidence only."""
 
@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import paths
+from ripplegraph.operators.graph import overrides, parent_closure
 from ripplegraph.schema import EDGE_KINDS
 from ripplegraph.session import written
 
-_COMMENT = r"(?s)/\*.*?\*/"
-_STRING = r""""(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'"""
+#: Comments, text blocks, strings, characters and templates, whichever begins first; what is left open ends with the line or the file.
+_NOT_CODE = r"""(?s)/\*.*?(?:\*/|\z)|//[^\n]*|\"\"\".*?(?:\"\"\"|\z)|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|`[^`\\]*+(?:\\.[^`\\]*+)*+`?"""
 _TYPE = r"\b(?:(@interface|class|interface|enum|record))\s+([A-Za-z_$][\w$]*)"
 _JAVA_METHOD = r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|synchronized|default|native)\s+)*(?:<[^>]+>\s*)?(?:[\w$.]+(?:<[^(]*>)?(?:\[\])*\s+)?([A-Za-z_$][\w$]*)\s*\([^;]*?\)\s*(?:throws\s+[\w$., ]+)?\{"
 _TS_METHOD = r"^\s*(?:(?:export|default|public|private|protected|static|async|readonly|override|get|set)\s+)*(?:function\s+)?([A-Za-z_$][\w$]*)\s*(?:<[^(]*>)?\([^;]*?\)\s*(?::[^={]+)?\{"
@@ -27,13 +28,13 @@ _TEST_PATH = r"(^|/)(__tests__|tests?)/|\.(test|spec)\.[cm]?[jt]sx?$|(^|/)src/te
 
 def source_lines(files: DataFrame) -> DataFrame:
     """path, language, line, text (blanked), plain (as it is), before and after (nesting) of every line of the files (path, language, text)."""
-    notes = F.regexp_extract_all("text", F.lit(_COMMENT), 0)
-    code = F.split("text", _COMMENT, -1)
-    blank = F.array_join(F.zip_with(code, F.transform(notes, lambda x: F.repeat(F.lit("\n"), F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    blank = F.regexp_replace(blank, r"//[^\n]*", "")
+    notes = F.regexp_extract_all("text", F.lit(_NOT_CODE), 0)
+    # A comment leaves its line ends, a string an empty one and its line ends.
+    ends = lambda x: F.repeat(F.lit("\n"), F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
+    left = F.transform(notes, lambda x: F.concat(F.when(F.startswith(x, F.lit("/")), "").otherwise("''"), ends(x)))
+    blank = F.array_join(F.zip_with(F.split("text", _NOT_CODE, -1), left, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     rows = files.select("path", "language", F.arrays_zip(F.split(blank, "\n").alias("b"), F.split("text", "\n").alias("p")).alias("z"))
-    rows = rows.select("path", "language", F.posexplode("z").alias("at", "x")).select("path", "language", (F.col("at") + 1).alias("line"), F.coalesce("x.b", F.lit("")).alias("code"), F.coalesce("x.p", F.lit("")).alias("plain"))
-    rows = rows.withColumn("text", F.regexp_replace("code", _STRING, "''"))
+    rows = rows.select("path", "language", F.posexplode("z").alias("at", "x")).select("path", "language", (F.col("at") + 1).alias("line"), F.coalesce("x.b", F.lit("")).alias("text"), F.coalesce("x.p", F.lit("")).alias("plain"))
     step = F.length(F.regexp_replace("text", r"[^{]", "")) - F.length(F.regexp_replace("text", r"[^}]", ""))
     w = Window.partitionBy("path").orderBy("line")
     rows = rows.withColumn("after", F.sum(step).over(w).cast("int"))
@@ -97,34 +98,70 @@ def _edge(df: DataFrame, f: str, t: str, kind: str, strength: Column, line: str,
 
 
 def _resolved(refs: DataFrame, targets: DataFrame) -> DataFrame:
-    """refs (id, file, line, module, language, name) with to and near: the only target (id, name, file, module, language) in the file, else in the module, else anywhere in the language."""
+    """refs (id, file, line, module, language, name) with to (null: none, or several) and near: the only target (id, name, file, module, language) in the file, else in the module, else anywhere in the language."""
     out = refs
     for n, key in enumerate((["name", "language", "file"], ["name", "language", "module"], ["name", "language"])):
         one = targets.groupBy(*key).agg(F.count(F.lit(1)).alias("c"), F.min("id").alias(f"to{n}")).filter("c = 1").drop("c")
         out = out.join(one, key, "left")
-    return out.withColumn("to", F.coalesce("to0", "to1", "to2")).withColumn("near", F.col("to0").isNotNull() | F.col("to1").isNotNull()).filter("to is not null and to <> id")
+    return out.withColumn("to", F.coalesce("to0", "to1", "to2")).withColumn("near", F.col("to0").isNotNull() | F.col("to1").isNotNull())
 
 
-def edges(lines: DataFrame, decls: DataFrame, syms: DataFrame) -> DataFrame:
-    """f, t, kind, ... : containment, imports, supertypes, calls and constructions."""
-    five, three, one = F.lit(5), F.lit(3), F.lit(1)
-    own = syms.filter("kind <> 'file'")
-    contains = _edge(own, "parent", "id", "CONTAINS", five, "start_line", F.concat("language", F.lit(".declaration")))
+def _references(lines: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls, constructions and supertypes (id, file, line, module, language, start_line, name) of the declarations."""
     at = own.select("id", "file", "module", "language", "start_line", "end_line", "kind")
     spots = lines.select(F.col("path").alias("lp"), "line", "text", F.col("language").alias("ll"))
     # The innermost declaration around each line.
     inside = spots.join(at, (F.col("lp") == F.col("file")) & F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("lp", "line", "text").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("n"), "id", "module", "language", "start_line")).alias("x"))
     inside = inside.select(F.col("lp").alias("file"), "line", "text", "x.id", "x.module", "x.language", "x.start_line")
-    callables = own.filter(F.col("kind").isin("method", "function")).select("id", "name", "file", "module", "language")
-    types = own.filter(~F.col("kind").isin("method", "function")).select("id", "name", "file", "module", "language")
     refs = lambda pattern, group: inside.select("id", "file", "line", "module", "language", "start_line", F.explode(F.regexp_extract_all("text", F.lit(pattern), group)).alias("name"))
     calls = refs(r"(?<![\w$])([A-Za-z_$][\w$]*)\s*\(", 1).filter(~F.col("name").isin(*_KEYWORDS))
-    made = refs(r"\bnew\s+([A-Za-z_$][\w$]*)", 1)
+    made = refs(r"\bnew\s+(?:[\w$]+\.)*([A-Za-z_$][\w$]*)", 1)
     supers = refs(r"\b(?:extends|implements)\s+([\w$., <>]+)", 1).filter("line = start_line").withColumn("name", F.explode(F.split(F.regexp_replace("name", "<[^>]*>", ""), ",")))
     supers = supers.withColumn("name", F.regexp_extract(F.trim("name"), r"^([A-Za-z_$][\w$]*)", 1))
-    call = _resolved(calls, callables)
-    new = _resolved(made, types)
-    up = _resolved(supers, types)
+    return calls, made, supers
+
+
+def _targets(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    named = own.select("id", "name", "file", "module", "language", "kind")
+    call = F.col("kind").isin("method", "function")
+    return named.filter(call).drop("kind"), named.filter(~call).drop("kind")
+
+
+def unresolved(lines: DataFrame, syms: DataFrame) -> DataFrame:
+    """id, file, line, detail: calls and constructions whose name the code base declares, but not so that one declaration can be told."""
+    own = syms.filter("kind <> 'file'")
+    calls, made, _ = _references(lines, own)
+    callables, types = _targets(own)
+    out = None
+    for refs, targets, what in ((calls, callables, "call of "), (made, types, "construction of ")):
+        open_ = _resolved(refs, targets).filter("to is null").join(targets.select("name", "language").distinct(), ["name", "language"], "left_semi")
+        rows = open_.select("id", "file", "line", F.concat(F.lit(what), "name").alias("detail"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.distinct()
+
+
+def overriding(syms: DataFrame, decls: DataFrame, up: DataFrame) -> DataFrame:
+    """f, t, strength: methods that override one of a supertype; up: the supertype edges (f, t). Java methods are told by their erased parameter types, others by name."""
+    heads = decls.select(F.col("path").alias("file"), "start_line", "name", "header").withColumn("args", F.regexp_replace(F.regexp_extract("header", r"\(([^)]*)\)", 1), r"<[^<>]*>", ""))
+    kinds = F.transform(F.split("args", ","), lambda x: F.regexp_extract(F.trim(x), r"([A-Za-z_$][\w$]*(?:\[\])*)(?:\.\.\.)?\s+[\w$]+$", 1))
+    java = F.col("language") == "java"
+    methods = syms.filter("kind = 'method'").join(heads, ["file", "start_line", "name"])
+    methods = methods.select("id", F.col("parent").alias("owner"), "name", F.when(java, F.array_join(kinds, ",")).otherwise("").alias("params"), F.when(java, F.regexp_replace("args", r"\s+", " ")).otherwise("").alias("signature"))
+    above = parent_closure(up.select(F.col("f").alias("id"), F.col("t").alias("parent")))
+    return overrides(methods, above.select(F.col("id").alias("owner"), F.col("ancestor").alias("above"), "distance"))
+
+
+def edges(lines: DataFrame, decls: DataFrame, syms: DataFrame) -> DataFrame:
+    """f, t, kind, ... : containment, imports, supertypes, overrides, calls and constructions."""
+    five, three, one = F.lit(5), F.lit(3), F.lit(1)
+    own = syms.filter("kind <> 'file'")
+    contains = _edge(own, "parent", "id", "CONTAINS", five, "start_line", F.concat("language", F.lit(".declaration")))
+    calls, made, supers = _references(lines, own)
+    callables, types = _targets(own)
+    call = _resolved(calls, callables).filter("to is not null and to <> id")
+    new = _resolved(made, types).filter("to is not null and to <> id")
+    up = _resolved(supers, types).filter("to is not null and to <> id")
+    over = overriding(syms, decls, up.select(F.col("id").alias("f"), F.col("to").alias("t"))).join(own.select(F.col("id").alias("f"), "file", "start_line", "language"), "f")
     strength = F.when(F.col("near"), three).otherwise(one)
     found = [
         contains,
@@ -132,6 +169,7 @@ def edges(lines: DataFrame, decls: DataFrame, syms: DataFrame) -> DataFrame:
         _edge(new, "id", "to", "INSTANTIATES", strength, "line", F.concat("language", F.lit(".new"))),
         _edge(up, "id", "to", "EXTENDS", F.when(F.col("near"), five).otherwise(three), "line", F.concat("language", F.lit(".supertype"))),
         _imports(lines, syms),
+        _edge(over, "f", "t", "OVERRIDES", F.col("strength"), "start_line", F.concat("language", F.lit(".override"))),
     ]
     out = found[0]
     for e in found[1:]:
@@ -155,9 +193,9 @@ def _imports(lines: DataFrame, syms: DataFrame) -> DataFrame:
     return _edge(both.withColumn("from", F.concat(F.lit("file:"), "file")), "from", "to", "IMPORTS", F.lit(5), "line", F.col("rule"))
 
 
-def extracted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The symbols and edges of the readable files (path, language, text)."""
+def extracted(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The symbols and edges of the readable files (path, language, text), and the references that stay unresolved."""
     lines = written(source_lines(files.filter("text is not null and language is not null")), "lines")
     decls = written(declarations(lines), "declarations")
     syms = written(symbols(lines, decls), "symbols")
-    return syms, edges(lines, decls, syms)
+    return syms, edges(lines, decls, syms), unresolved(lines, syms)

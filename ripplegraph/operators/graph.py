@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.schema import EDGE_ORDER, MAX_DEPTH, MAX_IMPACTED, PATH_DEPTH, PATH_VISITED, SILENT_KINDS
-from ripplegraph.session import written
+from ripplegraph.schema import EDGE_ORDER, MAX_DEPTH, MAX_IMPACTED, PATH_DEPTH, PATH_VISITED, SILENT_KINDS, SLICE_NODES
+from ripplegraph.session import bounded_broadcast, written
 
 
 def last_definitions(symbols: DataFrame, order: str) -> DataFrame:
@@ -61,59 +61,65 @@ class Impact(NamedTuple):
     truncated: bool
 
 
-_REACHED = "id string, depth int, strength int, parent string, root string, via_dispatch boolean, hops array<string>"
+#: Rows of a frontier, or of what is visited, that may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def steps(edges: DataFrame) -> DataFrame:
-    """n, nxt: one step of impact. Against every edge that carries impact; along overrides as well (dispatch)."""
-    order = [c for c in EDGE_ORDER]
-    edge = F.struct(*order, "kind", "strength")
-    carrying = edges.filter(~F.col("kind").isin(*SILENT_KINDS))
-    back = carrying.select(F.col("t").alias("n"), F.col("f").alias("nxt"), edge.alias("e"), F.lit(False).alias("via"))
-    along = edges.filter("kind = 'OVERRIDES'").select(F.col("f").alias("n"), F.col("t").alias("nxt"), edge.alias("e"), F.lit(True).alias("via"))
+    """n, nxt, the edge's columns, via: one step of impact. Against every edge that carries impact; along overrides as well (dispatch)."""
+    e = edges.select(*EDGE_ORDER, "kind", "strength")
+    back = e.filter(~F.col("kind").isin(*SILENT_KINDS)).select(F.col("t").alias("n"), F.col("f").alias("nxt"), "*", F.lit(False).alias("via"))
+    along = e.filter("kind = 'OVERRIDES'").select(F.col("f").alias("n"), F.col("t").alias("nxt"), "*", F.lit(True).alias("via"))
     return back.union(along)
 
 
+def _rank(*payload: Column) -> Column:
+    """What orders the ways into a symbol: the stronger weakest hop, the parent, the edge; what follows is carried along and never decides."""
+    return F.struct((-F.least("weakest", "strength")).alias("s"), F.col("id").alias("parent"), *EDGE_ORDER, "kind", "via", *payload)
+
+
 def impact(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH, max_impacted: int = MAX_IMPACTED) -> Impact:
     """What depends on the roots (id), level by level, each with its best explaining parent.
 
-    A level joins the edges with the frontier, which is broadcast: frontier and visited symbols are never more than
-    max_impacted rows and the roots, and that many rows at most come to the driver. The edges are scanned once for each level and
-    shuffled only as candidates."""
+    The steps are written once, sorted by where they start. A level joins them with the frontier, takes the best way into each new
+    symbol, and writes what it found with its path: nothing but numbers of rows comes to the driver. Any number of roots may be given; max_impacted
+    bounds what is reached, and with it every frontier but the first."""
     spark = edges.sparkSession
-    step = steps(edges)
-    ends = [r[0] for r in roots.select("id").distinct().orderBy("id").limit(max_impacted + 1).collect()]
-    seen = {r: (0, 5, None, r, False, []) for r in ends}
-    frontier, found, truncated = list(ends), [], False
+    step = written(steps(edges).repartition("n").sortWithinPartitions("n"), "steps")
+    start = roots.select("id").distinct().select("id", F.lit(5).alias("weakest"), F.col("id").alias("root"), F.array().cast("array<string>").alias("hops"))
+    frontier = written(start, "frontier")
+    seen, found, left, truncated = frontier.select("id"), None, max_impacted, False
     for depth in range(1, max_depth + 1):
-        if not frontier or truncated:
+        hop = F.concat_ws(" ", "f", "kind", "t")
+        ways = step.join(bounded_broadcast(frontier, BROADCAST_ROWS), F.col("n") == F.col("id")).select("nxt", _rank("root", F.array_append("hops", hop).alias("hops")).alias("r"))
+        best = ways.groupBy("nxt").agg(F.min("r").alias("r")).join(seen.select(F.col("id").alias("nxt")), "nxt", "left_anti")
+        level = best.select(F.col("nxt").alias("id"), F.lit(depth).alias("depth"), (-F.col("r.s")).alias("strength"), "r.parent", "r.root", F.col("r.via").alias("via_dispatch"), "r.hops")
+        level = written(level.orderBy("id").limit(left + 1), "level")
+        n = level.count()
+        if n > left:
+            truncated = True
+            level = level.orderBy("id").limit(left)
+        found = level if found is None else found.unionByName(level)
+        left -= n
+        if not n or truncated:
             break
-        here = F.broadcast(spark.createDataFrame([(i, seen[i][1]) for i in frontier], "id string, weakest int"))
-        known = F.broadcast(spark.createDataFrame([(i,) for i in seen], "id string"))
-        rank = F.struct((-F.least("weakest", "e.strength")).alias("s"), F.col("id").alias("parent"), *(F.col(f"e.{c}").alias(c) for c in EDGE_ORDER), F.col("e.kind").alias("kind"), "via")
-        candidates = step.join(here, F.col("n") == F.col("id")).select("nxt", rank.alias("r")).groupBy("nxt").agg(F.min("r").alias("r"))
-        left = max_impacted - len(found)
-        rows = candidates.join(known, F.col("nxt") == F.col("id"), "left_anti").orderBy("nxt").limit(left + 1).collect()
-        truncated, rows = len(rows) > left, rows[:left]
-        frontier = []
-        for row in rows:
-            r = row["r"]
-            _, _, _, root, _, hops = seen[r["parent"]]
-            seen[row["nxt"]] = (depth, -r["s"], r["parent"], root, r["via"], [*hops, f"{r['f']} {r['kind']} {r['t']}"])
-            found.append((row["nxt"], *seen[row["nxt"]]))
-            frontier.append(row["nxt"])
-    return Impact(spark.createDataFrame(found, _REACHED), truncated)
+        frontier = level.select("id", F.col("strength").alias("weakest"), "root", "hops")
+        seen = seen.union(level.select("id"))
+    return Impact(found if found is not None else spark.createDataFrame([], _REACHED), truncated)
+
+
+_REACHED = "id string, depth int, strength int, parent string, root string, via_dispatch boolean, hops array<string>"
 
 
 def impact_many(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """query, id, depth, strength, parent for many roots (query, id) at once, without a cap: frontiers and visited symbols stay on the cluster."""
-    step = steps(edges).select("n", "nxt", "e", "via")
+    step = written(steps(edges).repartition("n").sortWithinPartitions("n"), "steps")
     frontier = written(roots.select("query", "id", F.lit(5).alias("weakest")).distinct(), "frontier")
     seen = frontier.select("query", "id")
     found = None
     for depth in range(1, max_depth + 1):
-        rank = F.struct((-F.least("weakest", "e.strength")).alias("s"), F.col("id").alias("parent"), *(F.col(f"e.{c}").alias(c) for c in EDGE_ORDER))
-        level = step.join(frontier, F.col("n") == F.col("id")).select("query", F.col("nxt"), rank.alias("r")).groupBy("query", "nxt").agg(F.min("r").alias("r"))
+        ways = step.join(bounded_broadcast(frontier, BROADCAST_ROWS), F.col("n") == F.col("id")).select("query", "nxt", _rank().alias("r"))
+        level = ways.groupBy("query", "nxt").agg(F.min("r").alias("r"))
         level = level.withColumnRenamed("nxt", "id").join(seen, ["query", "id"], "left_anti")
         level = written(level.select("query", "id", F.lit(depth).alias("depth"), (-F.col("r.s")).alias("strength"), F.col("r.parent").alias("parent")), "level")
         if level.isEmpty():
@@ -124,14 +130,26 @@ def impact_many(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH)
     return found if found is not None else edges.sparkSession.createDataFrame([], f"query {dict(roots.dtypes)['query']}, id string, depth int, strength int, parent string")
 
 
-def dependency_path(edges: DataFrame, source: str, target: str, max_depth: int = PATH_DEPTH, max_visited: int = PATH_VISITED) -> DataFrame:
-    """hop, f, t, kind of the first shortest chain by which source depends on target; no rows if there is none. All edges but CONTAINS count."""
+class Path(NamedTuple):
+    """hops: hop, f, t, kind; truncated: whether the search gave up at its bound, so that no hops need not mean no path."""
+
+    hops: DataFrame
+    truncated: bool
+
+
+def dependency_path(edges: DataFrame, source: str, target: str, max_depth: int = PATH_DEPTH, max_visited: int = PATH_VISITED) -> Path:
+    """The first shortest chain by which source depends on target; no rows if there is none. All edges but CONTAINS count.
+
+    At most max_visited symbols are held, on the driver."""
     spark = edges.sparkSession
     usable = edges.filter("kind <> 'CONTAINS'")
     came: dict[str, tuple[str, str] | None] = {source: None}
-    frontier = [source]
+    frontier, truncated = [source], False
     for _ in range(max_depth):
-        if target in came or not frontier or len(came) > max_visited:
+        if target in came or not frontier:
+            break
+        if len(came) > max_visited:
+            truncated = True
             break
         here = F.broadcast(spark.createDataFrame([(i, k) for k, i in enumerate(frontier)], "id string, place int"))
         known = F.broadcast(spark.createDataFrame([(i,) for i in came], "id string"))
@@ -144,39 +162,47 @@ def dependency_path(edges: DataFrame, source: str, target: str, max_depth: int =
         f, kind = came[at]
         out.append((f, at, kind))
         at = f
-    return spark.createDataFrame([(i + 1, *x) for i, x in enumerate(reversed(out))], "hop int, f string, t string, kind string")
+    return Path(spark.createDataFrame([(i + 1, *x) for i, x in enumerate(reversed(out))], "hop int, f string, t string, kind string"), truncated and target not in came)
 
 
-def parent_closure(symbols: DataFrame, max_depth: int = 16) -> DataFrame:
-    """id, ancestor, distance (1 and more). Chains of containers are short: a self-join for each level, ended when no rows are left."""
-    parent = symbols.filter("parent is not null").select("id", "parent")
-    up = parent.select(F.col("id").alias("below"), F.col("parent").alias("above"))
-    level = parent.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    out = level
-    for d in range(2, max_depth + 1):
-        level = level.join(up, F.col("ancestor") == F.col("below")).select("id", F.col("above").alias("ancestor"), F.lit(d).alias("distance"))
-        if level.isEmpty():
-            break
-        out = out.union(level)
-    return out
+def parent_closure(symbols: DataFrame) -> DataFrame:
+    """id, ancestor, distance (1 and more, the least) over (id, parent); an id may have several parents, and cycles end.
 
+    Distances double: the ancestors that are just as far as was looked are joined with all that are known, so that a chain of n takes log n rounds."""
+    known = symbols.filter("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct()
+    known, reach = written(known.filter("id <> ancestor"), "closure"), 1
+    while True:
+        far = known.filter(F.col("distance") == reach).select("id", F.col("ancestor").alias("via"), F.col("distance").alias("so_far"))
+        if far.isEmpty():
+            return known
+        up = known.select(F.col("id").alias("via"), "ancestor", "distance")
+        more = far.join(up, "via").filter("id <> ancestor").groupBy("id", "ancestor").agg(F.min(F.col("so_far") + F.col("distance")).alias("distance"))
+        more = written(more.join(known.select("id", "ancestor"), ["id", "ancestor"], "left_anti"), "closure")
+        known, reach = known.unionByName(more), 2 * reach
 
-def cycles(pairs: DataFrame, max_nodes: int = 64) -> DataFrame:
-    """member, cycle (its smallest member): strongly connected components of more than one node of a small graph (a, b), such as that of layers.
 
-    The closure of at most max_nodes nodes has at most max_nodes ** 2 rows."""
-    edge = pairs.select("a", "b").filter("a <> b").distinct()
-    reach = edge
-    for _ in range(max(1, max_nodes.bit_length())):
+def cycles(pairs: DataFrame) -> DataFrame:
+    """member, cycle (its smallest member): strongly connected components of more than one node of a graph (a, b) of layers or modules.
+
+    The closure has a row for each pair of nodes that reach one another: it doubles until nothing is new."""
+    reach = written(pairs.select("a", "b").filter("a <> b").distinct(), "reach")
+    n = reach.count()
+    while True:
         longer = reach.alias("x").join(reach.alias("y"), F.expr("x.b = y.a")).select("x.a", "y.b")
         reach = written(reach.union(longer).distinct(), "reach")
-        if reach.count() == edge.count():
+        before, n = n, reach.count()
+        if n == before:
             break
-        edge = reach
     mutual = reach.alias("x").join(reach.alias("y"), F.expr("x.a = y.b and x.b = y.a")).select(F.col("x.a").alias("member"), F.col("x.b").alias("other"))
     return mutual.groupBy("member").agg(F.min("other").alias("cycle"), F.count_distinct("other").alias("n")).filter("n > 1").select("member", F.least("member", "cycle").alias("cycle"))
 
 
+def cycle_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """edges (a, b and more) with cycle: those that run inside a component (member, cycle), its evidence."""
+    own, other = members.select(F.col("member").alias("a"), "cycle"), members.select(F.col("member").alias("b"), F.col("cycle").alias("there"))
+    return edges.join(own, "a").join(other, "b").filter("cycle = there").drop("there")
+
+
 def centrality(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """id, dependents: distinct symbols that depend on it directly, tests aside."""
     direct = edges.filter(~F.col("kind").isin(*SILENT_KINDS, "TESTS"))
@@ -204,12 +230,13 @@ def ranked(df: DataFrame, group: list[str], *order) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter("_rn = 1").drop("_rn")
 
 
-def path_either_way(edges: DataFrame, source: str, target: str, max_depth: int = PATH_DEPTH) -> DataFrame:
-    """The path from source to target or, where there is none, the one back; reversed tells which."""
+def path_either_way(edges: DataFrame, source: str, target: str, max_depth: int = PATH_DEPTH) -> Path:
+    """The path from source to target or, where there is none, the one back; `reversed` tells which."""
     there = dependency_path(edges, source, target, max_depth)
-    if source == target or not there.isEmpty():
-        return there.withColumn("reversed", F.lit(False))
-    return dependency_path(edges, target, source, max_depth).withColumn("reversed", F.lit(True))
+    if source == target or not there.hops.isEmpty():
+        return Path(there.hops.withColumn("reversed", F.lit(False)), there.truncated)
+    back = dependency_path(edges, target, source, max_depth)
+    return Path(back.hops.withColumn("reversed", F.lit(True)), there.truncated or back.truncated)
 
 
 def reaching(edges: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -235,3 +262,44 @@ def overrides(methods: DataFrame, supers: DataFrame) -> DataFrame:
     both = methods.join(supers, "owner").join(up, ["above", "name", "params"])
     best = both.groupBy(F.col("id").alias("f")).agg(F.min(F.struct("distance", "t", F.when(F.col("signature") == F.col("theirs"), 5).otherwise(3).alias("strength"))).alias("x"))
     return best.select("f", F.col("x.t").alias("t"), F.col("x.strength").alias("strength"))
+
+
+def with_hub(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, dependents: the one of the ids with the most direct dependents, the first id of equal ones."""
+    return centrality(edges, ids).orderBy(F.desc("dependents"), "id").limit(1)
+
+
+def symbol_info(edges: DataFrame, symbols: DataFrame, reached: DataFrame, symbol: str) -> DataFrame:
+    """id, kind, file, incoming, outgoing, impacted, tests of one symbol; reached: what its change reaches (id)."""
+    one = symbols.filter(F.col("id") == symbol).select("id", "kind", "file")
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    tests = reached.join(symbols.filter("is_test").select("id"), "id", "left_semi")
+    return one.crossJoin(count(incoming(edges, symbol), "incoming")).crossJoin(count(outgoing(edges, symbol), "outgoing")).crossJoin(count(reached, "impacted")).crossJoin(count(tests, "tests"))
+
+
+def slice_nodes(changed: DataFrame, impacted: DataFrame, cap: int = SLICE_NODES) -> DataFrame:
+    """id: the nodes of a graph slice, cap of them at most: changed symbols (id, kind) that are no files first, then the impacted (id, depth) by depth; a top-k report."""
+    own = changed.filter("kind <> 'file'").select("id", F.lit(0).alias("depth"))
+    every = own.union(impacted.select("id", "depth")).groupBy("id").agg(F.min("depth").alias("depth"))
+    return every.orderBy("depth", "id").limit(cap).select("id")
+
+
+def suggestions(symbols: DataFrame, wanted: str, cap: int = 5) -> DataFrame:
+    """id: what a wrong id may have meant: ids that hold it, else its last segment, else its owner; the first of these that finds any."""
+    tail, owner = wanted.replace("#", ".").split(".")[-1].split("(")[0], wanted.split("#")[0]
+    tries = [t for t in dict.fromkeys((wanted, tail, owner)) if t]
+    rank = F.coalesce(*(F.when(F.contains(F.lower("id"), F.lit(t.lower())), F.lit(i)) for i, t in enumerate(tries)))
+    hit = symbols.select("id", rank.alias("rank")).filter("rank is not null")
+    best = hit.agg(F.min("rank").alias("best"))
+    return hit.join(F.broadcast(best), F.col("rank") == F.col("best")).select("id").orderBy("id").limit(cap)
+
+
+def touched_modules(changed: DataFrame, impacted: DataFrame, symbols: DataFrame) -> DataFrame:
+    """modules: the number of distinct modules of changed and impacted symbols, one row."""
+    ids = changed.select("id").union(impacted.select("id")).distinct()
+    return symbols.join(ids, "id", "left_semi").agg(F.count_distinct("module").alias("modules"))
+
+
+def involving(rows: DataFrame, symbol: str) -> DataFrame:
+    """The rows (f, t, ...) one end of which is the symbol."""
+    return rows.filter((F.col("f") == symbol) | (F.col("t") == symbol))

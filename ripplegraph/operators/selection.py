@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplegraph.session import placed
+
 FAST_FEEDBACK = 10
 
 
@@ -23,8 +25,10 @@ def units_of(closure: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def first_recommendations(found: DataFrame) -> DataFrame:
     """One recommendation (id, reason_ord, depth, strength, seq, ...) for each test: by reason, depth, strength, then order of arrival."""
-    order = Window.partitionBy("id").orderBy("reason_ord", "depth", F.desc("strength"), "seq")
-    return found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    rest = [c for c in found.columns if c != "id"]
+    key = F.struct("reason_ord", "depth", (-F.col("strength")).alias("s"), "seq")
+    first = found.groupBy("id").agg(F.min(F.struct(key.alias("key"), F.struct(*rest).alias("x"))).alias("y"))
+    return first.select("id", *(F.col(f"y.x.{c}") for c in rest))
 
 
 def recommended(changed: DataFrame, impacted: DataFrame, symbols: DataFrame, container: DataFrame) -> DataFrame:
@@ -51,9 +55,9 @@ def tier(reason: str = "reason", strengths: str = "strengths", observed: str = "
 
 
 def run_order(tests: DataFrame) -> DataFrame:
-    """tests with place: by tier, flaky ones last, depth, duration (unknown last) and id. The list is one analysis's recommendations."""
-    order = Window.orderBy("tier_ord", "flaky", "depth", F.coalesce("duration_ms", F.lit((1 << 63) - 1)), "id")
-    return tests.withColumn("place", F.row_number().over(order))
+    """tests with place: by tier, flaky ones last, depth, duration (unknown last) and id; numbered by ranges."""
+    order = [F.col("tier_ord"), F.col("flaky"), F.col("depth"), F.coalesce("duration_ms", F.lit((1 << 63) - 1)), F.col("id")]
+    return placed(tests, order, "place").withColumn("place", F.col("place").cast("int"))
 
 
 def sum_known(values: str) -> Column:
@@ -107,11 +111,16 @@ def aggregated(cases: DataFrame) -> DataFrame:
 
 
 def nearest_ranks(samples: DataFrame, group: str, value: str) -> DataFrame:
-    """group, n, p50, p95, low, high: nearest-rank percentiles. A group's samples are ranked by a window, not gathered in a list."""
-    w = Window.partitionBy(group)
-    r = samples.withColumn("k", F.row_number().over(w.orderBy(value))).withColumn("n", F.count(F.lit(1)).over(w))
-    at = lambda p: F.max(F.when(F.col("k") == F.ceil(F.col("n") * p / 100), F.col(value)))
-    return r.groupBy(group).agg(F.max("n").alias("n"), at(50).alias("p50"), at(95).alias("p95"), F.min(value).alias("low"), F.max(value).alias("high"))
+    """group, n, p50, p95, low, high: nearest-rank percentiles. Equal values are counted first, and ranks are numbers of rows up to a range's end:
+    neither a list of a group's samples nor one task for it."""
+    counts = samples.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
+    r = placed(counts, [F.col(value)], "k", [group])
+    part = F.expr("k div 10000")
+    sums = r.groupBy(group, part.alias("part")).agg(F.sum("c").alias("c"))
+    before = sums.select(group, "part", (F.sum("c").over(Window.partitionBy(group).orderBy("part")) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy(group)).alias("n"))
+    upto = r.withColumn("part", part).join(before, [group, "part"]).withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(group, "part").orderBy(value)))
+    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * p / 100), F.col(value)))
+    return upto.groupBy(group).agg(F.max("n").alias("n"), at(50).alias("p50"), at(95).alias("p95"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
 #: Reasons to run every test, by how sure they are: fixed values.
@@ -125,3 +134,12 @@ def fallback_reasons(files: DataFrame, more: DataFrame) -> DataFrame:
     every = files.select(reason.alias("reason"), F.col("path").alias("example")).unionByName(more.select("reason", "example")).filter("reason is not null")
     severity = F.when(F.col("reason").isin(*HIGH_REASONS), "HIGH").when(F.col("reason").isin(*MEDIUM_REASONS), "MEDIUM").otherwise("LOW")
     return every.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("example").alias("example")).select("reason", severity.alias("severity"), "n", "example")
+
+
+def resolved_tests(selectors: DataFrame, symbols: DataFrame) -> DataFrame:
+    """selector, id: a test's selector as a symbol: its id, else a file, else a Java class by its name; null if none."""
+    ids = symbols.select("id")
+    out = selectors.select("selector").distinct()
+    for n, form in enumerate((F.col("selector"), F.concat(F.lit("file:"), "selector"), F.concat(F.lit("java:"), "selector"))):
+        out = out.withColumn("_want", form).join(ids.select(F.col("id").alias("_want"), F.col("id").alias(f"_{n}")), "_want", "left").drop("_want")
+    return out.select("selector", F.coalesce("_0", "_1", "_2").alias("id"))

@@ -81,11 +81,12 @@ def outgoing_edges(t: Tables) -> DataFrame:
 
 
 def impact_sql(root: str, cap: int, depth: int = MAX_DEPTH) -> str:
-    """The traversal unrolled: one table for each level, one for what is visited."""
+    """The traversal unrolled: one table for each level, one for what is visited. root: a symbol, or a query of their ids."""
+    ids = root if root.startswith("SELECT") else f"SELECT '{root}' AS id"
     out = [
         f"WITH e AS MATERIALIZED (SELECT * FROM {GRAPH} g)",
         "step AS MATERIALIZED (SELECT t AS n, f AS nxt, *, false AS via FROM e WHERE kind NOT IN ('CONTAINS', 'IMPORTS') UNION ALL SELECT f AS n, t AS nxt, *, true AS via FROM e WHERE kind = 'OVERRIDES')",
-        f"v0 AS (SELECT '{root}' AS id, 0 AS depth, 5 AS strength, cast(null as string) AS parent, '{root}' AS root, false AS via_dispatch, cast(0 as bigint) AS done)",
+        f"v0 AS (SELECT id, 0 AS depth, 5 AS strength, cast(null as string) AS parent, id AS root, false AS via_dispatch, cast(0 as bigint) AS done FROM ({ids}) r)",
     ]
     for d in range(1, depth + 1):
         out.append(f"""c{d} AS MATERIALIZED (SELECT * FROM (SELECT nxt AS id, {d} AS depth, least(p.strength, s.strength) AS strength, p.id AS parent, p.root AS root, via AS via_dispatch,
@@ -131,9 +132,30 @@ def impact_of_every_part(t: Tables) -> DataFrame:
     return graph.impact_many(written(graph_of(t), "graph"), roots, 2)
 
 
-@query()
+ALL_PARTS = "SELECT concat('part:', cast(p_partkey as string)) AS id FROM {part}"
+
+
+@query(impact_sql(ALL_PARTS, MAX_IMPACTED))
+def impact_of_all_parts(t: Tables) -> DataFrame:
+    """One traversal from more roots than may be reached."""
+    got = graph.impact(written(graph_of(t), "graph"), t.spark.sql(ALL_PARTS, part=t.part))
+    return got.reached.drop("hops")
+
+
+def path_sql(source: str, target: str, depth: int = 5) -> str:
+    out = [f"WITH e AS MATERIALIZED (SELECT * FROM {GRAPH} g WHERE kind <> 'CONTAINS')", f"v0 AS (SELECT '{source}' AS id, 0 AS depth, cast(1 as bigint) AS place, cast(null as string) AS f, cast(null as string) AS kind)"]
+    for d in range(1, depth + 1):
+        out.append(f"""v{d} AS MATERIALIZED (SELECT * FROM v{d - 1} UNION ALL SELECT id, {d}, row_number() OVER (ORDER BY place, id, kind_ord), f, kind FROM (SELECT e.t AS id, p.place, e.f, e.kind, e.kind_ord,
+            row_number() OVER (PARTITION BY e.t ORDER BY p.place, e.f, e.t, e.kind_ord, e.kind) AS rn FROM e JOIN v{d - 1} p ON e.f = p.id AND p.depth = {d - 1} WHERE e.t NOT IN (SELECT id FROM v{d - 1})) x WHERE rn = 1)""")
+    out.append(f"b{depth} AS (SELECT * FROM v{depth} WHERE id = '{target}' AND depth > 0)")
+    for d in range(depth - 1, 0, -1):
+        out.append(f"b{d} AS (SELECT * FROM b{d + 1} UNION SELECT v.* FROM v{depth} v JOIN b{d + 1} b ON v.id = b.f WHERE v.depth > 0)")
+    return ", ".join(out) + " SELECT cast(depth as int) AS hop, f, id AS t, kind{more} FROM b1"
+
+
+@query(path_sql("orders:1", "region:1").replace("{more}", ""))
 def dependency_path(t: Tables) -> DataFrame:
-    return graph.dependency_path(written(graph_of(t), "graph"), "orders:1", "region:1")
+    return graph.dependency_path(written(graph_of(t), "graph"), "orders:1", "region:1").hops
 
 
 CLOSURE = "c AS (SELECT id, parent AS ancestor, 1 AS distance FROM {sym} WHERE parent IS NOT NULL UNION ALL SELECT c.id, s.parent, c.distance + 1 FROM c JOIN {sym} s ON c.ancestor = s.id WHERE s.parent IS NOT NULL)"
@@ -215,9 +237,27 @@ def identity_aliases(t: Tables) -> DataFrame:
     return changes.identity_aliases(_moves(t))
 
 
-@query("WITH x AS (SELECT coalesce(b.id, h.id) AS id, CASE WHEN b.id IS NULL THEN 'ADDED' WHEN h.id IS NULL THEN 'DELETED' WHEN b.fp <> h.fp THEN 'MODIFIED' END AS change FROM {base} b FULL OUTER JOIN {head} h ON b.id = h.id) SELECT CASE WHEN change = 'DELETED' THEN 'base' ELSE 'head' END AS side, id FROM x WHERE change IS NOT NULL")
+CLASSIFIED = """b AS (SELECT id, owner, name, concat(fp, body) AS fp FROM {base}), h AS (SELECT id, owner, name, concat(fp, body) AS fp FROM {head}),
+    p AS (SELECT coalesce(b.id, h.id) AS id, CASE WHEN b.id IS NULL THEN 'ADDED' WHEN h.id IS NULL THEN 'DELETED' WHEN b.fp <> h.fp THEN 'MODIFIED' END AS change FROM b FULL OUTER JOIN h ON b.id = h.id),
+    g AS (SELECT * FROM b WHERE id NOT IN (SELECT id FROM h)), c AS (SELECT * FROM h WHERE id NOT IN (SELECT id FROM b)),
+    s AS (SELECT x.id AS previous, y.id FROM (SELECT owner, name, min(id) AS id FROM g GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT owner, name, min(id) AS id FROM c GROUP BY ALL HAVING count(*) = 1) y ON x.owner = y.owner AND x.name = y.name),
+    m AS (SELECT x.id AS previous, y.id FROM (SELECT fp, min(id) AS id FROM g WHERE id NOT IN (SELECT previous FROM s) GROUP BY fp HAVING count(*) = 1) x JOIN (SELECT fp, min(id) AS id FROM c WHERE id NOT IN (SELECT id FROM s) GROUP BY fp HAVING count(*) = 1) y ON x.fp = y.fp),
+    classified AS (SELECT p.id, change, m.previous, m.previous IS NOT NULL AS probable_move FROM p LEFT JOIN m ON m.id = p.id WHERE change IS NOT NULL AND p.id NOT IN (SELECT id FROM s) AND p.id NOT IN (SELECT previous FROM s) UNION ALL SELECT id, 'SIGNATURE_CHANGED', previous, false FROM s)"""
+
+
+def _classified(t: Tables) -> DataFrame:
+    side = lambda df: df.select("id", F.lit("method").alias("kind"), "owner", "name", F.concat("fp", "body").alias("fp"))
+    return changes.classified(side(t.base), side(t.head))
+
+
+@query(f"WITH {CLASSIFIED} SELECT * FROM classified")
+def classified_symbols(t: Tables) -> DataFrame:
+    return _classified(t)
+
+
+@query(f"WITH {CLASSIFIED} SELECT DISTINCT side, id FROM (SELECT CASE WHEN change = 'DELETED' THEN 'base' ELSE 'head' END AS side, id FROM classified UNION ALL SELECT 'base', previous FROM classified WHERE change = 'SIGNATURE_CHANGED') x")
 def impact_roots(t: Tables) -> DataFrame:
-    return changes.impact_roots(changes.classify_symbols(t.base, t.head).withColumn("previous", F.lit(None).cast("string")))
+    return changes.impact_roots(_classified(t))
 
 
 @query("WITH l AS (SELECT DISTINCT concat('src/part/', cast(p_size as string), '.ts') AS file, cast(p_partkey + 2 as int) AS line FROM {part}) SELECT file, line, coalesce(id, concat('file:', file)) AS id FROM (SELECT l.file, l.line, s.id, row_number() OVER (PARTITION BY l.file, l.line ORDER BY s.end_line - s.start_line, s.id) AS rn FROM l LEFT JOIN {sym} s ON s.file = l.file AND l.line BETWEEN s.start_line AND s.end_line) x WHERE rn = 1")
@@ -383,11 +423,11 @@ def sum_known(t: Tables) -> DataFrame:
     return rows.groupBy("id").agg(selection.sum_known("d").alias("total"))
 
 
-@query(f"SELECT 'FAST_FEEDBACK' AS mode, 'SELECTED' AS decision, count(*) AS tests, CASE WHEN count(*) = count(duration_ms) THEN cast(coalesce(sum(duration_ms), 0) as bigint) END AS total_ms FROM (SELECT *, row_number() OVER (ORDER BY tier_ord, flaky, depth, coalesce(duration_ms, 9223372036854775807), id) AS place FROM ({ORDERED}) x) y WHERE place <= 10 UNION ALL SELECT 'BALANCED', 'FULL_SUITE', count(*), CASE WHEN count(*) = count(duration_ms) THEN cast(coalesce(sum(duration_ms), 0) as bigint) END FROM ({ORDERED}) z")
+@query(f"SELECT 'FAST_FEEDBACK' AS mode, 'SELECTED' AS decision, count(*) AS tests, CASE WHEN count(*) = count(duration_ms) THEN cast(coalesce(sum(duration_ms), 0) as bigint) END AS total_ms FROM (SELECT *, row_number() OVER (ORDER BY tier_ord, flaky, depth, coalesce(duration_ms, 9223372036854775807), id) AS place FROM ({ORDERED}) x) y WHERE place <= 10 UNION ALL SELECT 'BALANCED', 'FULL_SUITE', count(*), CASE WHEN count(*) = count(duration_ms) THEN cast(coalesce(sum(duration_ms), 0) as bigint) END FROM ({ORDERED}) z UNION ALL SELECT 'CONSERVATIVE', 'FULL_SUITE', count(*), CASE WHEN count(*) = count(duration_ms) THEN cast(coalesce(sum(duration_ms), 0) as bigint) END FROM ({ORDERED}) w")
 def test_selection(t: Tables) -> DataFrame:
     reasons = t.spark.createDataFrame([("MEDIUM",), ("HIGH",)], "severity string")
     order = selection.run_order(_ordered(t))
-    return selection.selected(order, "FAST_FEEDBACK", reasons).union(selection.selected(order, "BALANCED", reasons))
+    return selection.selected(order, "FAST_FEEDBACK", reasons).union(selection.selected(order, "BALANCED", reasons)).union(selection.selected(order, "CONSERVATIVE", reasons.filter("severity = 'MEDIUM'")))
 
 
 PLAN = "SELECT user_id AS plan, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place, event_type = 'error' AS failed, cast(floor(value * 10) as bigint) AS duration_ms FROM {events}"
@@ -453,10 +493,10 @@ def layer_violations(t: Tables) -> DataFrame:
     return arch.violations(_deps(t), rules)
 
 
-@query("WITH x AS (SELECT f, t, kind FROM {dep_base}), y AS (SELECT f, t, kind FROM {dep_head} WHERE l_shipdate > TIMESTAMP '1996-01-01 00:00:00'), b AS (SELECT DISTINCT CASE WHEN f = 'l97' THEN 'l97-new' ELSE f END AS f, t, kind FROM x), h AS (SELECT DISTINCT CASE WHEN f = 'l97' THEN 'l97-new' ELSE f END AS f, t, kind FROM y) SELECT coalesce(b.f, h.f) AS f, coalesce(b.t, h.t) AS t, coalesce(b.kind, h.kind) AS kind, CASE WHEN b.f IS NULL THEN 'NEW' WHEN h.f IS NULL THEN 'REMOVED' ELSE 'PRE_EXISTING' END AS status FROM b FULL OUTER JOIN h ON b.f = h.f AND b.t = h.t AND b.kind = h.kind")
+@query("WITH x AS (SELECT f, t, kind FROM {dep_base}), y AS (SELECT f, t, kind FROM {dep_head} WHERE l_shipdate > TIMESTAMP '1996-01-01 00:00:00'), b AS (SELECT DISTINCT CASE WHEN f = 'l1' THEN 'l1-new' ELSE f END AS f, t, kind FROM x), h AS (SELECT DISTINCT CASE WHEN f = 'l1' THEN 'l1-new' ELSE f END AS f, t, kind FROM y) SELECT coalesce(b.f, h.f) AS f, coalesce(b.t, h.t) AS t, coalesce(b.kind, h.kind) AS kind, CASE WHEN b.f IS NULL THEN 'NEW' WHEN h.f IS NULL THEN 'REMOVED' ELSE 'PRE_EXISTING' END AS status FROM b FULL OUTER JOIN h ON b.f = h.f AND b.t = h.t AND b.kind = h.kind")
 def violation_delta(t: Tables) -> DataFrame:
-    renamed = F.when(F.col("f") == "l97", "l97-new").otherwise(F.col("f"))
-    aliases = t.spark.createDataFrame([("l97", "l97-new")], "base_id string, head_id string")
+    renamed = F.when(F.col("f") == "l1", "l1-new").otherwise(F.col("f"))
+    aliases = t.spark.createDataFrame([("l1", "l1-new")], "base_id string, head_id string")
     return arch.violation_delta(t.dep_base, t.dep_head.filter("l_shipdate > TIMESTAMP '1996-01-01 00:00:00'").withColumn("f", renamed), aliases)
 
 
@@ -556,7 +596,8 @@ def capped_evidence(t: Tables) -> DataFrame:
 
 OWNERS = [(1, "*.ts", ["@all"]), (2, "src/", ["@code", "@review"]), (3, "/src/part/1*", ["@parts"]), (4, "tests/*", []), (5, "geo/**/A*", ["@a"])]
 OWNER_RULES = [(n, paths.owners_regex(p), o) for n, p, o in OWNERS]
-OWNER_CASE = "CASE " + " ".join(f"WHEN regexp_matches(file, '{r}') THEN {n}" for n, r, _ in reversed(OWNER_RULES)) + " END"
+#: The same rules as SQL says them, the last first.
+OWNER_CASE = "CASE WHEN file LIKE 'geo/A%' THEN 5 WHEN file LIKE 'tests/%' AND len(string_split(file, '/')) = 2 THEN 4 WHEN file LIKE 'src/part/1%' THEN 3 WHEN file LIKE 'src/%' THEN 2 WHEN file LIKE '%.ts' THEN 1 END"
 OWNED = f"SELECT path, line, CASE line WHEN 1 THEN ['@all'] WHEN 2 THEN ['@code', '@review'] WHEN 3 THEN ['@parts'] WHEN 4 THEN []::VARCHAR[] WHEN 5 THEN ['@a'] END AS owners FROM (SELECT DISTINCT file AS path, {OWNER_CASE} AS line FROM {{sym}}) x"
 
 
@@ -603,12 +644,15 @@ def path_validation(t: Tables) -> DataFrame:
 NAMES = "SELECT p_partkey AS id, concat('dir', cast(p_size as string), '/', CASE p_partkey % 9 WHEN 0 THEN 'package-lock.json' WHEN 1 THEN 'db/migrate/x.sql' WHEN 2 THEN '.github/workflows/ci.yml' WHEN 3 THEN 'Dockerfile' WHEN 4 THEN 'pom.xml' WHEN 5 THEN 'app.yaml' WHEN 6 THEN 'style.css' WHEN 7 THEN 'Main.java' ELSE 'node_modules/a.min.js' END) AS path FROM {part}"
 
 
-@query(f"SELECT id, path, CASE {' '.join(f"WHEN regexp_matches(lower(path), '{p}') THEN '{n}'" for n, p in paths.CATEGORIES)} END AS category FROM ({NAMES}) p")
+KIND = "CASE id % 9 WHEN 0 THEN 'LOCKFILE' WHEN 1 THEN 'MIGRATION' WHEN 2 THEN 'CI' WHEN 3 THEN 'CONTAINER' WHEN 4 THEN 'BUILD' WHEN 5 THEN 'CONFIG' WHEN 6 THEN 'RESOURCE' END"
+
+
+@query(f"SELECT id, path, {KIND} AS category FROM ({NAMES}) p")
 def file_category(t: Tables) -> DataFrame:
     return t.spark.sql(NAMES, part=t.part).withColumn("category", paths.category("path"))
 
 
-@query(f"SELECT id, path, regexp_extract(path, '\\.([^./]+)$', 1) AS ext, CASE WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '.' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS module, CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in paths.LANGUAGES.items())} END AS language, list_contains(string_split(path, '/'), 'node_modules') OR ends_with(path, '.min.js') OR ends_with(path, '.bundle.js') AS excluded FROM ({NAMES}) p")
+@query(f"SELECT id, path, regexp_extract(path, '\\.([^./]+)$', 1) AS ext, CASE WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '.' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS module, CASE id % 9 WHEN 7 THEN 'java' WHEN 8 THEN 'javascript' END AS language, list_contains(string_split(path, '/'), 'node_modules') OR ends_with(path, '.min.js') OR ends_with(path, '.bundle.js') AS excluded FROM ({NAMES}) p")
 def path_parts(t: Tables) -> DataFrame:
     return t.spark.sql(NAMES, part=t.part).select("id", "path", paths.extension("path").alias("ext"), paths.parent_dir("path").alias("module"), paths.language("path").alias("language"), paths.excluded("path").alias("excluded"))
 
@@ -631,7 +675,8 @@ def token_fingerprint(t: Tables) -> DataFrame:
 GLOBS = ["src/**/*.ts", "src/part/?.ts", "{geo,tests}/*", "**/[0-4]*.ts", "tests/1-*"]
 
 
-@query("SELECT DISTINCT file AS path, " + ", ".join(f"regexp_matches(file, '{paths.glob_regex(g)}') AS g{i}" for i, g in enumerate(GLOBS)) + " FROM {sym}")
+@query("""SELECT DISTINCT file AS path, file LIKE 'src/%' AND file LIKE '%.ts' AS g0, file LIKE 'src/part/_.ts' AS g1, (file LIKE 'geo/%' OR file LIKE 'tests/%') AND len(string_split(file, '/')) = 2 AS g2,
+    file LIKE '%.ts' AND left(string_split(file, '/')[-1], 1) BETWEEN '0' AND '4' AS g3, file LIKE 'tests/1-%' AND len(string_split(file, '/')) = 2 AS g4 FROM {sym}""")
 def glob_match(t: Tables) -> DataFrame:
     return t.sym.select(F.col("file").alias("path")).distinct().select("path", *(F.col("path").rlike(paths.glob_regex(g)).alias(f"g{i}") for i, g in enumerate(GLOBS)))
 
@@ -718,7 +763,7 @@ def overrides(t: Tables) -> DataFrame:
     return graph.overrides(t.spark.sql(METHODS, part=t.part), t.spark.sql(SUPERS, part=t.part))
 
 
-REASON = f"CASE {' '.join(f"WHEN regexp_matches(lower(path), '{p}') THEN '{'BUILD_FILE' if n == 'BUILD' else n}'" for n, p in paths.CATEGORIES)} WHEN id % 5 = 0 THEN 'UNSUPPORTED_FILE_CHANGED' END"
+REASON = f"coalesce(replace({KIND}, 'BUILD', 'BUILD_FILE'), CASE WHEN id % 5 = 0 THEN 'UNSUPPORTED_FILE_CHANGED' END)"
 
 
 @query(f"SELECT reason, CASE WHEN reason IN {selection.HIGH_REASONS} THEN 'HIGH' ELSE 'MEDIUM' END AS severity, count(*) AS n, min(path) AS example FROM (SELECT {REASON} AS reason, path FROM ({NAMES}) p UNION ALL SELECT 'IMPACT_TRUNCATED', 'x') q WHERE reason IS NOT NULL GROUP BY reason")
@@ -727,6 +772,6 @@ def fallback_reasons(t: Tables) -> DataFrame:
     return selection.fallback_reasons(files, t.spark.createDataFrame([("IMPACT_TRUNCATED", "x")], "reason string, example string"))
 
 
-@query()
+@query(path_sql("orders:1", "region:1").replace("{more}", ", true AS reversed"))
 def path_either_way(t: Tables) -> DataFrame:
-    return graph.path_either_way(written(graph_of(t), "graph"), "region:1", "orders:1")
+    return graph.path_either_way(written(graph_of(t), "graph"), "region:1", "orders:1").hops

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +35,16 @@ def apply(spark: SparkSession, store: str, tables: dict[str, DataFrame]) -> dict
     for name, df in tables.items():
         before = load(spark, store, name) if old else df.limit(0)
         delta[name] = table_delta(before.select(*df.columns), df, KEYS[name]).first().asDict()
-    draft = f"{store}/index/.draft"
+    name_ = f".draft-{uuid.uuid4().hex}"
+    draft, final = f"{store}/index/{name_}", f"{store}/index/v{(old or [0])[-1] + 1}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{draft}/{name}")
+        df.write.parquet(f"{draft}/{name}")
     fs, path = _fs(spark, store)
-    if not fs.rename(path(draft), path(f"{store}/index/v{(old or [0])[-1] + 1}")):
+    done = not fs.exists(path(final)) and fs.rename(path(draft), path(final))
+    # A rename onto a folder that another has just made moves the draft into it.
+    if not done or fs.exists(path(f"{final}/{name_}")):
+        fs.delete(path(f"{final}/{name_}"), True)
+        fs.delete(path(draft), True)
         raise RuntimeError("the store is being written by another")
     return delta
 
@@ -51,3 +58,17 @@ def add_runs(spark: SparkSession, store: str, run_id: int, commit: str, results:
 def missing_facts(files: DataFrame, facts: DataFrame) -> DataFrame:
     """The files (path, blob) whose facts are not stored: only these need reading again."""
     return files.join(facts.select("path", "blob"), ["path", "blob"], "left_anti")
+
+
+def put_facts(spark: SparkSession, store: str, facts: DataFrame) -> None:
+    """Add facts (path, blob, extractor, payload); of several with one key the last that was added is read."""
+    facts.withColumn("added", F.current_timestamp()).write.mode("append").parquet(f"{store}/facts")
+
+
+def facts(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.parquet(f"{store}/facts").groupBy("path", "blob", "extractor").agg(F.max(F.struct("added", "payload")).alias("x")).select("path", "blob", "extractor", "x.payload")
+
+
+def add_coverage(spark: SparkSession, store: str, report_id: int, commit: str, lines: DataFrame) -> None:
+    """Append the lines (test, format, path, line, hit) of one coverage report."""
+    lines.select(F.lit(report_id).cast("bigint").alias("id"), F.lit(commit).alias("commit"), "test", "format", "path", "line", "hit").write.mode("append").parquet(f"{store}/coverage")

@@ -47,7 +47,7 @@ VIEWS = {
     "come": "SELECT h.* FROM {head} h WHERE NOT EXISTS (SELECT 1 FROM {base} b WHERE b.id = h.id)",
     "runs": "SELECT concat('user:', cast(user_id as string), '/', cast(event_id % 7 as string)) AS test, event_id AS run_id, cast(date_trunc('hour', ts) as string) AS commit, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'SKIPPED' ELSE 'PASSED' END AS outcome, cast(floor(value * 10) as bigint) AS duration_ms, CASE WHEN event_type = 'purchase' AND event_id % 11 = 0 THEN 1 ELSE 0 END AS failed_attempts FROM {events}",
     "files": "SELECT doc_id, concat(source, '/', cast(doc_id as string), '.', lang) AS path, md5(text) AS blob, text FROM {documents}",
-    "dep": "SELECT concat('l', cast(l_orderkey as string)) AS f, concat('p', cast(l_partkey as string)) AS t, 'CALLS' AS kind, 5 AS kind_ord, c.n_name AS a, s.n_name AS b, cr.r_name AS ra, sr.r_name AS rb, l_shipdate FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} c ON c_nationkey = c.n_nationkey JOIN {region} cr ON c.n_regionkey = cr.r_regionkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} s ON s_nationkey = s.n_nationkey JOIN {region} sr ON s.n_regionkey = sr.r_regionkey WHERE l_orderkey % 97 = 0 AND l_linenumber = 1",
+    "dep": "SELECT concat('l', cast(l_orderkey as string)) AS f, concat('p', cast(l_partkey as string)) AS t, 'CALLS' AS kind, 5 AS kind_ord, c.n_name AS a, s.n_name AS b, cr.r_name AS ra, sr.r_name AS rb, l_shipdate FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} c ON c_nationkey = c.n_nationkey JOIN {region} cr ON c.n_regionkey = cr.r_regionkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} s ON s_nationkey = s.n_nationkey JOIN {region} sr ON s.n_regionkey = sr.r_regionkey",
     "dep_base": "SELECT * FROM {dep} WHERE l_shipdate < TIMESTAMP '1998-07-01 00:00:00' AND a <> b",
     "dep_head": "SELECT * FROM {dep} WHERE a <> b",
     "reports": "SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN cast(null as string) ELSE concat('t', cast(doc_id % 40 as string)) END AS test, concat('commit-', cast(doc_id % 6 as string), '-of-many') AS commit, concat('f', cast(doc_id % 3 as string)) AS format FROM {documents}",

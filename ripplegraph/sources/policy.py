@@ -5,12 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import yaml
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ripplegraph.functions.paths import glob_regex, owners_regex
 from ripplegraph.operators.assessment import GATES
 
 CYCLES, MODES = ("off", "warn", "forbid"), ("conservative", "balanced", "fast_feedback")
-MOST_LAYERS, MOST_OWNERS_BYTES = 64, 3_000_000
+MOST_LAYERS, MOST_POLICY_BYTES, MOST_OWNERS_BYTES = 64, 1 << 20, 3 << 20
+#: Where an owners file may be, the first that is there counts: fixed values.
+OWNERS_PATHS = (".github/CODEOWNERS", "CODEOWNERS", "docs/CODEOWNERS")
 
 
 @dataclass
@@ -96,3 +100,38 @@ def parse_owners(text: str) -> tuple[list[tuple[int, str, list[str]]], list[tupl
         else:
             rules.append((n, owners_regex(pattern), owners))
     return rules, errors
+
+
+def _text(spark: SparkSession, root: str, path: str, most: int) -> tuple[str | None, str | None]:
+    """A small file's text, or what is wrong with it; both None where there is no such file. Its content is read only if it is small enough."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{path}")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None, None
+    text = F.when(F.col("length") <= most, F.try_validate_utf8(F.col("content").cast("string")))
+    top = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{path}").select("length", text.alias("text")).collect()
+    if top[0]["length"] > most:
+        return None, f"{path} has more than {most} bytes"
+    return (top[0]["text"], None) if top[0]["text"] is not None else (None, f"{path} is no text")
+
+
+def read_policy(spark: SparkSession, root: str, path: str) -> tuple[Policy, list[str]]:
+    """The policy file of a snapshot folder and what is wrong with it; the default policy where there is none, or a wrong one."""
+    text, problem = _text(spark, root, path, MOST_POLICY_BYTES)
+    if text is None:
+        return parse_policy("version: 1"), [problem] if problem else []
+    try:
+        return parse_policy(text), []
+    except (ValueError, yaml.YAMLError) as e:
+        return parse_policy("version: 1"), [str(e)]
+
+
+def read_owners(spark: SparkSession, root: str) -> tuple[list[tuple[int, str, list[str]]], list[tuple[int, str]]]:
+    """The rules and errors of the first owners file that a snapshot folder has; none without one."""
+    for path in OWNERS_PATHS:
+        text, problem = _text(spark, root, path, MOST_OWNERS_BYTES)
+        if problem:
+            return [], [(0, problem)]
+        if text is not None:
+            return parse_owners(text)
+    return [], []

@@ -75,9 +75,54 @@ def test_random_graphs_equal_brute_force(spark, found, cap):
 def test_paths(spark):
     rows = [("a", "b", "CALLS", 5, 1), ("b", "c", "IMPORTS", 5, 1), ("a", "x", "CONTAINS", 5, 1), ("x", "c", "CALLS", 5, 1)]
     g = edges(spark, rows)
-    assert [(r["f"], r["t"]) for r in graph.dependency_path(g, "a", "c").orderBy("hop").collect()] == [("a", "b"), ("b", "c")]
-    assert graph.dependency_path(g, "c", "a").count() == 0 and graph.dependency_path(g, "a", "a").count() == 0
-    assert graph.dependency_path(g, "a", "c", max_depth=1).count() == 0
+    assert [(r["f"], r["t"]) for r in graph.dependency_path(g, "a", "c").hops.orderBy("hop").collect()] == [("a", "b"), ("b", "c")]
+    assert graph.dependency_path(g, "c", "a").hops.count() == 0 and graph.dependency_path(g, "a", "a").hops.count() == 0
+    assert graph.dependency_path(g, "a", "c", max_depth=1).hops.count() == 0
+    # No path, and a search that gave up, are told apart.
+    wide = edges(spark, [("a", f"n{i}", "CALLS", 5, 1) for i in range(20)] + [("n7", "end", "CALLS", 5, 1)])
+    assert graph.dependency_path(wide, "a", "end", max_visited=10).truncated and not graph.dependency_path(wide, "a", "none").truncated
+    back = graph.path_either_way(g, "c", "a")
+    assert back.hops.count() == 2 and back.hops.first()["reversed"]
+
+
+def test_more_roots_than_may_be_reached(spark):
+    rows = [(f"u{i}", f"r{i}", "CALLS", 5, 1) for i in range(5500, 6000)]
+    g = edges(spark, rows)
+    got = graph.impact(g, spark.range(6000).selectExpr("concat('r', id) AS id"))
+    assert got.reached.count() == 500 and not got.truncated
+    got = graph.impact(g, spark.range(6000).selectExpr("concat('r', id) AS id"), max_impacted=499)
+    assert got.reached.count() == 499 and got.truncated
+
+
+def test_long_chains_of_parents(spark):
+    chain = spark.range(1, 41).selectExpr("cast(id as string) AS id", "cast(id - 1 as string) AS parent")
+    got = {(r["id"], r["ancestor"]): r["distance"] for r in graph.parent_closure(chain).collect()}
+    assert got == {(str(i), str(j)): i - j for i in range(1, 41) for j in range(i)}
+    # Several parents and a cycle.
+    rows = [("m", "a"), ("m", "b"), ("a", "r"), ("b", "a"), ("x", "y"), ("y", "z"), ("z", "y")]
+    got = {(r["id"], r["ancestor"]): r["distance"] for r in graph.parent_closure(spark.createDataFrame(rows, "id string, parent string")).collect()}
+    assert got == {("m", "a"): 1, ("m", "b"): 1, ("m", "r"): 2, ("a", "r"): 1, ("b", "a"): 1, ("b", "r"): 2, ("x", "y"): 1, ("x", "z"): 2, ("y", "z"): 1, ("z", "y"): 1}
+
+
+def test_a_large_ring_is_one_cycle(spark):
+    ring = spark.range(150).selectExpr("format_string('n%03d', id) AS a", "format_string('n%03d', (id + 1) % 150) AS b")
+    got = graph.cycles(ring)
+    assert got.count() == 150 and {r["cycle"] for r in got.collect()} == {"n000"}
+    assert graph.cycle_edges(ring.union(spark.createDataFrame([("n000", "out")], "a string, b string")), got).count() == 150
+
+
+def test_symbol_bundle_slice_and_suggestions(spark):
+    g = edges(spark, [("b", "a", "CALLS", 5, 1), ("t", "b", "TESTS", 5, 1), ("a", "x", "CALLS", 5, 1)])
+    syms = spark.createDataFrame([(i, "function", "f.ts", i == "t", "m" if i < "t" else "n") for i in "abtx"], "id string, kind string, file string, is_test boolean, module string")
+    reached = graph.impact(g, spark.createDataFrame([("a",)], "id string")).reached
+    assert tuple(graph.symbol_info(g, syms, reached, "a").first()) == ("a", "function", "f.ts", 1, 1, 2, 1)
+    nodes = graph.slice_nodes(syms.filter("id = 'a'"), reached, 2)
+    assert [r["id"] for r in nodes.collect()] == ["a", "b"]
+    assert graph.touched_modules(syms.filter("id = 'a'"), reached, syms).first()["modules"] == 2
+    assert graph.with_hub(g, syms).first()["id"] == "a" and graph.involving(g, "x").count() == 1
+    ids = spark.createDataFrame([("java:shop.Cart#sum()",), ("java:shop.Cart",), ("java:shop.Price",)], "id string")
+    assert [r["id"] for r in graph.suggestions(ids, "store.Cart#sum(int)").collect()] == ["java:shop.Cart#sum()"]
+    assert [r["id"] for r in graph.suggestions(ids, "shop.price").collect()] == ["java:shop.Price"]
 
 
 def test_cycles(spark):
