@@ -107,63 +107,6 @@ class Block(NamedTuple):
 _ROOT = Element("b", (), None)
 
 
-class Element:
-    """An open element: its name, its own words (of class, id and role), what is around it, whether it is in a link; `sum`, the vector of its whole path, is made once."""
-
-    __slots__ = ("name", "up", "linked", "own", "sum")
-
-    def __init__(self, name: str, extra: tuple[str, ...], up: Element | None) -> None:
-        self.name, self.up = name, up
-        self.linked = name == "a" or (up is not None and up.linked)
-        self.own = () if name in _INLINE else (name, *extra)
-        self.sum: np.ndarray | None = None
-
-    def path(self) -> tuple[str, ...]:
-        """The words of all elements around, the outermost first."""
-        chain, e = [], self
-        while e is not None:
-            chain.append(e.own)
-            e = e.up
-        return tuple(t for own in reversed(chain) for t in own)
-
-    def vector(self) -> np.ndarray:
-        """The hashed words of the whole path: those of the elements around are added up once."""
-        chain, e = [], self
-        while e is not None and e.sum is None:
-            chain.append(e)
-            e = e.up
-        total = np.zeros(PATH_SIZE, dtype=np.float32) if e is None else e.sum
-        for e in reversed(chain):
-            if e.own:
-                total = total + path_vector(e.own)
-            e.sum = total
-        return total
-
-
-def path_vector(words: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH_SIZE, dtype=np.float32)
-    for t in words:
-        h = zlib.crc32(t.encode())
-        out[h % PATH_SIZE] += 1 if h & 0x10000 else -1
-    return out
-
-
-class Block(NamedTuple):
-    """A block's innermost element, its text and the share of it in links; words: a path in place of the element's, for training."""
-
-    element: Element
-    text: str
-    links: float
-    words: tuple[str, ...] | None = None
-
-    @property
-    def path(self) -> tuple[str, ...]:
-        return self.element.path() if self.words is None else self.words
-
-
-_ROOT = Element("b", (), None)
-
-
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order. The cost of a tag does not depend on how deep it stands: an end tag of which no element is open is passed over."""
     out: list[Block] = []
@@ -339,10 +282,6 @@ def packed(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 _ARTICLES = (("article",), ("main",), ("div", "content"), ("div", "post"), ("section", "entry"), ("div",), ("table", "tr", "td"), ("table", "tbody", "tr", "td"))
 
 
-#: What stands for the article's element in a copy: by its name, by a class, or by nothing but the layout.
-_ARTICLES = (("article",), ("main",), ("div", "content"), ("div", "post"), ("section", "entry"), ("div",), ("table", "tr", "td"), ("table", "tbody", "tr", "td"))
-
-
 def _put_in(page: list[tuple[Block, float]], r: np.random.Generator, phrases: list[str]) -> list[tuple[Block, float]]:
     """A copy of the page's blocks and labels with boilerplate of several kinds around and between them, and paths as other sites have them."""
     noise = sorted(_NOISE - {"head"})

@@ -338,30 +338,3 @@ def test_an_article_without_semantic_elements(spark):
         html = "<html><body><nav><a href=x>home</a><a href=y>news</a></nav>" + kind % body + "<footer>imprint</footer></body></html>"
         (got,) = html_text.main_text(spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string"), model).collect()
         assert got["text"].count("\n") == 5 and "home" not in got["text"] and "imprint" not in got["text"], kind
-
-
-def test_deep_and_unclosed_pages_take_linear_time():
-    import time
-
-    took = []
-    for n in (5_000, 40_000):
-        began = time.process_time()
-        page = html_text.blocks("<div>x" * n + "</span>" * n)
-        assert len(page) == n and len(html_text.vectors(page)) == n
-        took.append(time.process_time() - began)
-    assert took[1] < 24 * max(took[0], 0.02)
-    assert html_text.blocks("<p>" + "<b>" * 3 + "one</b>")[0].path == ("p",)
-
-
-def test_text_of_all_elements_counts():
-    page = "<article><p>E = <math><mi>m</mi><mo>c</mo></math> it</p><noscript>plain</noscript><object>fallback</object><canvas>drawn</canvas><svg><text>axis</text></svg><script>no()</script></article>"
-    assert [b.text for b in html_text.blocks(page)] == ["E = mc it", "plain", "fallback", "drawn", "axis"]
-
-
-def test_an_article_without_semantic_elements(spark):
-    model = html_text.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
-    body = "".join(f"<p>{prose(random.Random(k), 40)}, and so on. {prose(random.Random(k + 50), 30)}.</p>" for k in range(6))
-    for kind in ("<table><tr><td>%s</td></tr></table>", "<div>%s</div>", "<div class='content'>%s</div>"):
-        html = "<html><body><nav><a href=x>home</a><a href=y>news</a></nav>" + kind % body + "<footer>imprint</footer></body></html>"
-        (got,) = html_text.main_text(spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string"), model).collect()
-        assert got["text"].count("\n") == 5 and "home" not in got["text"] and "imprint" not in got["text"], kind
