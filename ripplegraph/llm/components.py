@@ -1,4 +1,6 @@
-"""Connected components by alternating stars, each round a few joins on written tables."""
+"""Connected components by alternating stars, each round a few joins on written tables.
+
+Cases: an edge with a null end joins nothing and is passed over; repeated edges, loops and either order of the ends change nothing; no edges give no rows."""
 
 from __future__ import annotations
 

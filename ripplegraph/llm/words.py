@@ -1,7 +1,9 @@
 """Words of whole text columns as numpy arrays, for use inside tasks.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z. Words are known by a 64-bit
-hash, taken for all words of a slice at once: no Python object is made for a word."""
+hash, taken for all words of a slice at once: no Python object is made for a word.
+
+Cases: null counts as empty; texts without words have none; a text of any length is one slice at least, never cut; an empty column has no words."""
 
 from __future__ import annotations
 
