@@ -12,6 +12,7 @@ of any length are cut; extra columns are not read; an empty table gives an empty
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 
 from ripplegraph.llm.words import U, slices, words
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: The setting that names the vocabulary's file on the driver, and what holds without it.
+SETTING, VOCABULARY = "spark.ripplegraph.vocabulary", "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_SCORE = -20.0
 MARK = "▁".encode()
 #: Words whose counts a task keeps; cells of one table of prefixes.
@@ -62,6 +64,8 @@ def load(path: str = VOCABULARY) -> dict[bytes, float]:
     """The vocabulary's pieces with their scores; its control, unknown and byte pieces are left out. Read on the driver, some MB."""
     import sentencepiece
 
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"there is no vocabulary at {path}: give its path or set {SETTING}")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = [model.id_to_piece(i).encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
     return {p: -float(np.log(r + 10)) for r, p in enumerate(plain)}
@@ -131,8 +135,9 @@ class Known:
         return out
 
 
-def token_counts(docs: DataFrame, path: str = VOCABULARY, scored: dict[bytes, float] | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, path: str | None = None, scored: dict[bytes, float] | None = None) -> DataFrame:
     """doc_id, n_words, n_tokens of every row."""
+    path = path or docs.sparkSession.conf.get(SETTING, VOCABULARY)
     spec = docs.sparkSession.sparkContext.broadcast(pieces_of(load(path) if scored is None else scored))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from ripplegraph.llm import html_text, language, language_model, token_counts
 from tests.llm.conftest import prose
@@ -214,6 +215,8 @@ def test_token_counts_equal_brute_force(spark, odd, none):
     got = token_counts.token_counts(odd, scored=scored).collect()
     assert len(got) == odd.count() and all(r["n_tokens"] == 0 for r in got if r["doc_id"] in (1, 2, 3))
     assert token_counts.token_counts(none, scored=scored).collect() == []
+    with pytest.raises(FileNotFoundError):
+        token_counts.token_counts(df, "/no/such/vocabulary")
 
 
 def test_languages_held_out(spark, odd, none):
