@@ -58,7 +58,7 @@ def test_better_evidence_and_truncation(spark):
     assert set(got) == {"x", "y"} and not truncated
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 11), st.integers(0, 11), st.sampled_from(["CALLS", "REFERENCES", "OVERRIDES", "CONTAINS"]), st.integers(1, 5), st.integers(1, 9)), max_size=40), st.integers(1, 12))
 def test_random_graphs_equal_brute_force(spark, found, cap):
     rows = list({(f, t, k): (f"s{f:02}", f"s{t:02}", k, s, line) for f, t, k, s, line in found}.values())
@@ -105,10 +105,10 @@ def test_long_chains_of_parents(spark):
 
 
 def test_a_large_ring_is_one_cycle(spark):
-    ring = spark.range(150).selectExpr("format_string('n%03d', id) AS a", "format_string('n%03d', (id + 1) % 150) AS b")
+    ring = spark.range(131).selectExpr("format_string('n%03d', id) AS a", "format_string('n%03d', (id + 1) % 131) AS b")
     got = graph.cycles(ring)
-    assert got.count() == 150 and {r["cycle"] for r in got.collect()} == {"n000"}
-    assert graph.cycle_edges(ring.union(spark.createDataFrame([("n000", "out")], "a string, b string")), got).count() == 150
+    assert got.count() == 131 and {r["cycle"] for r in got.collect()} == {"n000"}
+    assert graph.cycle_edges(ring.union(spark.createDataFrame([("n000", "out")], "a string, b string")), got).count() == 131
 
 
 def test_symbol_bundle_slice_and_suggestions(spark):
