@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from ripplegraph.llm import sharding
 from ripplegraph.llm.common import new_folder
