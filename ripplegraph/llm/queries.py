@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10 and the pipeline, over whole tables."""
+"""The registered queries op1 to op13 and the pipeline, over whole tables."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import decontamination, html_text, language, language_model, media, mixing, near_duplicates, pii, sharding, token_counts
-from ripplegraph.llm.common import documents
+from ripplegraph.llm import conversations, decontamination, hard_negatives, html_text, language, language_model, media, mixing, near_duplicates, packing, pii, sharding, token_counts
+from ripplegraph.llm.common import documents, written
 from ripplegraph.llm.oracles import ORACLES
 
 
@@ -67,6 +67,26 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = conversations.damaged(convs)
+    audits = written(conversations.audited(rows), "conv-audits")
+    got = audits.join(conversations.digests(rows, audits).withColumnRenamed("conv_id", "of"), F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+    every = convs.select(F.col("conv_id").alias("every")).distinct()
+    whole = every.join(got, F.col("every").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select(F.col("every").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(hard_negatives.relabelled(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = packing.packed(documents(spark, sf_dir))
+    return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_media, op3_decontamination, op4_language_model, op5_language_id, language_id_pages, op6_token_counts, op7_mixing, op8_html_text, op9_sharding, op10_near_duplicates, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_media, op3_decontamination, op4_language_model, op5_language_id, language_id_pages, op6_token_counts, op7_mixing, op8_html_text, op9_sharding, op10_near_duplicates, op11_conversation_repair, op12_hard_negatives, op13_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

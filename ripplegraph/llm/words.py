@@ -66,7 +66,8 @@ def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(text.buffers()[2], dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def words(text: pa.Array, lower: bool = True) -> Words:
+def words(text: pa.Array, lower: bool = True, stops: bytes = b"") -> Words:
+    """stops: bytes that are words of their own where they end a word after an ASCII letter or digit."""
     data, at = raw(text)
     data = _LOWER[data] if lower else data
     n = len(data)
@@ -81,6 +82,12 @@ def words(text: pa.Array, lower: bool = True) -> Words:
     starts[edge] = inside[edge]
     ends[edge - 1] = inside[edge - 1]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    if stops:
+        long = np.flatnonzero(end - start > 1)
+        before = data[end[long] - 2]
+        plain = (before - 48 < 10) | ((before | 32) - 97 < 26)
+        apart = end[long[plain & np.isin(data[end[long] - 1], np.frombuffer(stops, dtype=np.uint8))]] - 1
+        start, end = np.sort(np.concatenate([start, apart])), np.sort(np.concatenate([end, apart]))
     power, inverse = _up_to(n)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * power[:n], out=total[1:])
