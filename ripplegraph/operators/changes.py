@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplegraph.operators import lines
+from ripplegraph.operators.graph import components
 from ripplegraph.session import placed, written
 
-#: Candidate pairs that the driver pairs off by itself.
-FEW_PAIRS = 20_000
+#: Candidate pairs that the driver pairs off by itself; rounds after which what is left is paired off component by component.
+FEW_PAIRS, ROUNDS = 20_000, 8
 
 
 def diff_paths(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -27,17 +29,17 @@ def exact_renames(deleted: DataFrame, added: DataFrame) -> DataFrame:
 
 def rename_candidates(deleted: DataFrame, added: DataFrame, least: int = 50) -> DataFrame:
     """source, target, similarity of unpaired files (path, text) with one extension that may be alike: an upper bound of line similarity,
-    200 * common lines / all lines, with lines as multisets.
+    200 * common lines / all lines, with lines (and their ends) as multisets.
 
     Files of a similarity of `least` have a share of their lines in common, so that each of them has one of the rarest of both among
     its rarest lines: only those bring files together, and lines that all files have (braces, empty ones) only count."""
 
-    def lines(df: DataFrame) -> DataFrame:
+    def by_line(df: DataFrame) -> DataFrame:
         ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
-        rows = df.select("path", ext.alias("ext"), F.explode(F.split("text", "\n")).alias("line"))
+        rows = df.select("path", ext.alias("ext"), F.explode(F.filter(F.split("text", "(?<=\n)"), lambda x: x != "")).alias("line"))
         return rows.groupBy("path", "ext", "line").agg(F.count(F.lit(1)).alias("n"))
 
-    d, a = written(lines(deleted), "lines"), written(lines(added), "lines")
+    d, a = written(by_line(deleted), "lines"), written(by_line(added), "lines")
     often = d.select("ext", "line").union(a.select("ext", "line")).groupBy("ext", "line").agg(F.count(F.lit(1)).alias("often"))
     size = lambda df, name: df.groupBy("path").agg(F.sum("n").alias(name))
 
@@ -54,35 +56,101 @@ def rename_candidates(deleted: DataFrame, added: DataFrame, least: int = 50) ->
     return out.withColumn("similarity", F.expr("200 * common div (all_d + all_a)")).filter(F.col("similarity") >= least).select("source", "target", "similarity")
 
 
+def alike(deleted: DataFrame, added: DataFrame, least: int = 50) -> DataFrame:
+    """source, target, similarity of the files (path, text) that are alike, the order of lines counted: the candidates' texts are aligned. (Empty files are equal ones.)"""
+    some = rename_candidates(deleted, added, least).select("source", "target")
+    texts = some.join(deleted.select(F.col("path").alias("source"), F.col("text").alias("before")), "source").join(added.select(F.col("path").alias("target"), F.col("text").alias("after")), "target")
+    exact = lines.line_similarity(texts.select(F.struct("source", "target").alias("pair"), "before", "after"), "pair", "before", "after").filter(F.col("similarity") >= least)
+    return exact.select("pair.source", "pair.target", F.col("similarity").cast("bigint").alias("similarity"))
+
+
 def line_similarity(rows: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """key, similarity of each row (of its own key): 200 * common lines / all lines of two text columns, lines as multisets; two empty texts are alike (100)."""
-    lines = lambda c, n: rows.select(key, F.explode(F.split(F.coalesce(c, F.lit("")), "\n")).alias("line")).groupBy(key, "line").agg(F.count(F.lit(1)).alias(n))
-    both = lines(left, "x").join(lines(right, "y"), [key, "line"], "full_outer")
+    counts = lambda c, n: rows.select(key, F.explode(F.split(F.coalesce(c, F.lit("")), "\n")).alias("line")).groupBy(key, "line").agg(F.count(F.lit(1)).alias(n))
+    both = counts(left, "x").join(counts(right, "y"), [key, "line"], "full_outer")
     x, y = (F.coalesce(c, F.lit(0)) for c in ("x", "y"))
     return both.groupBy(key).agg(F.sum(F.least(x, y)).alias("c"), F.sum(x + y).alias("n")).select(key, F.expr("200 * c div n").alias("similarity"))
 
 
+def _even_blocks(left: DataFrame) -> DataFrame:
+    """source, target, similarity: pairs of blocks in which every source has the same candidates of its best similarity, and each of these the same sources.
+
+    Nothing outside of such a block bears on it at that similarity or above, and the greedy order pairs it off by place."""
+    best = lambda side, name: left.groupBy(side).agg(F.max("similarity").alias(name))
+    tied = left.join(best("source", "of_source"), "source").join(best("target", "of_target"), "target")
+
+    def kinds(side: str, other: str) -> DataFrame:
+        # Sums of hashes tell sets apart without bringing them together.
+        mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), other).cast("decimal(38,0)"))
+        top = tied.filter(F.col("similarity") == F.col(f"of_{side}")).groupBy(side).agg(F.count(F.lit(1)).alias("n"), mark(1).alias("h"), mark(2).alias("h2"), F.min(F.col(f"of_{other}") == F.col("similarity")).alias("even"), F.max("similarity").alias("level"))
+        return top.select(side, F.struct("level", "n", "h", "h2").alias(f"{side}_kind"), F.col("n").alias(f"{side}_n"), F.col("even").alias(f"{side}_even"))
+
+    s, t = written(kinds("source", "target"), "kinds"), written(kinds("target", "source"), "kinds")
+    size = lambda df, side: df.groupBy(f"{side}_kind").agg(F.count(F.lit(1)).alias(f"{side}_size"))
+    top = tied.filter((F.col("similarity") == F.col("of_source")) & (F.col("similarity") == F.col("of_target")))
+    first = top.groupBy("source").agg(F.min("target").alias("target"))
+    blocks = first.join(s, "source").join(t, "target").filter("source_even and target_even").join(size(s, "source"), "source_kind").join(size(t, "target"), "target_kind")
+    # All of a kind have the whole block on the other side.
+    blocks = blocks.filter("source_n = target_size and target_n = source_size").select("source_kind", "target_kind").distinct()
+    numbered = lambda df, side: placed(df.join(blocks.select(f"{side}_kind"), f"{side}_kind", "left_semi").select(side, F.col(f"{side}_kind").alias("kind")), [F.col(side)], "place", ["kind"])
+    own, other = numbered(s, "source"), numbered(t, "target")
+    both = own.join(blocks.withColumnRenamed("source_kind", "kind"), "kind").select("source", "place", F.col("target_kind").alias("kind")).join(other, ["kind", "place"])
+    return both.select("source", "target", F.col("kind.level").alias("similarity"))
+
+
+def _by_component(left: DataFrame) -> DataFrame:
+    """source, target, similarity: the greedy order within each connected component; a task streams its candidates in that order and keeps the names that are taken."""
+    ends = left.select(F.concat(F.lit("s:"), "source").alias("a"), F.concat(F.lit("t:"), "target").alias("b"))
+    member = components(ends).select(F.expr("substring(id, 3)").alias("source"), "component", F.expr("left(id, 2) = 's:'").alias("own")).filter("own").drop("own")
+    rows = left.join(member, "source").select("component", "similarity", "source", "target")
+    rows = rows.repartition("component").sortWithinPartitions("component", F.desc("similarity"), "source", "target")
+
+    def run(batches):
+        component, sources, targets = None, set(), set()
+        for batch in batches:
+            keep = []
+            for i, (c, s, t) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("component", "source", "target")), strict=True)):
+                if c != component:
+                    component, sources, targets = c, set(), set()
+                if s not in sources and t not in targets:
+                    sources.add(s)
+                    targets.add(t)
+                    keep.append(i)
+            yield batch.select(["source", "target", "similarity"]).take(keep)
+
+    return rows.mapInArrow(run, "source string, target string, similarity bigint")
+
+
 def greedy_pairs(candidates: DataFrame) -> DataFrame:
     """source, target, similarity: candidates taken by similarity, source and target, each file once.
 
-    A pair that is the first choice of both its files is always taken by the greedy order; all such pairs are taken at once, again and
-    again. When no more than FEW_PAIRS candidates are left, the driver goes through them in their order."""
+    A pair that is the first choice of both its files is always taken by the greedy order, and files that are all alike are paired off by place: all
+    such pairs are taken at once, again and again. When no more than FEW_PAIRS candidates are left, the driver goes through them in their order; chains of ties
+    that ROUNDS rounds leave are gone through in the same way, a component in a task."""
     spark, taken_all = candidates.sparkSession, None
-    left = written(candidates.select("source", "target", "similarity"), "pairs")
-    while left.limit(FEW_PAIRS + 1).count() > FEW_PAIRS:
+    left = written(candidates.select("source", "target", F.col("similarity").cast("bigint").alias("similarity")), "pairs")
+    less = lambda df, taken: df.join(taken.select("source"), "source", "left_anti").join(taken.select("target"), "target", "left_anti").select("source", "target", "similarity")
+    for _ in range(ROUNDS):
+        if left.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS:
+            break
+        even = written(_even_blocks(left), "taken")
+        rest = less(left, even)
         choice = F.struct((-F.col("similarity")).alias("s"), "source", "target")
-        by_source = left.groupBy("source").agg(F.min(choice).alias("x")).select("x.*")
-        by_target = left.groupBy("target").agg(F.min(choice).alias("x")).select("x.*")
-        taken = written(by_source.join(by_target, ["s", "source", "target"], "left_semi").select("source", "target", (-F.col("s")).alias("similarity")), "taken")
+        by_source = rest.groupBy("source").agg(F.min(choice).alias("x")).select("x.*")
+        by_target = rest.groupBy("target").agg(F.min(choice).alias("x")).select("x.*")
+        taken = even.unionByName(written(by_source.join(by_target, ["s", "source", "target"], "left_semi").select("source", "target", (-F.col("s")).alias("similarity")), "taken"))
         taken_all = taken if taken_all is None else taken_all.unionByName(taken)
-        left = written(left.join(taken.select("source"), "source", "left_anti").join(taken.select("target"), "target", "left_anti").select("source", "target", "similarity"), "pairs")
-    sources, targets, rest = set(), set(), []
-    for r in left.orderBy(F.desc("similarity"), "source", "target").collect():
-        if r["source"] not in sources and r["target"] not in targets:
-            sources.add(r["source"])
-            targets.add(r["target"])
-            rest.append(tuple(r))
-    few = spark.createDataFrame(rest, left.schema)
+        left = written(less(left, taken), "pairs")
+    if left.limit(FEW_PAIRS + 1).count() > FEW_PAIRS:
+        few = _by_component(left)
+    else:
+        sources, targets, rest = set(), set(), []
+        for r in left.orderBy(F.desc("similarity"), "source", "target").collect():
+            if r["source"] not in sources and r["target"] not in targets:
+                sources.add(r["source"])
+                targets.add(r["target"])
+                rest.append(tuple(r))
+        few = spark.createDataFrame(rest, left.schema)
     return few if taken_all is None else taken_all.unionByName(few)
 
 
@@ -91,7 +159,7 @@ def renames(deleted: DataFrame, added: DataFrame, least: int = 50) -> DataFrame:
     exact = written(exact_renames(deleted, added).select("source", "target", F.lit(100).cast("bigint").alias("similarity")), "renamed")
     d = deleted.join(exact.select(F.col("source").alias("path")), "path", "left_anti").filter("text is not null")
     a = added.join(exact.select(F.col("target").alias("path")), "path", "left_anti").filter("text is not null")
-    return exact.unionByName(greedy_pairs(rename_candidates(d.select("path", "text"), a.select("path", "text"), least)))
+    return exact.unionByName(greedy_pairs(alike(d.select("path", "text"), a.select("path", "text"), least)))
 
 
 def classify_symbols(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -129,12 +197,40 @@ def innermost_symbols(lines: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def touched_symbols(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """file, start, id: the innermost symbols of every hunk (file, start, len); a pure insertion (len 0) belongs to the symbols around both of its neighbours."""
-    span = F.sequence("start", F.col("start") + F.greatest("len", F.lit(2)) - 1)
-    lines = hunks.select("file", "start", "len", F.explode(F.when(F.col("len") > 0, F.sequence("start", F.col("start") + F.col("len") - 1)).otherwise(span)).alias("line"))
-    found = innermost_symbols(lines.select("file", "line").distinct(), symbols)
-    each = lines.join(found, ["file", "line"]).groupBy("file", "start", "id").agg(F.max("len").alias("len"), F.count(F.lit(1)).alias("n"))
-    return each.filter("len > 0 OR n > 1").select("file", "start", "id")
+    """file, start, id: the innermost symbols of the lines of every hunk (file, start, len); of a pure insertion (len 0) the innermost one around both of its
+    neighbours, the file's own symbol where there is none."""
+    some = hunks.filter("len > 0").select("file", "start", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("line"))
+    found = innermost_symbols(some.select("file", "line").distinct(), symbols)
+    each = some.join(found, ["file", "line"]).select("file", "start", "id").distinct()
+    s = symbols.select(F.col("file").alias("sf"), F.col("id").alias("sid"), "start_line", "end_line")
+    gaps = hunks.filter("len = 0").select("file", "start").distinct()
+    around = gaps.join(s, (F.col("file") == F.col("sf")) & (F.col("start_line") <= F.col("start")) & (F.col("end_line") > F.col("start")), "left")
+    best = F.min(F.when(F.col("sid").isNotNull(), F.struct((F.col("end_line") - F.col("start_line")).alias("n"), "sid")))
+    between = around.groupBy("file", "start").agg(best.alias("x")).select("file", "start", F.coalesce("x.sid", F.concat(F.lit("file:"), "file")).alias("id"))
+    return each.unionByName(between)
+
+
+def file_hunks(changed: DataFrame, base: DataFrame, head: DataFrame, base_symbols: DataFrame, head_symbols: DataFrame) -> DataFrame:
+    """path, old_path, old_start, old_len, new_start, new_len, base_symbols, head_symbols: the hunks of every changed file (path, old_path, change) and the ids
+    they touch on either side. An added or deleted file is one hunk; a file that could not be read has none."""
+    before = base.select(F.col("path").alias("old_path"), F.col("text").alias("before"))
+    after = head.select("path", F.col("text").alias("after"))
+    sides = changed.select("path", F.when(F.col("change") == "RENAMED", F.col("old_path")).when(F.col("change") != "ADDED", F.col("path")).alias("old_path"), "change")
+    texts = sides.join(before, "old_path", "left").join(after, "path", "left")
+    texts = texts.filter("(change = 'ADDED' or before is not null) and (change = 'DELETED' or after is not null)")
+    found = lines.line_hunks(texts.select(F.struct("path", "old_path", "change").alias("of"), F.when(F.col("change") != "ADDED", F.col("before")).alias("before"), F.when(F.col("change") != "DELETED", F.col("after")).alias("after")), "of", "before", "after")
+    found = written(found.select("of.*", "old_start", "old_len", "new_start", "new_len"), "hunks")
+
+    def ids(file: str, start: str, length: str, symbols: DataFrame, gone: str, name: str) -> DataFrame:
+        own = found.filter(F.col("change") != gone).select(F.col(file).alias("file"), F.col(start).alias("start"), F.col(length).alias("len"))
+        plain = symbols.filter("kind <> 'file'").select("id", "file", "start_line", "end_line")
+        return touched_symbols(own, plain).groupBy(F.col("file").alias(file), F.col("start").alias(start)).agg(F.array_sort(F.collect_set("id")).alias(name))
+
+    out = found.join(ids("old_path", "old_start", "old_len", base_symbols, "ADDED", "base_symbols"), ["old_path", "old_start"], "left")
+    out = out.join(ids("path", "new_start", "new_len", head_symbols, "DELETED", "head_symbols"), ["path", "new_start"], "left")
+    none = F.array().cast("array<string>")
+    names = [F.when(F.col("change") != gone, F.coalesce(c, none)).otherwise(none).alias(c) for c, gone in (("base_symbols", "ADDED"), ("head_symbols", "DELETED"))]
+    return out.select("path", "old_path", "old_start", "old_len", "new_start", "new_len", *names)
 
 
 def classified(base: DataFrame, head: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,20 +182,142 @@ def parent_closure(symbols: DataFrame) -> DataFrame:
         known, reach = known.unionByName(more), 2 * reach
 
 
-def cycles(pairs: DataFrame) -> DataFrame:
-    """member, cycle (its smallest member): strongly connected components of more than one node of a graph (a, b) of layers or modules.
+def components(pairs: DataFrame) -> DataFrame:
+    """id, component (its smallest id) of the nodes of an undirected graph (a, b).
 
-    The closure has a row for each pair of nodes that reach one another: it doubles until nothing is new."""
-    reach = written(pairs.select("a", "b").filter("a <> b").distinct(), "reach")
-    n = reach.count()
+    Labels go down along the edges and then jump to their own labels until none changes: a chain of n takes about log n rounds, and the tables have one row a node and one an edge."""
+    both = written(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "ends")
+    label = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("component", F.col("id")), "labels")
     while True:
-        longer = reach.alias("x").join(reach.alias("y"), F.expr("x.b = y.a")).select("x.a", "y.b")
-        reach = written(reach.union(longer).distinct(), "reach")
-        before, n = n, reach.count()
-        if n == before:
+        # The least label around a node is offered to the node and to its present label.
+        near = both.join(label.select(F.col("id").alias("b"), F.col("component").alias("new")), "b").groupBy(F.col("a").alias("id")).agg(F.min("new").alias("new"))
+        best = label.join(near, "id", "left").select("id", "component", F.least("component", "new").alias("new"))
+        root = best.groupBy(F.col("component").alias("id")).agg(F.min("new").alias("to"))
+        lower = best.join(root, "id", "left").select("id", "component", F.least("new", "to").alias("new"))
+        lower = written(lower, "labels")
+        up = lower.select(F.col("id").alias("new"), F.col("new").alias("far"))
+        after = written(lower.join(up, "new", "left").select("id", F.least("new", "far").alias("component"), (F.least("new", "far") != F.col("component")).alias("moved")), "labels")
+        label = after.select("id", "component")
+        if after.filter("moved").isEmpty():
+            return label
+
+
+#: Edges of a component whose cycles one task finds.
+TASK_EDGES = 200_000
+
+
+def _own_cycles(edges: DataFrame) -> DataFrame:
+    """id, cycle: the cycles (named by a member) of components (a, b, component) of at most TASK_EDGES edges, one after the other in each task."""
+    rows = edges.select("component", "a", "b").repartition("component").sortWithinPartitions("component", "a", "b")
+
+    def of(pairs: list[tuple]) -> list[tuple]:
+        # Depth first: a node that reaches nothing older than itself closes its cycle.
+        out: dict = {}
+        for a, b in pairs:
+            out.setdefault(a, []).append(b)
+        found, number, low, stack, held = [], {}, {}, [], set()
+        for start in out:
+            if start in number:
+                continue
+            number[start] = low[start] = len(number)
+            stack.append(start)
+            held.add(start)
+            way = [(start, iter(out[start]))]
+            while way:
+                at, rest = way[-1]
+                nxt = next(rest, None)
+                if nxt is None:
+                    way.pop()
+                    if way:
+                        low[way[-1][0]] = min(low[way[-1][0]], low[at])
+                    if low[at] == number[at]:
+                        own = []
+                        while not own or own[-1] != at:
+                            own.append(stack.pop())
+                        held.difference_update(own)
+                        found += [(member, at) for member in own] if len(own) > 1 else []
+                elif nxt not in number:
+                    number[nxt] = low[nxt] = len(number)
+                    stack.append(nxt)
+                    held.add(nxt)
+                    way.append((nxt, iter(out.get(nxt, ()))))
+                elif nxt in held:
+                    low[at] = min(low[at], number[nxt])
+        return found
+
+    def run(batches):
+        now, pairs = None, []
+
+        def told(found: list[tuple]):
+            return pa.RecordBatch.from_pydict({"id": pa.array([x for x, _ in found], kind), "cycle": pa.array([x for _, x in found], kind)})
+
+        for batch in batches:
+            kind = batch.schema.field("a").type
+            for c, a, b in zip(*(batch.column(k).to_pylist() for k in ("component", "a", "b")), strict=True):
+                if c != now and pairs:
+                    yield told(of(pairs))
+                    pairs = []
+                now = c
+                pairs.append((a, b))
+        if pairs:
+            yield told(of(pairs))
+
+    kind = dict(edges.dtypes)["a"]
+    return rows.mapInArrow(run, f"id {kind}, cycle {kind}")
+
+
+def _spread(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """id: what the start (id) reaches along edges (a, b), level by level."""
+    seen = frontier = written(start.select("id"), "spread")
+    while True:
+        new = edges.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
+        frontier = written(new.join(seen, "id", "left_anti"), "spread")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+
+
+def _on_ways(edges: DataFrame) -> DataFrame:
+    """edges without those that lead from a node nothing leads to, or to one that leads nowhere; again as long as a tenth of them goes."""
+    n = edges.count()
+    while True:
+        edges = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+        edges, before = written(edges.select("a", "b", "component"), "ways"), n
+        n = edges.count()
+        if n > 0.9 * before:
+            return edges
+
+
+def cycles(pairs: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """member, cycle (its smallest member): strongly connected components of more than one node of a graph (a, b).
+
+    Components of few edges are gone through in tasks, many at once. In each larger one, what the node with the most ways in and out reaches and is reached by is
+    one cycle; any other lies wholly inside or outside of either set, so only edges that stay on one side of both go on, and fall apart into components again.
+    No table has more rows than the graph has edges."""
+    left, found = written(pairs.select("a", "b").filter("a <> b").distinct(), "cycles"), None
+    while not left.isEmpty():
+        edges = written(left.join(components(left).withColumnRenamed("id", "a"), "a"), "cycles")
+        sizes = written(edges.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        small = written(_own_cycles(edges.join(sizes.filter(F.col("n") <= task_edges), "component", "left_semi")), "found")
+        found = small if found is None else found.unionByName(small)
+        large = edges.join(sizes.filter(F.col("n") > task_edges), "component", "left_semi")
+        if large.isEmpty():
             break
-    mutual = reach.alias("x").join(reach.alias("y"), F.expr("x.a = y.b and x.b = y.a")).select(F.col("x.a").alias("member"), F.col("x.b").alias("other"))
-    return mutual.groupBy("member").agg(F.min("other").alias("cycle"), F.count_distinct("other").alias("n")).filter("n > 1").select("member", F.least("member", "cycle").alias("cycle"))
+        large = _on_ways(written(large.select("a", "b", "component"), "ways"))
+        ways = large.groupBy("component", F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("x")).join(large.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("y")), "id")
+        pivot = written(ways.groupBy("component").agg(F.min(F.struct((-F.col("x") * F.col("y")).alias("w"), "id"))["id"].alias("id")), "pivots")
+        there, back = _spread(large, pivot), _spread(large.select(F.col("b").alias("a"), F.col("a").alias("b")), pivot)
+        side = written(there.withColumn("there", F.lit(1)).join(back.withColumn("back", F.lit(2)), "id", "full_outer").select("id", (F.coalesce("there", F.lit(0)) + F.coalesce("back", F.lit(0))).alias("side")), "sides")
+        where = large.select(F.col("a").alias("id"), "component").union(large.select("b", "component")).distinct()
+        one = side.filter("side = 3").join(where, "id").join(pivot.select("component", F.col("id").alias("cycle")), "component").select("id", "cycle")
+        found = found.unionByName(written(one, "found"))
+        of = lambda end: side.select(F.col("id").alias(end), F.col("side").alias(f"{end}_side"))
+        rest = large.join(of("a"), "a", "left").join(of("b"), "b", "left").fillna(0, ["a_side", "b_side"])
+        left = written(rest.filter("a_side = b_side and a_side <> 3").select("a", "b"), "cycles")
+    if found is None:
+        found = left.select(F.col("a").alias("id"), F.col("a").alias("cycle"))
+    least = written(found, "found").groupBy("cycle").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return found.join(least, "cycle").select(F.col("id").alias("member"), F.col("least").alias("cycle"))
 
 
 def cycle_edges(edges: DataFrame, members: DataFrame) -> DataFrame:

@@ -48,6 +48,7 @@ class Analysis(NamedTuple):
     gates: DataFrame
     verdict: DataFrame
     truncated: bool
+    hunks: DataFrame
 
 
 def snapshot(spark: SparkSession, root: str) -> Snapshot:
@@ -112,6 +113,8 @@ def analyze(base: Snapshot, head: Snapshot, policy: Policy, recorded: Evidence |
         changed = changed.withColumn("coverage", F.lit(None).cast("string"))
     changed = written(changed, "classified")
 
+    hunks = changes.file_hunks(files, base.files, head.files, base.symbols, head.symbols)
+
     # Impact on both graphs; coverage counts as an edge of the head
     head_edges = head.edges
     if recorded.covered is not None:
@@ -217,13 +220,14 @@ def analyze(base: Snapshot, head: Snapshot, policy: Policy, recorded: Evidence |
     found_ = found_.union(gate(spark.range(int(policy_changed)), "config_changed")).union(gate(spark.range(len(policy_errors or [])), "config_invalid"))
     levels = spark.createDataFrame(sorted(policy.levels.items()), "gate string, level string")
     gates = written(assessment.verdicts(found_, levels), "gates")
-    return Analysis(files, changed, impacted, tests, reasons, chosen, doubt, violations, cycles, surface, owners, signals, assessment.risk(signals), gates, assessment.worst(gates), truncated)
+    return Analysis(files, changed, impacted, tests, reasons, chosen, doubt, violations, cycles, surface, owners, signals, assessment.risk(signals), gates, assessment.worst(gates), truncated, hunks)
 
 
 def report(a: Analysis) -> dict[str, DataFrame]:
     """The analysis as a report's lists: each in its order, cut to its cap, with the number of all in `of`."""
     return {
         "files": assessment.listed(a.files, ["path"], LIST_CAP),
+        "hunks": assessment.listed(a.hunks, ["path", "new_start", "old_start"], LIST_CAP),
         "changed": assessment.listed(a.changed, ["file", "id"], LIST_CAP),
         "impacted": assessment.listed(a.impacted, ["depth", "id"], LIST_CAP),
         "tests": assessment.listed(a.tests, ["place"], LIST_CAP),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.functions import paths
 from ripplegraph.operators import architecture as arch
-from ripplegraph.operators import assessment, changes, evidence, graph, selection
+from ripplegraph.operators import assessment, changes, evidence, graph, lines, selection
 from ripplegraph.plans.queries import DEPS, DETAIL, GRAPH, MAX_IMPACTED, Tables, _deps, _impact, graph_of, impact_sql, query
 from ripplegraph.schema import COUPLING_CAP, LIST_CAP, SLICE_NODES
 from ripplegraph.session import written
@@ -36,11 +36,49 @@ def rename_pairs(t: Tables) -> DataFrame:
     return changes.renames(f.filter("doc_id % 2 = 0").drop("doc_id"), f.filter("doc_id % 2 = 1").drop("doc_id"))
 
 
+#: A document and an edit of it: lines added, changed and taken away.
+EDITS = "SELECT doc_id, text AS before, replace(replace(replace(replace(text, concat('e.', chr(10)), concat('e.', chr(10), 'new', chr(10))), concat('n.', chr(10)), concat('n!', chr(10))), concat('t.', chr(10)), 't. '), concat('s.', chr(10)), concat(chr(10), 's.', chr(10), chr(10))) AS after FROM {documents}"
+
+
+def _split(c: str) -> str:
+    return f"list_filter(list_transform(string_split(coalesce({c}, ''), chr(10)), lambda p, i: CASE WHEN i < len(string_split(coalesce({c}, ''), chr(10))) THEN p || chr(10) ELSE p END), lambda p: p <> '')"
+
+
+#: x: both sides' lines; h and k: what they begin and end with; r: the rest, backwards; c: the table of common lengths by (i, j).
+ALIGNED = f"""WITH RECURSIVE l AS (SELECT doc_id, {_split('before')} AS a, {_split('after')} AS b FROM ({EDITS}) e),
+heads AS (SELECT *, least(len(a), len(b)) AS most, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS h FROM l),
+tails AS (SELECT *, coalesce(list_min(list_filter(range(1, most - h + 1), lambda i: a[len(a) + 1 - i] <> b[len(b) + 1 - i])) - 1, most - h) AS k FROM heads),
+r AS MATERIALIZED (SELECT doc_id, len(a) AS na, len(b) AS nb, h, k, list_reverse(a[h + 1 : len(a) - k]) AS a, list_reverse(b[h + 1 : len(b) - k]) AS b FROM tails),
+c AS (SELECT doc_id, 0 AS i, unnest(range(0, len(b) + 1)) AS j, 0 AS n FROM r
+      UNION ALL SELECT doc_id, i, j, max(n) OVER (PARTITION BY doc_id ORDER BY j) FROM (SELECT c.doc_id, c.i + 1 AS i, c.j, CASE WHEN c.j > 0 AND r.a[c.i + 1] = r.b[c.j] THEN lag(n) OVER (PARTITION BY c.doc_id ORDER BY c.j) + 1 ELSE n END AS n FROM c JOIN r ON r.doc_id = c.doc_id WHERE c.i < len(r.a)) y)"""
+
+
+@query(f"{ALIGNED} SELECT r.doc_id, cast(CASE WHEN na + nb = 0 THEN 100 ELSE 200 * (h + k + n) // (na + nb) END as int) AS similarity FROM r JOIN c ON c.doc_id = r.doc_id AND c.i = len(a) AND c.j = len(b)")
+def line_similarity(t: Tables) -> DataFrame:
+    """How alike each document and an edit of it are, the order of lines counted."""
+    return lines.line_similarity(t.spark.sql(EDITS, documents=t.documents), "doc_id", "before", "after")
+
+
+@query(f"""{ALIGNED}, w AS (
+    SELECT doc_id, len(a) AS i, len(b) AS j, 0 AS step, '' AS op, 0 AS fi, 0 AS fj FROM r
+    UNION ALL SELECT doc_id, CASE op WHEN '+' THEN i ELSE i - 1 END, CASE op WHEN '-' THEN j ELSE j - 1 END, step + 1, op, i, j FROM (
+        SELECT w.doc_id, w.i, w.j, step, CASE WHEN w.i > 0 AND w.j > 0 AND r.a[w.i] = r.b[w.j] THEN '=' WHEN w.j > 0 AND (w.i = 0 OR x.n = y.n) THEN '+' ELSE '-' END AS op
+        FROM w JOIN r ON r.doc_id = w.doc_id LEFT JOIN c x ON x.doc_id = w.doc_id AND x.i = w.i AND x.j = w.j LEFT JOIN c y ON y.doc_id = w.doc_id AND y.i = w.i AND y.j = w.j - 1 WHERE w.i > 0 OR w.j > 0) s),
+g AS (SELECT *, sum(CASE WHEN op = '=' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY step) AS part FROM w WHERE step > 0),
+p AS (SELECT doc_id, part, max(fi) AS i, max(fj) AS j, count(CASE WHEN op = '-' THEN 1 END) AS gone, count(CASE WHEN op = '+' THEN 1 END) AS come FROM g WHERE op <> '=' GROUP BY ALL)
+SELECT p.doc_id, cast(h + len(a) - i + CASE WHEN gone > 0 THEN 1 ELSE 0 END as int) AS old_start, cast(gone as int) AS old_len, cast(h + len(b) - j + CASE WHEN come > 0 THEN 1 ELSE 0 END as int) AS new_start, cast(come as int) AS new_len FROM p JOIN r ON r.doc_id = p.doc_id""")
+def line_hunks(t: Tables) -> DataFrame:
+    """The hunks between each document and an edit of it."""
+    return lines.line_hunks(t.spark.sql(EDITS, documents=t.documents), "doc_id", "before", "after")
+
+
 HUNKS = "SELECT DISTINCT concat('src/part/', cast(p_size as string), '.ts') AS file, cast(p_partkey as int) AS start, cast(p_partkey % 4 as int) AS len FROM {part}"
 INNERMOST = "(SELECT file, line, coalesce(id, concat('file:', file)) AS id FROM (SELECT l.file, l.line, s.id, row_number() OVER (PARTITION BY l.file, l.line ORDER BY s.end_line - s.start_line, s.id) AS rn FROM (SELECT DISTINCT file, line FROM l) l LEFT JOIN {sym} s ON s.file = l.file AND l.line BETWEEN s.start_line AND s.end_line) x WHERE rn = 1)"
 
 
-@query(f"WITH h AS ({HUNKS}), l AS (SELECT file, start, len, unnest(range(start, start + CASE WHEN len = 0 THEN 2 ELSE len END)) AS line FROM h), i AS {INNERMOST} SELECT file, start, id FROM (SELECT l.file, l.start, i.id, max(l.len) AS len, count(*) AS n FROM l JOIN i ON i.file = l.file AND i.line = l.line GROUP BY ALL) x WHERE len > 0 OR n > 1")
+@query(f"""WITH h AS ({HUNKS}), l AS (SELECT file, start, unnest(range(start, start + len)) AS line FROM h WHERE len > 0), i AS {INNERMOST}
+SELECT DISTINCT l.file, l.start, i.id FROM l JOIN i ON i.file = l.file AND i.line = l.line
+UNION ALL SELECT file, start, coalesce(id, concat('file:', file)) FROM (SELECT h.file, h.start, s.id, row_number() OVER (PARTITION BY h.file, h.start ORDER BY s.end_line - s.start_line, s.id) AS rn FROM h LEFT JOIN {{sym}} s ON s.file = h.file AND s.start_line <= h.start AND s.end_line >= h.start + 1 WHERE h.len = 0) x WHERE rn = 1""")
 def touched_symbols(t: Tables) -> DataFrame:
     return changes.touched_symbols(t.spark.sql(HUNKS, part=t.part), t.sym)
 

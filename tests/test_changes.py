@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ripplegraph.operators import assessment, changes, evidence, selection
+from ripplegraph.operators import assessment, changes, evidence, lines, selection
 from ripplegraph.session import placed
 
 
@@ -22,12 +22,33 @@ def test_greedy_pairs_are_all_found(spark, monkeypatch):
     r = random.Random(1)
     wild = list({(f"s{r.randrange(60)}", f"t{r.randrange(60)}"): 0 for _ in range(500)})
     wild = [(a, b, r.randrange(50, 101)) for a, b in wild]
-    for rows, few in ((chain, 20_000), (wild, 20_000), (wild, 30)):
+    for rows, few, rounds in ((chain, 20_000, 8), (wild, 20_000, 8), (wild, 30, 8), (chain + wild, 10, 1)):
         monkeypatch.setattr(changes, "FEW_PAIRS", few)
+        monkeypatch.setattr(changes, "ROUNDS", rounds)
         got = changes.greedy_pairs(spark.createDataFrame(rows, "source string, target string, similarity bigint")).collect()
         assert sorted(map(tuple, got)) == greedy(rows)
 
 
+def test_files_that_are_all_alike_take_one_round(spark, monkeypatch):
+    monkeypatch.setattr(changes, "FEW_PAIRS", 50)
+    monkeypatch.setattr(changes, "ROUNDS", 2)
+    monkeypatch.setattr(changes, "_by_component", lambda left: (_ for _ in ()).throw(AssertionError("candidates are left")))
+    blocks = [(f"s{k}-{i:03}", f"t{k}-{j:03}", 60 + k) for k, (n, m) in enumerate(((60, 60), (20, 5), (3, 30))) for i in range(n) for j in range(m)]
+    # A block is not even where one of its files has a better candidate.
+    blocks += [("s3-a", "t3-a", 80), ("s3-a", "t3-b", 80), ("s3-b", "t3-a", 90), ("s3-b", "t3-b", 70)]
+    got = changes.greedy_pairs(spark.createDataFrame(blocks, "source string, target string, similarity bigint"))
+    assert sorted(map(tuple, got.collect())) == greedy(blocks)
+
+
+def test_even_blocks_are_those_of_the_greedy_order(spark):
+    r = random.Random(7)
+    for _ in range(3):
+        rows = {(f"s{r.randrange(12)}", f"t{r.randrange(12)}"): r.choice([60, 60, 70, 80]) for _ in range(40)}
+        rows = [(a, b, x) for (a, b), x in rows.items()]
+        got = {tuple(x) for x in changes._even_blocks(spark.createDataFrame(rows, "source string, target string, similarity bigint")).collect()}
+        assert got <= set(greedy(rows))
+
+
 def test_rename_candidates_equal_all_pairs(spark):
     r = random.Random(4)
     common = ["{", "}", "", "return;"]
@@ -40,11 +61,14 @@ def test_rename_candidates_equal_all_pairs(spark):
     want = set()
     for p, x in d:
         for q, y in a:
-            u, v = x.split("\n"), y.split("\n")
-            sim = 200 * sum(min(u.count(z), v.count(z)) for z in set(u)) // (len(u) + len(v))
+            u, v = lines.split_lines(x), lines.split_lines(y)
+            sim = 200 * sum(min(u.count(z), v.count(z)) for z in set(u)) // (len(u) + len(v)) if u or v else 0
             if p.rsplit(".", 1)[1] == q.rsplit(".", 1)[1] and sim >= 50:
                 want.add((p, q, sim))
     assert {tuple(x) for x in got.collect()} == want and len(want) > 20
+    exact = {(p, q, lines.similarity(x, y)) for p, x in d for q, y in a if p.rsplit(".", 1)[1] == q.rsplit(".", 1)[1]}
+    files = (spark.createDataFrame(x, "path string, text string") for x in (d, a))
+    assert {tuple(x) for x in changes.alike(*files).collect()} == {x for x in exact if x[2] >= 50} != want
 
 
 def test_renames_take_equal_files_first(spark):
@@ -59,9 +83,28 @@ def test_insertions_belong_to_the_symbols_around(spark):
     got = {}
     for r in changes.touched_symbols(hunks, syms).collect():
         got.setdefault(r["start"], set()).add(r["id"])
-    # Between line 5 and 6 nothing is around both; between 2 and 3 the inner symbol is.
-    assert got == {2: {"in"}, 4: {"in", "one", "two"}, 20: {"file:f"}}
-
+    # Between line 5 and 6 only the file is around both; between 2 and 3 the inner symbol is, between 4 and 5 the outer one.
+    assert got == {2: {"in"}, 4: {"in", "one", "two"}, 5: {"file:f"}, 20: {"file:f"}}
+    got = changes.touched_symbols(spark.createDataFrame([("f", 4, 0)], "file string, start int, len int"), syms).collect()
+    assert [r["id"] for r in got] == ["one"]
+
+
+def test_hunks_of_files_and_what_they_touch(spark):
+    body = "class A {\n  f() {\n    one\n  }\n}\n"
+    more = "class A {\n  f() {\n    two\n  }\n  g() {\n  }\n}\n"
+    base = spark.createDataFrame([("a", body), ("old", body), ("gone", "x\n"), ("bin", None)], "path string, text string")
+    head = spark.createDataFrame([("a", more), ("new", body + "\n"), ("come", "y\nz\n"), ("bin", "t\n")], "path string, text string")
+    changed = spark.createDataFrame([("a", None, "MODIFIED"), ("new", "old", "RENAMED"), ("gone", None, "DELETED"), ("come", None, "ADDED"), ("bin", None, "MODIFIED")], "path string, old_path string, change string")
+    syms = lambda rows: spark.createDataFrame(rows, "id string, kind string, file string, start_line int, end_line int")
+    before = syms([("A", "class", "a", 1, 5), ("A.f", "method", "a", 2, 4), ("O", "class", "old", 1, 5)])
+    after = syms([("A", "class", "a", 1, 7), ("A.f", "method", "a", 2, 4), ("A.g", "method", "a", 5, 6), ("N", "class", "new", 1, 5)])
+    got = sorted(tuple(r) for r in changes.file_hunks(changed, base, head, before, after).collect())
+    assert got == [
+        ("a", "a", 3, 1, 3, 3, ["A.f"], ["A.f", "A.g"]),
+        ("come", None, 0, 0, 1, 2, [], ["file:come"]),
+        ("gone", "gone", 1, 1, 0, 0, ["file:gone"], []),
+        ("new", "old", 5, 0, 6, 1, ["file:old"], ["file:new"]),
+    ]
 
 def test_classification_with_signatures_and_moves(spark):
     schema = "id string, kind string, owner string, name string, fp string"

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -104,6 +107,45 @@ def test_long_chains_of_parents(spark):
     assert got == {("m", "a"): 1, ("m", "b"): 1, ("m", "r"): 2, ("a", "r"): 1, ("b", "a"): 1, ("b", "r"): 2, ("x", "y"): 1, ("x", "z"): 2, ("y", "z"): 1, ("z", "y"): 1}
 
 
+def strong(pairs):
+    """Cycles by reaching to and fro."""
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+
+    def reach(x):
+        seen, todo = set(), [x]
+        while todo:
+            for y in out.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+
+    all_ = {x: reach(x) for p in pairs for x in p}
+    return {x: min(y for y in r | {x} if y == x or (y in r and x in all_[y])) for x, r in all_.items() if any(y != x and x in all_[y] for y in r)}
+
+
+@pytest.mark.parametrize("task_edges", [200_000, 6, 0])
+def test_cycles_of_random_graphs(spark, task_edges):
+    r = random.Random(task_edges)
+    pairs = list({(f"n{r.randrange(60):02}", f"n{r.randrange(60):02}") for _ in range(75)}) + [("x", "x"), ("p", "q"), ("q", "p"), ("q", "r")]
+    got = graph.cycles(spark.createDataFrame(pairs, "a string, b string"), task_edges).collect()
+    assert len(got) == len({x["member"] for x in got}) and {x["member"]: x["cycle"] for x in got} == strong(pairs)
+
+
+def test_components_of_chains_and_rings(spark):
+    pairs = [(i, i + 1) for i in range(400)] + [(1000 + i, 1000 + (i * 7 + 3) % 50) for i in range(50)] + [(2000, 2000)]
+    got = {x["id"]: x["component"] for x in graph.components(spark.createDataFrame(pairs, "a int, b int")).collect()}
+    assert all(got[i] == 0 for i in range(401)) and got[2000] == 2000
+    assert {got[a] == got[b] for a, b in pairs} == {True}
+
+
+def test_a_ring_of_ten_thousand(spark):
+    got = graph.cycles(spark.range(10_000).selectExpr("id AS a", "(id + 1) % 10000 AS b")).agg({"cycle": "max", "member": "count"}).first()
+    assert tuple(got) in ((0, 10_000), (10_000, 0))
+
+
 def test_a_large_ring_is_one_cycle(spark):
     ring = spark.range(131).selectExpr("format_string('n%03d', id) AS a", "format_string('n%03d', (id + 1) % 131) AS b")
     got = graph.cycles(ring)
