@@ -240,6 +240,14 @@ def one_text(own: DataFrame, seen: DataFrame, width: int) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """docs (the columns they had) without the near-duplicates of a document with a smaller id."""
-    gone = near_duplicates(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    """docs (the columns they had) without the near-duplicates of a document with a smaller id.
+
+    A row goes by its own text: where an id has several rows, a node is an id with a text, and of one id the smaller digest comes first. Rows that are
+    the same in both go or stay together; rows without an id stay."""
+    several = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    if several.isEmpty():
+        gone = near_duplicates(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+        return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    node = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.md5("text").alias("digest")))
+    gone = near_duplicates(docs.select(node.alias("doc_id"), "text"), width, percent).filter("not kept").select(F.col("doc_id.doc_id").alias("gone_id"), F.col("doc_id.digest").alias("gone_digest")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & F.md5(docs["text"]).eqNullSafe(gone["gone_digest"]), "left_anti")

@@ -118,3 +118,19 @@ def test_exact_bounds_lose_no_link_and_the_sampled_ones_hardly_any(spark):
     assert exact == want
     sampled = {x["doc_id"]: x["component_id"] for x in near_duplicates.near_duplicates(df).collect()}
     assert sum(sampled[i] != want[i] for i in want) <= 1
+
+
+def test_rows_of_one_id_go_by_their_own_texts(spark):
+    r = random.Random(21)
+
+    def near(text):
+        words = text.split()
+        words[3] = "other"
+        return " ".join(words)
+
+    a, b, c = (" ".join(f"{k}{r.randrange(500)}" for _ in range(80)) for k in "abc")
+    rows = [(1, a), (5, near(a)), (5, b), (9, near(b)), (10, b + " more"), (7, c), (7, c), (11, near(c)), (None, a), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "doc_id AS gone_id", "text AS gone_digest")
+    got = near_duplicates.deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=repr) == sorted([(1, a), (5, b), (7, c), (7, c), (None, a), (5, None), (5, "")], key=repr)
