@@ -21,7 +21,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, 0.8) the document with the smallest id stays, with all rows of that id; texts without words and rows without an id are linked with nothing and stay."""
+    """Of each group of near-duplicates (five words, 0.8) the document with the smallest id stays; rows that share an id go by their own texts; texts without words and rows without an id are linked with nothing and stay."""
     return near_duplicates.deduplicated(docs)
 
 
