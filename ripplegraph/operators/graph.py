@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.schema import EDGE_ORDER, MAX_DEPTH, MAX_IMPACTED, PATH_DEPTH, PATH_VISITED, SILENT_KINDS, SLICE_NODES
+from ripplegraph.schema import CRITICAL_SEEN, EDGE_ORDER, MAX_DEPTH, MAX_IMPACTED, MOST_COMMITS, PATH_DEPTH, PATH_VISITED, SILENT_KINDS, SLICE_NODES
 from ripplegraph.session import bounded_broadcast, written
 
 
@@ -141,29 +141,85 @@ class Path(NamedTuple):
 def dependency_path(edges: DataFrame, source: str, target: str, max_depth: int = PATH_DEPTH, max_visited: int = PATH_VISITED) -> Path:
     """The first shortest chain by which source depends on target; no rows if there is none. All edges but CONTAINS count.
 
-    At most max_visited symbols are held, on the driver."""
+    Of several ways the one that a queue finds first counts: each symbol keeps the ends of the hops that led to it, which order a level as the queue would.
+    Levels stay on the cluster; only their numbers of rows and the target's row come to the driver. The search gives up when more than max_visited symbols were seen."""
     spark = edges.sparkSession
-    usable = edges.filter("kind <> 'CONTAINS'")
-    came: dict[str, tuple[str, str] | None] = {source: None}
-    frontier, truncated = [source], False
-    for _ in range(max_depth):
-        if target in came or not frontier:
-            break
-        if len(came) > max_visited:
+    usable = written(edges.filter("kind <> 'CONTAINS'").select("f", "t", "kind_ord", "kind").repartition("f").sortWithinPartitions("f"), "usable")
+    level = written(spark.createDataFrame([(source, [], [])], "id string, way array<struct<t: string, kind_ord: int>>, hops array<struct<f: string, t: string, kind: string>>"), "level")
+    seen, visited, hops, truncated = level.select("id"), 1, [], False
+    for _ in range(max_depth if source != target else 0):
+        if visited > max_visited:
             truncated = True
             break
-        here = F.broadcast(spark.createDataFrame([(i, k) for k, i in enumerate(frontier)], "id string, place int"))
-        known = F.broadcast(spark.createDataFrame([(i,) for i in came], "id string"))
-        best = usable.join(here, F.col("f") == F.col("id")).groupBy("t").agg(F.min(F.struct("place", "f", "t", "kind_ord", "kind")).alias("r"))
-        rows = best.join(known, F.col("t") == F.col("id"), "left_anti").orderBy("r.place", "r.t", "r.kind_ord").limit(max_visited + 1).collect()
-        frontier = [r["t"] for r in rows]
-        came.update({r["t"]: (r["r"]["f"], r["r"]["kind"]) for r in rows})
-    out, at = [], target
-    while at in came and came[at] is not None:
-        f, kind = came[at]
-        out.append((f, at, kind))
-        at = f
-    return Path(spark.createDataFrame([(i + 1, *x) for i, x in enumerate(reversed(out))], "hop int, f string, t string, kind string"), truncated and target not in came)
+        ways = usable.join(bounded_broadcast(level, BROADCAST_ROWS), F.col("f") == F.col("id"))
+        best = ways.groupBy("t").agg(F.min(F.struct("way", "kind_ord", "kind", "f", "hops")).alias("r")).join(seen.select(F.col("id").alias("t")), "t", "left_anti")
+        way = F.array_append("r.way", F.struct("t", F.col("r.kind_ord").cast("int").alias("kind_ord")))
+        level = written(best.select(F.col("t").alias("id"), way.alias("way"), F.array_append("r.hops", F.struct("r.f", "t", "r.kind")).alias("hops")), "level")
+        hit = level.filter(F.col("id") == target).first()
+        if hit is not None:
+            hops = [(i + 1, h["f"], h["t"], h["kind"]) for i, h in enumerate(hit["hops"])]
+            break
+        n = level.count()
+        if not n:
+            break
+        seen, visited = seen.union(level.select("id")), visited + n
+    return Path(spark.createDataFrame(hops, "hop int, f string, t string, kind string"), truncated)
+
+
+def ancestors_of(parents: DataFrame, start: str, most: int = MOST_COMMITS) -> DataFrame:
+    """id: the start and all that is above it over (id, parent). Raises where that is more than `most`: a part would change results without saying so.
+    Where parents has a column `place`, an id's first parent is the one of the lowest place, else the least.
+
+    Lines of first parents are gone up by jumps of doubled lengths, of which every id has one each; then other parents lead to further lines. A line of n takes log n
+    rounds, and no table has more rows than there are parents: no pairs of ancestors are made."""
+    up = written(parents.filter("parent is not null and id <> parent"), "up")
+    first = up.groupBy("id").agg(F.min_by("parent", "place" if "place" in up.columns else "parent").alias("parent"))
+    jumps = [written(first, "jumps")]
+    while not jumps[-1].isEmpty():
+        further = jumps[-1].join(jumps[-1].select(F.col("id").alias("parent"), F.col("parent").alias("far")), "parent")
+        jumps.append(written(further.select("id", F.col("far").alias("parent")), "jumps"))
+        if len(jumps) > most.bit_length() + 1:
+            raise ValueError("the parents lead back to where they start, or the line is longer than it may be")
+    seen, fresh, n = None, written(parents.sparkSession.createDataFrame([(start,)], "id string"), "above"), 0
+    while True:
+        line = fresh
+        for jump in jumps[:-1]:
+            line = line.unionByName(line.join(jump, "id").select(F.col("parent").alias("id"))).distinct()
+            line = written(line if seen is None else line.join(seen, "id", "left_anti"), "above")
+        n += line.count()
+        if n > most:
+            raise ValueError(f"{start} has more than {most} ancestors")
+        seen = line if seen is None else seen.unionByName(line)
+        fresh = written(line.join(up.select("id", "parent"), "id").select(F.col("parent").alias("id")).distinct().join(seen, "id", "left_anti"), "above")
+        if fresh.isEmpty():
+            return seen
+
+
+def first_critical(edges: DataFrame, tests: DataFrame, critical: DataFrame, max_depth: int = MAX_DEPTH, max_seen: int = CRITICAL_SEEN) -> DataFrame:
+    """test, id, depth: of every test (id) that reaches a critical symbol (id) by what it depends on, the first that a queue finds.
+
+    All tests are searched at once, level by level. A symbol keeps the ends of the hops that led to it, which order a level as each test's queue would; a symbol is
+    not gone beyond once the test has seen max_seen symbols. A test that has found one is not searched on."""
+    uses = written(edges.filter(~F.col("kind").isin(*SILENT_KINDS, "TESTS")).select("f", "t").distinct().repartition("f").sortWithinPartitions("f"), "uses")
+    goal = critical.select("id").distinct()
+    level = written(tests.select("id").distinct().select(F.col("id").alias("test"), "id", F.array().cast("array<string>").alias("way")), "level")
+    seen, found = level.select("test", "id"), None
+    for depth in range(1, max_depth + 1):
+        ways = uses.join(level, F.col("f") == F.col("id")).select("test", F.col("t").alias("id"), "way")
+        best = ways.groupBy("test", "id").agg(F.min("way").alias("from")).join(seen, ["test", "id"], "left_anti")
+        # What the queue had seen before it came to the symbol that led here.
+        before = seen.groupBy("test").agg(F.count(F.lit(1)).alias("so_far"))
+        place = F.rank().over(Window.partitionBy("test").orderBy("from"))
+        best = best.withColumn("place", place).join(before, "test").filter(F.col("so_far") + F.col("place") - 1 < max_seen)
+        level = written(best.select("test", "id", F.array_append("from", F.col("id")).alias("way")), "level")
+        if level.isEmpty():
+            break
+        hit = level.join(bounded_broadcast(goal, BROADCAST_ROWS), "id", "left_semi").groupBy("test").agg(F.min(F.struct("way", "id"))["id"].alias("id"))
+        hit = written(hit.select("test", "id", F.lit(depth).alias("depth")), "critical")
+        found = hit if found is None else found.unionByName(hit)
+        seen = seen.unionByName(level.select("test", "id"))
+        level = level.join(hit.select("test"), "test", "left_anti")
+    return found if found is not None else level.select("test", "id", F.lit(0).alias("depth")).limit(0)
 
 
 def parent_closure(symbols: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.functions import paths
 from ripplegraph.operators import architecture, assessment, changes, evidence, extraction, graph, selection
-from ripplegraph.schema import LIST_CAP, MAX_DEPTH, ordinal
+from ripplegraph.schema import LIST_CAP, ordinal
 from ripplegraph.session import written
 from ripplegraph.sources import snapshots
 from ripplegraph.sources.policy import Policy
@@ -216,7 +216,7 @@ def analyze(base: Snapshot, head: Snapshot, policy: Policy, recorded: Evidence |
     found_ = found_.union(gate(unparsed, "parse_failure_in_changed_file")).union(gate(breaking, "breaking_api_change"))
     if critical:
         targets = base.symbols.filter(_matches("file", policy.critical)).select("id")
-        found_ = found_.union(gate(deleted_tests.join(graph.reaching(base.edges, targets, MAX_DEPTH).select("id"), "id", "left_semi"), "removed_test_on_critical_path"))
+        found_ = found_.union(gate(graph.first_critical(base.edges, deleted_tests, targets), "removed_test_on_critical_path"))
     found_ = found_.union(gate(spark.range(int(policy_changed)), "config_changed")).union(gate(spark.range(len(policy_errors or [])), "config_invalid"))
     levels = spark.createDataFrame(sorted(policy.levels.items()), "gate string, level string")
     gates = written(assessment.verdicts(found_, levels), "gates")

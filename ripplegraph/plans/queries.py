@@ -754,6 +754,37 @@ def critical_reach(t: Tables) -> DataFrame:
     return graph.reaching(written(graph_of(t), "graph"), critical, 2).join(t.sym.filter("is_test").select("id"), "id", "left_semi")
 
 
+def first_critical_sql(depth: int) -> str:
+    out = [
+        f"WITH e AS MATERIALIZED (SELECT DISTINCT f, t FROM {GRAPH} g WHERE kind NOT IN ('CONTAINS', 'IMPORTS', 'TESTS'))",
+        "goal AS (SELECT concat('supplier:', cast(s_suppkey as string)) AS id FROM {supplier} WHERE s_suppkey % 9 = 0)",
+        "v0 AS (SELECT id AS test, id, cast([] as varchar[]) AS way, 0 AS depth FROM {sym} WHERE is_unit)",
+        "h0 AS (SELECT test, id, 0 AS depth FROM v0 WHERE false)",
+    ]
+    for d in range(1, depth + 1):
+        out.append(f"""n{d} AS MATERIALIZED (SELECT v.test, e.t AS id, list_append(v.way, e.t) AS way, row_number() OVER (PARTITION BY v.test, e.t ORDER BY v.way) AS rn FROM e JOIN v{d - 1} v ON v.id = e.f AND v.depth = {d - 1}
+            WHERE NOT EXISTS (SELECT 1 FROM v{d - 1} w WHERE w.test = v.test AND w.id = e.t) AND v.test NOT IN (SELECT test FROM h{d - 1}))""")
+        out.append(f"v{d} AS MATERIALIZED (SELECT * FROM v{d - 1} UNION ALL SELECT test, id, way, {d} FROM n{d} WHERE rn = 1)")
+        out.append(f"h{d} AS MATERIALIZED (SELECT * FROM h{d - 1} UNION ALL SELECT test, id, {d} FROM (SELECT test, id, row_number() OVER (PARTITION BY test ORDER BY way) AS k FROM n{d} WHERE rn = 1 AND id IN (SELECT id FROM goal)) x WHERE k = 1)")
+    return ", ".join(out) + f" SELECT test, id, depth FROM h{depth}"
+
+
+@query(first_critical_sql(3))
+def first_critical_symbol(t: Tables) -> DataFrame:
+    """Of every test the first critical symbol that it depends on, at most three steps away."""
+    critical = t.supplier.filter("s_suppkey % 9 = 0").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"))
+    return graph.first_critical(written(graph_of(t), "graph"), t.sym.filter("is_unit"), critical, 3)
+
+
+@query("WITH RECURSIVE up AS (SELECT doc_id AS id, unnest([doc_id - 1, doc_id // 2]) AS parent FROM {documents} WHERE doc_id > 0), a AS (SELECT cast(max(doc_id) as bigint) AS id FROM {documents} UNION SELECT parent FROM a JOIN up ON up.id = a.id) SELECT cast(id as string) AS id FROM a")
+def ancestors_of_one(t: Tables) -> DataFrame:
+    """All that is above the last of a long line with side lines."""
+    up = t.documents.filter("doc_id > 0").select(F.col("doc_id").cast("string").alias("id"), F.posexplode(F.array(F.col("doc_id") - 1, F.expr("doc_id div 2"))).alias("place", "above"))
+    up = up.select("id", "place", F.col("above").cast("string").alias("parent"))
+    last = t.documents.agg(F.max("doc_id")).first()[0]
+    return graph.ancestors_of(up, str(last))
+
+
 METHODS = "SELECT p_partkey AS id, p_brand AS owner, concat('m', cast(p_partkey % 4 as string)) AS name, cast(p_size % 2 as string) AS params, cast(p_size % 4 as string) AS signature FROM {part}"
 SUPERS = "SELECT a.b AS owner, c.b AS above, cast(cast(right(a.b, 1) as int) - cast(right(c.b, 1) as int) as int) AS distance FROM (SELECT DISTINCT p_brand AS b FROM {part}) a JOIN (SELECT DISTINCT p_brand AS b FROM {part}) c ON left(a.b, length(a.b) - 1) = left(c.b, length(c.b) - 1) AND right(c.b, 1) < right(a.b, 1)"
 

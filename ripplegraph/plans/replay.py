@@ -28,7 +28,7 @@ class Case(NamedTuple):
 
 def visible_commits(parents: DataFrame, base: str, head: str) -> DataFrame:
     """commit: base and its ancestors in the parents (id, parent); a head among them raises, for its results would be known already."""
-    seen = graph.parent_closure(parents).filter(F.col("id") == base).select(F.col("ancestor").alias("commit")).union(parents.sparkSession.createDataFrame([(base,)], "commit string")).distinct()
+    seen = graph.ancestors_of(parents, base).select(F.col("id").alias("commit"))
     if not seen.filter(F.col("commit") == head).isEmpty():
         raise ValueError(f"{head} does not come after {base}")
     return seen

@@ -14,6 +14,8 @@ EVIDENCE = ("RESOLVED_EXACT", "COVERAGE_OBSERVED", "STATIC_INFERRED", "HISTORY_C
 SILENT_KINDS, STRUCTURAL_KINDS = ("CONTAINS", "IMPORTS"), ("CONTAINS", "TESTS")
 MAX_DEPTH, MAX_IMPACTED = 6, 5000
 PATH_DEPTH, PATH_VISITED = 8, 50_000
+#: Symbols that a test's search for a critical one sees; ancestors that a commit may have.
+CRITICAL_SEEN, MOST_COMMITS = 5000, 1_000_000
 #: Report lists: nodes of a slice; violations, API changes and owners; pairs of modules.
 SLICE_NODES, LIST_CAP, COUPLING_CAP = 400, 500, 100
 #: Edge columns in the order in which edges compare.

@@ -88,6 +88,46 @@ def test_paths(spark):
     assert back.hops.count() == 2 and back.hops.first()["reversed"]
 
 
+def first_by_queue(rows, test, critical, max_depth, max_seen):
+    out = {}
+    for f, t, kind, *_ in rows:
+        if kind not in ("CONTAINS", "IMPORTS", "TESTS"):
+            out.setdefault(f, set()).add(t)
+    seen, queue = {test}, [(test, 0)]
+    for at, depth in queue:
+        if depth and at in critical:
+            return at, depth
+        if depth >= max_depth or len(seen) >= max_seen:
+            continue
+        for t in sorted(out.get(at, ())):
+            if t not in seen:
+                seen.add(t)
+                queue.append((t, depth + 1))
+    return None
+
+
+@pytest.mark.parametrize(("max_depth", "max_seen"), [(6, 5000), (4, 7), (3, 3), (1, 5000)])
+def test_first_critical_symbol_is_that_of_a_queue(spark, max_depth, max_seen):
+    r = random.Random(max_seen)
+    rows = list({(f"s{r.randrange(40):02}", f"s{r.randrange(40):02}", r.choice(["CALLS", "CALLS", "REFERENCES", "TESTS", "IMPORTS"])): 0 for _ in range(90)})
+    rows = [(*x, 5, 1) for x in rows]
+    tests, critical = [f"s{i:02}" for i in range(15)], {f"s{i:02}" for i in range(30, 40)} | {"s03"}
+    one = lambda ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    got = {x["test"]: (x["id"], x["depth"]) for x in graph.first_critical(edges(spark, rows), one(tests), one(critical), max_depth, max_seen).collect()}
+    want = {t: first_by_queue(rows, t, critical, max_depth, max_seen) for t in tests}
+    assert got == {t: w for t, w in want.items() if w}
+
+
+def test_ancestors_of_one_commit(spark):
+    r = random.Random(3)
+    up = [(f"c{i}", f"c{i - 1}") for i in range(1, 300)] + [(f"c{i}", f"c{r.randrange(i)}") for i in range(20, 300, 17)] + [("x", "y"), ("c5", None), ("z", "z")]
+    df = spark.createDataFrame(up, "id string, parent string")
+    assert {x["id"] for x in graph.ancestors_of(df, "c250").collect()} == {f"c{i}" for i in range(251)}
+    assert [x["id"] for x in graph.ancestors_of(df, "none").collect()] == ["none"]
+    with pytest.raises(ValueError):
+        graph.ancestors_of(df, "c250", most=100)
+
+
 def test_more_roots_than_may_be_reached(spark):
     rows = [(f"u{i}", f"r{i}", "CALLS", 5, 1) for i in range(5500, 6000)]
     g = edges(spark, rows)
