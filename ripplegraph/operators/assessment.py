@@ -108,15 +108,16 @@ _ROW = "severity string, kind string, file string, line int, symbol string, deta
 def uncertainty(changed: DataFrame, head: DataFrame, unresolved: DataFrame, relevant: DataFrame, truncated: bool = False, cap: int = 200) -> DataFrame:
     """severity, kind, file, line, symbol, detail: what an analysis could not know.
 
-    changed: path, side (head or base), status, language, size, reason of the changed files of both sides; head: path, status of all files;
+    changed: path, side (head or base), status, language, size, reason (and error_line, error_lines) of the changed files of both sides; head: path, status of all files;
     unresolved: id, file, line, detail, of which those of relevant symbols (id) count, cap of them at most and a row that counts the rest."""
     spark = changed.sparkSession
     status, text = F.col("status"), F.lit(None).cast("string")
     is_head = F.col("side") == "head"
     unread = F.col("unread").isNotNull()
     known = changed.withColumn("unread", paths.unread_language("path"))
+    known = known if "error_line" in known.columns else known.withColumn("error_line", F.lit(None).cast("int")).withColumn("error_lines", F.lit(None).cast("int"))
     cases = [
-        (status == "SYNTAX_ERRORS", F.when(is_head, "high").otherwise("medium"), "SYNTAX_ERROR", F.concat(F.lit("syntax errors in the "), "side", F.lit(" revision"))),
+        (status == "SYNTAX_ERRORS", F.when(is_head, "high").otherwise("medium"), "SYNTAX_ERROR", F.concat(F.lit("syntax errors in the "), "side", F.lit(" revision"), F.coalesce(F.concat(F.lit(", in "), F.col("error_lines").cast("string"), F.lit(" lines")), F.lit("")))),
         (status == "PARSE_FAILED", F.lit("high"), "PARSE_FAILURE", F.concat("side", F.lit(" revision not parsed"))),
         (status == "TOO_LARGE", F.lit("high"), "FILE_TOO_LARGE", F.concat("side", F.lit(" revision has "), F.col("size").cast("string"), F.lit(" bytes"))),
         ((status == "BINARY") & F.col("language").isNotNull(), F.lit("medium"), "BINARY_FILE", F.concat("side", F.lit(" revision is no text"))),
@@ -127,7 +128,7 @@ def uncertainty(changed: DataFrame, head: DataFrame, unresolved: DataFrame, rele
     ]
     out = None
     for when, severity, kind, detail in cases:
-        rows = known.filter(when).select(severity.alias("severity"), F.lit(kind).alias("kind"), F.col("path").alias("file"), F.lit(None).cast("int").alias("line"), text.alias("symbol"), detail.alias("detail"))
+        rows = known.filter(when).select(severity.alias("severity"), F.lit(kind).alias("kind"), F.col("path").alias("file"), F.when(status == "SYNTAX_ERRORS", F.col("error_line")).cast("int").alias("line"), text.alias("symbol"), detail.alias("detail"))
         out = rows if out is None else out.union(rows)
     failures = head.filter(F.col("status").isin("PARSE_FAILED", "TOO_LARGE")).join(changed.filter(is_head).select("path"), "path", "left_anti").agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
     out = out.union(failures.select(F.lit("medium"), F.lit("PARSE_FAILURE"), text, F.lit(None).cast("int"), text, F.concat(F.col("n").cast("string"), F.lit(" unchanged files could not be indexed"))))

@@ -6,16 +6,19 @@ declarations, imports, supertypes, calls and constructions; types of expressions
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.functions import paths
+from ripplegraph.operators import exports, hierarchy
 from ripplegraph.operators.graph import overrides, parent_closure
-from ripplegraph.schema import EDGE_KINDS
+from ripplegraph.operators.syntax import syntax_errors
+from ripplegraph.schema import EDGE_KINDS, TYPE_KINDS
 from ripplegraph.session import written
 
-#: Comments, text blocks, strings, characters and templates, whichever begins first; what is left open ends with the line or the file.
-_NOT_CODE = r"""(?s)/\*.*?(?:\*/|\z)|//[^\n]*|\"\"\".*?(?:\"\"\"|\z)|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|`[^`\\]*+(?:\\.[^`\\]*+)*+`?"""
+#: Comments, regular expressions (after what an expression may follow), text blocks, strings, characters and templates, whichever begins first; what is left open ends with the line or the file.
+_NOT_CODE = r"""(?s)/\*.*?(?:\*/|\z)|//[^\n]*|(?<=[=(,:;!&|?\[{\n]\s{0,9})/(?![*/\s>])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*|\"\"\".*?(?:\"\"\"|\z)|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|`[^`\\]*+(?:\\.[^`\\]*+)*+`?"""
 _TYPE = r"\b(?:(@interface|class|interface|enum|record))\s+([A-Za-z_$][\w$]*)"
 _JAVA_METHOD = r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|synchronized|default|native)\s+)*(?:<[^>]+>\s*)?(?:[\w$.]+(?:<[^(]*>)?(?:\[\])*\s+)?([A-Za-z_$][\w$]*)\s*\([^;]*?\)\s*(?:throws\s+[\w$., ]+)?\{"
 _TS_METHOD = r"^\s*(?:(?:export|default|public|private|protected|static|async|readonly|override|get|set)\s+)*(?:function\s+)?([A-Za-z_$][\w$]*)\s*(?:<[^(]*>)?\([^;]*?\)\s*(?::[^={]+)?\{"
@@ -108,13 +111,15 @@ def _resolved(refs: DataFrame, targets: DataFrame) -> DataFrame:
 
 def _references(lines: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, constructions and supertypes (id, file, line, module, language, start_line, name) of the declarations."""
-    at = own.select("id", "file", "module", "language", "start_line", "end_line", "kind")
+    at = own.select("id", "file", "module", "language", "start_line", "end_line", F.col("name").alias("own_name"))
     spots = lines.select(F.col("path").alias("lp"), "line", "text", F.col("language").alias("ll"))
     # The innermost declaration around each line.
-    inside = spots.join(at, (F.col("lp") == F.col("file")) & F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("lp", "line", "text").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("n"), "id", "module", "language", "start_line")).alias("x"))
-    inside = inside.select(F.col("lp").alias("file"), "line", "text", "x.id", "x.module", "x.language", "x.start_line")
-    refs = lambda pattern, group: inside.select("id", "file", "line", "module", "language", "start_line", F.explode(F.regexp_extract_all("text", F.lit(pattern), group)).alias("name"))
+    inside = spots.join(at, (F.col("lp") == F.col("file")) & F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("lp", "line", "text").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("n"), "id", "module", "language", "start_line", "own_name")).alias("x"))
+    inside = inside.select(F.col("lp").alias("file"), "line", "text", "x.id", "x.module", "x.language", "x.start_line", "x.own_name")
+    refs = lambda pattern, group: inside.select("id", "file", "line", "module", "language", "start_line", "own_name", F.explode(F.regexp_extract_all("text", F.lit(pattern), group)).alias("name"))
     calls = refs(r"(?<![\w$])([A-Za-z_$][\w$]*)\s*\(", 1).filter(~F.col("name").isin(*_KEYWORDS))
+    # A declaration's own head is no call.
+    calls = calls.filter("line <> start_line or name <> own_name")
     made = refs(r"\bnew\s+(?:[\w$]+\.)*([A-Za-z_$][\w$]*)", 1)
     supers = refs(r"\b(?:extends|implements)\s+([\w$., <>]+)", 1).filter("line = start_line").withColumn("name", F.explode(F.split(F.regexp_replace("name", "<[^>]*>", ""), ",")))
     supers = supers.withColumn("name", F.regexp_extract(F.trim("name"), r"^([A-Za-z_$][\w$]*)", 1))
@@ -127,37 +132,87 @@ def _targets(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.filter(call).drop("kind"), named.filter(~call).drop("kind")
 
 
-def unresolved(lines: DataFrame, syms: DataFrame) -> DataFrame:
-    """id, file, line, detail: calls and constructions whose name the code base declares, but not so that one declaration can be told."""
+def unresolved(lines: DataFrame, syms: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """id, file, line, detail: calls and constructions whose name the code base declares, but not so that one declaration can be told. bound: references (file, line, name) that are known otherwise."""
     own = syms.filter("kind <> 'file'")
     calls, made, _ = _references(lines, own)
     callables, types = _targets(own)
     out = None
     for refs, targets, what in ((calls, callables, "call of "), (made, types, "construction of ")):
+        refs = refs if bound is None else refs.join(bound.select("file", "line", "name"), ["file", "line", "name"], "left_anti")
         open_ = _resolved(refs, targets).filter("to is null").join(targets.select("name", "language").distinct(), ["name", "language"], "left_semi")
         rows = open_.select("id", "file", "line", F.concat(F.lit(what), "name").alias("detail"))
         out = rows if out is None else out.unionByName(rows)
     return out.distinct()
 
 
-def overriding(syms: DataFrame, decls: DataFrame, up: DataFrame) -> DataFrame:
-    """f, t, strength: methods that override one of a supertype; up: the supertype edges (f, t). Java methods are told by their erased parameter types, others by name."""
+def _methods(syms: DataFrame, decls: DataFrame) -> DataFrame:
+    """id, owner, name, language, params (erased types), signature, n_params, varargs of every method."""
     heads = decls.select(F.col("path").alias("file"), "start_line", "name", "header").withColumn("args", F.regexp_replace(F.regexp_extract("header", r"\(([^)]*)\)", 1), r"<[^<>]*>", ""))
     kinds = F.transform(F.split("args", ","), lambda x: F.regexp_extract(F.trim(x), r"([A-Za-z_$][\w$]*(?:\[\])*)(?:\.\.\.)?\s+[\w$]+$", 1))
     java = F.col("language") == "java"
     methods = syms.filter("kind = 'method'").join(heads, ["file", "start_line", "name"])
-    methods = methods.select("id", F.col("parent").alias("owner"), "name", F.when(java, F.array_join(kinds, ",")).otherwise("").alias("params"), F.when(java, F.regexp_replace("args", r"\s+", " ")).otherwise("").alias("signature"))
+    size = F.when(F.trim("args") == "", 0).otherwise(F.size(F.split("args", ",")))
+    return methods.select("id", F.col("parent").alias("owner"), "name", "language", F.when(java, F.array_join(kinds, ",")).otherwise("").alias("params"), F.when(java, F.regexp_replace("args", r"\s+", " ")).otherwise("").alias("signature"), size.alias("n_params"), F.contains("args", F.lit("...")).alias("varargs"))
+
+
+def overriding(syms: DataFrame, decls: DataFrame, up: DataFrame) -> DataFrame:
+    """f, t, strength: methods that override one of a supertype; up: the supertype edges (f, t). Java methods are told by their erased parameter types, others by name."""
     above = parent_closure(up.select(F.col("f").alias("id"), F.col("t").alias("parent")))
-    return overrides(methods, above.select(F.col("id").alias("owner"), F.col("ancestor").alias("above"), "distance"))
+    return overrides(_methods(syms, decls).select("id", "owner", "name", "params", "signature"), above.select(F.col("id").alias("owner"), F.col("ancestor").alias("above"), "distance"))
 
 
-def edges(lines: DataFrame, decls: DataFrame, syms: DataFrame) -> DataFrame:
-    """f, t, kind, ... : containment, imports, supertypes, overrides, calls and constructions."""
+#: A call without a receiver, or on this or super, with its arguments where they hold no parentheses.
+_OWN_CALL = r"(?:(?<![\w$])(?:this|super)\s*\.\s*|(?<![\w$.]))([A-Za-z_$][\w$]*)\s*\((?:[^()]*\))?"
+
+
+def own_calls(lines: DataFrame, decls: DataFrame, syms: DataFrame) -> DataFrame:
+    """id, file, line, name, to, strength: Java calls of a type's own and inherited methods, by name and number of arguments up the hierarchy."""
+    own = syms.filter("kind <> 'file'")
+    java = own.filter("language = 'java'")
+    _, types = _targets(own)
+    _, _, supers = _references(lines, java)
+    named = written(_resolved(supers, types).filter("to is null or to <> id"), "supers")
+    kinds = java.filter(F.col("kind").isin(*TYPE_KINDS)).select("id", "kind", "file", "start_line")
+    heads = decls.select(F.col("path").alias("file"), "start_line", F.col("header").rlike(r"\bextends\b").alias("extends")).groupBy("file", "start_line").agg(F.max("extends").alias("extends"))
+    away = named.filter("to is null").select("id").distinct().withColumn("external", F.lit(True))
+    kinds = kinds.join(heads, ["file", "start_line"]).join(away, "id", "left").select("id", "kind", "extends", F.coalesce("external", F.lit(False)).alias("external"))
+    closure = written(hierarchy.levels(kinds, named.filter("to is not null").select("id", F.col("to").alias("parent"))), "levels")
+    inside = java.join(kinds.select(F.col("id").alias("parent")), "parent", "left_semi").filter("kind = 'method'").select(F.col("id").alias("caller"), F.col("parent").alias("type"), "file", "start_line", "end_line")
+    spots = lines.filter("language = 'java'").select(F.col("path").alias("file"), "line", F.explode(F.regexp_extract_all("text", F.lit(_OWN_CALL), 0)).alias("s"))
+    spots = spots.withColumn("name", F.regexp_extract("s", r"([A-Za-z_$][\w$]*)\s*\(", 1)).filter(~F.col("name").isin(*_KEYWORDS))
+    args = F.regexp_extract("s", r"\(([^()]*)\)$", 1)
+    spots = spots.withColumn("arity", F.when(F.endswith("s", F.lit(")")), F.when(F.trim(args) == "", 0).otherwise(F.size(F.split(args, ",")))))
+    at = spots.join(inside, "file").filter("line > start_line or (line = start_line and end_line = start_line)").filter("line <= end_line")
+    at = at.groupBy("file", "line", "s", "name", "arity").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("n"), "caller", "type")).alias("x"))
+    at = written(at.select(F.concat_ws(" ", "file", "line", "s").alias("call"), "x.type", "name", "arity", F.col("x.caller").alias("id"), "file", "line"), "own-calls")
+    methods = _methods(java, decls).withColumn("params", F.col("n_params"))
+    found = hierarchy.method_candidates(at, closure, hierarchy.outside(kinds, closure), methods).filter("status = 'FOUND'")
+    return at.join(found, "call").select("id", "file", "line", "name", F.col("method").alias("to"), "strength").distinct()
+
+
+def _bound(files: DataFrame, lines: DataFrame, decls: DataFrame, syms: DataFrame) -> DataFrame:
+    """id, file, line, name, to, strength, kind, rule: references that are known by their type's hierarchy or by their module's imports."""
+    own = syms.filter("kind <> 'file'")
+    mine = own_calls(lines, decls, syms).withColumns({"kind": F.lit("CALLS"), "rule": F.lit("java.call.own")})
+    names = written(exports.imported_declarations(files, syms), "imported")
+    calls, made, _ = _references(lines.filter("language <> 'java'"), own)
+    ts = calls.withColumn("kind", F.lit("CALLS")).union(made.withColumn("kind", F.lit("INSTANTIATES")))
+    # A name that the file declares itself, or calls on a receiver, is not the imported one.
+    plain = lines.select(F.col("path").alias("file"), "line", F.col("text").alias("code"))
+    ts = ts.join(plain, ["file", "line"]).filter(F.rlike(F.col("code"), F.concat(F.lit(r"(?<![\w$.])"), F.replace("name", F.lit("$"), F.lit(r"\$")), F.lit(r"\s*[(<]")))).join(names, ["file", "name"])
+    return mine.unionByName(ts.select("id", "file", "line", "name", "to", "strength", "kind", F.concat(F.lit("typescript."), F.when(F.col("kind") == "CALLS", "call").otherwise("new"), F.lit(".import")).alias("rule"))).distinct()
+
+
+def edges(lines: DataFrame, decls: DataFrame, syms: DataFrame, bound: DataFrame) -> DataFrame:
+    """f, t, kind, ... : containment, imports, supertypes, overrides, calls and constructions; bound: what is known of calls by their types and imports, which goes before what their names tell."""
     five, three, one = F.lit(5), F.lit(3), F.lit(1)
     own = syms.filter("kind <> 'file'")
     contains = _edge(own, "parent", "id", "CONTAINS", five, "start_line", F.concat("language", F.lit(".declaration")))
     calls, made, supers = _references(lines, own)
     callables, types = _targets(own)
+    free = lambda refs: refs.join(bound.select("file", "line", "name"), ["file", "line", "name"], "left_anti")
+    calls, made = free(calls), free(made)
     call = _resolved(calls, callables).filter("to is not null and to <> id")
     new = _resolved(made, types).filter("to is not null and to <> id")
     up = _resolved(supers, types).filter("to is not null and to <> id")
@@ -169,12 +224,15 @@ def edges(lines: DataFrame, decls: DataFrame, syms: DataFrame) -> DataFrame:
         _edge(new, "id", "to", "INSTANTIATES", strength, "line", F.concat("language", F.lit(".new"))),
         _edge(up, "id", "to", "EXTENDS", F.when(F.col("near"), five).otherwise(three), "line", F.concat("language", F.lit(".supertype"))),
         _imports(lines, syms),
+        *(_edge(bound.filter(F.col("kind") == k), "id", "to", k, F.col("strength"), "line", F.col("rule")) for k in ("CALLS", "INSTANTIATES")),
         _edge(over, "f", "t", "OVERRIDES", F.col("strength"), "start_line", F.concat("language", F.lit(".override"))),
     ]
     out = found[0]
     for e in found[1:]:
         out = out.unionByName(e)
-    return out.filter("f <> t").dropDuplicates(["f", "t", "kind", "line"])
+    rest = [c for c in out.columns if c not in ("f", "t", "kind", "line")]
+    best = out.filter("f <> t").groupBy("f", "t", "kind", "line").agg(F.min(F.struct("ev_ord", "rule", F.struct(*rest).alias("e")))["e"].alias("e"))
+    return best.select(*(c if c not in rest else F.col(f"e.{c}") for c in out.columns))
 
 
 def _imports(lines: DataFrame, syms: DataFrame) -> DataFrame:
@@ -183,19 +241,26 @@ def _imports(lines: DataFrame, syms: DataFrame) -> DataFrame:
     java = java.join(syms.select(F.col("id").alias("to")), "to", "left_semi")
     spec = F.regexp_extract("code", r"""(?:from|import|require\()\s*['"](\.[^'"]+)['"]""", 1)
     ts = lines.filter("language <> 'java'").select(F.col("path").alias("file"), "line", F.col("plain").alias("code")).withColumn("spec", spec).filter("spec <> ''")
-    ts = ts.withColumn("dir", F.regexp_extract("file", r"^(.*)/[^/]*$", 1)).withColumn("stem", paths.joined_relative("dir", "spec")).filter("stem is not null")
-    bare = F.regexp_replace("stem", r"\.(m?)js(x?)$", "")
-    ends = ["", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js"]
-    options = F.array(F.col("stem"), *(F.concat(bare, F.lit(e)) for e in ends[1:]))
-    ts = ts.select("file", "line", F.posexplode(options).alias("n", "path")).withColumn("to", F.concat(F.lit("file:"), "path")).join(syms.filter("kind = 'file'").select(F.col("id").alias("to")), "to", "left_semi")
-    ts = ts.groupBy("file", "line").agg(F.min_by("to", "n").alias("to"))
+    modules = syms.filter("kind = 'file'").select(F.col("file").alias("path"))
+    ts = exports.resolved_modules(ts, modules).filter("to_module is not null").select("file", "line", F.concat(F.lit("file:"), "to_module").alias("to"))
     both = java.select("file", "line", "to", F.lit("java.import").alias("rule")).union(ts.select("file", "line", "to", F.lit("ts.import")))
     return _edge(both.withColumn("from", F.concat(F.lit("file:"), "file")), "from", "to", "IMPORTS", F.lit(5), "line", F.col("rule"))
 
 
-def extracted(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The symbols and edges of the readable files (path, language, text), and the references that stay unresolved."""
-    lines = written(source_lines(files.filter("text is not null and language is not null")), "lines")
+class Extracted(NamedTuple):
+    """errors: path, line, of: where files do not parse, the first lines of each and the number of all."""
+
+    symbols: DataFrame
+    edges: DataFrame
+    unresolved: DataFrame
+    errors: DataFrame
+
+
+def extracted(files: DataFrame) -> Extracted:
+    """The symbols and edges of the readable files (path, language, text), the references that stay unresolved, and the lines with syntax errors."""
+    files = files.filter("text is not null and language is not null")
+    lines = written(source_lines(files), "lines")
     decls = written(declarations(lines), "declarations")
     syms = written(symbols(lines, decls), "symbols")
-    return syms, edges(lines, decls, syms), unresolved(lines, syms)
+    bound = written(_bound(files, lines, decls, syms), "bound")
+    return Extracted(syms, edges(lines, decls, syms, bound), unresolved(lines, syms, bound), syntax_errors(files, lines, _NOT_CODE))

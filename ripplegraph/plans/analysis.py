@@ -54,8 +54,15 @@ class Analysis(NamedTuple):
 def snapshot(spark: SparkSession, root: str) -> Snapshot:
     """The files, symbols, edges and unresolved references below a folder, written once and read from then on."""
     files = written(snapshots.files(spark, root), "files")
-    syms, edges, open_ = extraction.extracted(files)
-    return Snapshot(files, syms, written(graph.graph_edges(graph.attached_edges(edges, syms)), "edges"), written(open_, "unresolved"))
+    got = extraction.extracted(files)
+    return Snapshot(parsed(files, written(got.errors, "errors")), got.symbols, written(graph.graph_edges(graph.attached_edges(got.edges, got.symbols)), "edges"), written(got.unresolved, "unresolved"))
+
+
+def parsed(files: DataFrame, errors: DataFrame) -> DataFrame:
+    """files with the status SYNTAX_ERRORS, error_line (the first) and error_lines (their number) where there are errors (path, line, of)."""
+    first = errors.groupBy("path").agg(F.min("line").alias("error_line"), F.max("of").alias("error_lines"))
+    out = files.join(first, "path", "left")
+    return out.withColumn("status", F.when((F.col("status") == "INDEXED") & F.col("error_line").isNotNull(), "SYNTAX_ERRORS").otherwise(F.col("status")))
 
 
 def changed_files(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -144,7 +151,7 @@ def analyze(base: Snapshot, head: Snapshot, policy: Policy, recorded: Evidence |
     # What is not known, and what speaks against a selection
     sides = head.files.withColumn("side", F.lit("head")).join(files.select("path"), "path", "left_semi").unionByName(base.files.withColumn("side", F.lit("base")).join(files.select(F.coalesce("old_path", "path").alias("path")), "path", "left_semi"))
     relevant = changed.select("id").union(impacted.select("id"))
-    doubt = written(assessment.uncertainty(sides.select("path", "side", "status", "language", "size", "reason"), head.files, head.unresolved, relevant, truncated), "uncertainty")
+    doubt = written(assessment.uncertainty(sides.select("path", "side", "status", "language", "size", "reason", "error_line", "error_lines"), head.files, head.unresolved, relevant, truncated), "uncertainty")
     code = changed.filter("not coalesce(is_test, false)")
     uncovered = code.filter("change <> 'DELETED' and coverage in ('NOT_COVERED', 'NO_DATA')").filter(~_matches("file", policy.generated))
     more = uncovered.filter("change = 'MODIFIED'").select(F.lit("CHANGED_CODE_WITHOUT_COVERAGE").alias("reason"), F.col("id").alias("example"))

@@ -145,12 +145,12 @@ class A {
 }
 class B extends A {
   void three(String other) { unknown(); two(); }
-  void two(int n) { }
+  void two(int n) { other.three(n); }
 }
 '''
     ts = "export function f(g: string) {\n  const u = `a ${g} { // `;\n  return h('src/**/*.ts');\n}\nexport function h(x: string) {\n  return x;\n}\n"
     files = spark.createDataFrame([("A.java", "java", java), ("f.ts", "typescript", ts)], "path string, language string, text string")
-    syms, edges, open_ = extraction.extracted(files)
+    syms, edges, open_, _ = extraction.extracted(files)
     got = {r["id"]: (r["start_line"], r["end_line"]) for r in syms.collect() if r["kind"] != "file"}
     assert got == {"java:p.A": (2, 15), "java:p.A#one": (3, 7), "java:p.A#two": (8, 8), "java:p.A#three": (10, 14), "java:p.B": (16, 19), "java:p.B#three": (17, 17), "java:p.B#two": (18, 18), "typescript:f.ts#f": (1, 4), "typescript:f.ts#h": (5, 7)}
     have = {(r["f"], r["kind"], r["t"]) for r in edges.collect()}
@@ -158,7 +158,9 @@ class B extends A {
     # Erased parameters decide: two(int) overrides nothing.
     assert {(f, t) for f, k, t in have if k == "OVERRIDES"} == {("java:p.B#three", "java:p.A#three")}
     # The name is known, but not which declaration is meant; names that nobody declares are of no interest.
-    assert {r["detail"] for r in open_.collect()} == {"call of three", "call of two"}
+    assert {(r["id"], r["detail"]) for r in open_.collect()} == {("java:p.B#two", "call of three")}
+    # A call without a receiver goes by the type's hierarchy and the number of arguments.
+    assert {("java:p.A#two", "CALLS", "java:p.A#three"), ("java:p.B#three", "CALLS", "java:p.A#two")} <= have
 
 
 def test_store_applies_by_difference(spark, two, tmp_path):
@@ -173,8 +175,8 @@ def test_store_applies_by_difference(spark, two, tmp_path):
 
 def test_empty_sources(spark):
     none = spark.createDataFrame([], "path string, language string, text string")
-    syms, edges, open_ = extraction.extracted(none)
-    assert syms.count() == 0 and edges.count() == 0 and open_.count() == 0
+    syms, edges, open_, errors = extraction.extracted(none)
+    assert syms.count() == edges.count() == open_.count() == errors.count() == 0
 
 
 def test_replay_of_a_past_change(spark, two):

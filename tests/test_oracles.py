@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from ripplegraph.plans import report_queries  # noqa: F401
+from ripplegraph.plans import code_queries, report_queries  # noqa: F401
 from ripplegraph.plans.queries import ORACLES, QUERIES
 from ripplegraph.sources.adapters import TABLES
 
