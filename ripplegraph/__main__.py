@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from ripplegraph.plans import analysis, store
+from ripplegraph.plans import analysis
 from ripplegraph.sources.policy import read_owners, read_policy
 
 
@@ -24,8 +24,7 @@ def main(arguments: list[str], spark: SparkSession | None = None) -> int:
     a = p.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("ripplegraph").getOrCreate()
     if a.command == "index":
-        s = analysis.snapshot(spark, a.root)
-        print(store.apply(spark, a.store, {"files": s.files.select("path", "blob"), "symbols": s.symbols.select("id", "kind", "file", "fp"), "edges": s.edges}))
+        print(analysis.stored(spark, a.store, analysis.snapshot(spark, a.root, a.store)))
         return 0
     policy, errors = read_policy(spark, a.root if a.command == "check" else a.base, a.policy)
     if a.command == "check":

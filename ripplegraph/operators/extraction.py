@@ -256,11 +256,11 @@ class Extracted(NamedTuple):
     errors: DataFrame
 
 
-def extracted(files: DataFrame) -> Extracted:
-    """The symbols and edges of the readable files (path, language, text), the references that stay unresolved, and the lines with syntax errors."""
+def extracted(files: DataFrame, facts: tuple[DataFrame, DataFrame] | None = None) -> Extracted:
+    """The symbols and edges of the readable files (path, language, text), the references that stay unresolved, and the lines with syntax errors. facts: the files' lines and declarations, where they are known."""
     files = files.filter("text is not null and language is not null")
-    lines = written(source_lines(files), "lines")
-    decls = written(declarations(lines), "declarations")
+    lines = written(source_lines(files) if facts is None else facts[0], "lines")
+    decls = written(declarations(lines) if facts is None else facts[1], "declarations")
     syms = written(symbols(lines, decls), "symbols")
     bound = written(_bound(files, lines, decls, syms), "bound")
     return Extracted(syms, edges(lines, decls, syms, bound), unresolved(lines, syms, bound), syntax_errors(files, lines, _NOT_CODE))

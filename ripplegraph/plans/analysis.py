@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ripplegraph.functions import paths
 from ripplegraph.operators import architecture, assessment, changes, evidence, extraction, graph, selection
 from ripplegraph.schema import LIST_CAP, ordinal
+from ripplegraph.plans import store
 from ripplegraph.session import written
 from ripplegraph.sources import snapshots
 from ripplegraph.sources.policy import Policy
@@ -51,13 +52,21 @@ class Analysis(NamedTuple):
     hunks: DataFrame
 
 
-def snapshot(spark: SparkSession, root: str) -> Snapshot:
-    """The files, symbols, edges and unresolved references below a folder, written once and read from then on."""
+def snapshot(spark: SparkSession, root: str, index: str | None = None) -> Snapshot:
+    """The files, symbols, edges and unresolved references below a folder, written once and read from then on.
+
+    index: a store; what it knows of a file's content is not read again. References are resolved anew, for they hang on all files."""
     files = written(snapshots.files(spark, root), "files")
-    got = extraction.extracted(files)
+    got = extraction.extracted(files, None if index is None else store.read_files(spark, index, files))
     return Snapshot(parsed(files, written(got.errors, "errors")), got.symbols, written(graph.graph_edges(graph.attached_edges(got.edges, got.symbols)), "edges"), written(got.unresolved, "unresolved"))
 
 
+def stored(spark: SparkSession, index: str, s: Snapshot) -> dict[str, dict[str, int]]:
+    """Bring the store's tables to the snapshot, by difference; what changed in each."""
+    files = s.files.select("path", "blob", "language", "status")
+    return store.apply(spark, index, {"files": files, "symbols": s.symbols, "edges": s.edges, "unresolved": s.unresolved.distinct()})
+
+
 def parsed(files: DataFrame, errors: DataFrame) -> DataFrame:
     """files with the status SYNTAX_ERRORS, error_line (the first) and error_lines (their number) where there are errors (path, line, of)."""
     first = errors.groupBy("path").agg(F.min("line").alias("error_line"), F.max("of").alias("error_lines"))

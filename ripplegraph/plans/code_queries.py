@@ -1,12 +1,16 @@
-"""Registered queries of what is read from code: brackets, exports, methods up a hierarchy."""
+"""Registered queries of what is read from code (brackets, exports, methods up a hierarchy) and of the stored index."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.operators import exports, hierarchy, syntax
+from ripplegraph.plans import store
 from ripplegraph.plans.queries import Tables, query
+from ripplegraph.session import shared_dir
 
 #: Lines of documents with some letters as brackets.
 BRACKETS = "SELECT cast(doc_id as string) AS path, translate(text, 'kvpgbf', '(){}[]') AS text FROM {documents} WHERE text IS NOT NULL"
@@ -79,3 +83,12 @@ def method_lookup(t: Tables) -> DataFrame:
     types = t.spark.sql(TYPES, supplier=t.supplier)
     closure = hierarchy.levels(types, t.spark.sql(ABOVE, supplier=t.supplier))
     return hierarchy.method_candidates(t.spark.sql(CALLED, lineitem=t.lineitem), closure, hierarchy.outside(types, closure), t.spark.sql(OWNED, part=t.part))
+
+
+@query("SELECT id, path, kind, owner, name, fp, body FROM {head}")
+def stored_index(t: Tables) -> DataFrame:
+    """The index after two versions, of which the second holds what changed."""
+    where = f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
+    for side in (t.base, t.head):
+        store.apply(t.spark, where, {"symbols": side})
+    return store.load(t.spark, where, "symbols")

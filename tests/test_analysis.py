@@ -173,6 +173,52 @@ def test_store_applies_by_difference(spark, two, tmp_path):
     assert {r["path"] for r in store.missing_facts(two[1].files, two[0].files).collect()} == {"src/main/shop/Price.java", "src/main/shop/api/Cart.java", "db/migrate/2.sql"}
 
 
+def test_versions_hold_what_changed(spark, tmp_path):
+    import random
+
+    r, rows, root = random.Random(3), {i: f"v{i}" for i in range(400)}, str(tmp_path)
+    table = lambda: {"files": spark.createDataFrame([(f"p{i}", v) for i, v in rows.items()], "path string, blob string")}
+    store.apply(spark, root, table())
+    for step in range(11):
+        before = dict(rows)
+        for _ in range(4):
+            rows.pop(r.choice(list(rows)))
+            rows[r.choice(list(rows))] = f"new{step}"
+            rows[1000 + r.randrange(1000)] = "added"
+        n = store.apply(spark, root, table())["files"]
+        changed = sum(before.get(i) != rows.get(i) for i in {*before, *rows})
+        assert n["added"] + n["removed"] + n["updated"] == changed and n["unchanged"] == sum(before.get(i) == v for i, v in rows.items())
+        written_ = spark.read.parquet(f"{root}/index/v{step + 2}/files").count()
+        assert written_ in (changed, len(rows)) and (step > 6 or written_ == changed)
+        if step in (0, 5, 10):
+            assert {x["path"]: x["blob"] for x in store.load(spark, root, "files").collect()} == {f"p{i}": v for i, v in rows.items()}
+            assert {x["path"]: x["blob"] for x in store.load(spark, root, "files", step + 1).collect()} == {f"p{i}": v for i, v in before.items()}
+    # At some time the parts are one again; nothing new is no part at all.
+    parts = store._parts(spark, root, 12)["files"]
+    assert len(parts) <= store.MOST_PARTS + 1 and parts[0] > 1
+    assert store.apply(spark, root, table())["files"]["unchanged"] == len(rows) and store._parts(spark, root, 13)["files"] == parts
+    more = {"files": table()["files"].selectExpr("*", "'ts' AS language")}
+    assert store.apply(spark, root, more)["files"]["added"] == len(rows) and store.load(spark, root, "files").columns == ["path", "blob", "language"]
+
+
+def test_an_indexed_snapshot_reads_only_what_is_new(spark, tmp_path):
+    index, head = str(tmp_path / "index"), dict(BASE)
+    head["web/cart.ts"] = BASE["web/cart.ts"].replace("price(n)", "price(n + 1)")
+    head["web/new.ts"] = "export function more() {\n}\n"
+    del head["src/main/shop/api/Base.java"]
+    first = analysis.snapshot(spark, put(tmp_path / "b", BASE), index)
+    analysis.stored(spark, index, first)
+    assert spark.read.parquet(f"{index}/read/files").count() == 6
+    again = analysis.snapshot(spark, put(tmp_path / "h", head), index)
+    got = analysis.stored(spark, index, again)
+    assert {x["path"] for x in spark.read.parquet(f"{index}/read/files").groupBy("path").count().filter("count > 1").collect()} == {"web/cart.ts"} and spark.read.parquet(f"{index}/read/files").count() == 8
+    assert got["files"] == {"added": 1, "removed": 1, "updated": 1, "unchanged": 5}
+    plain = analysis.snapshot(spark, str(tmp_path / "h"))
+    rows = lambda df, columns: sorted(map(str, df.select(*columns).collect()))
+    for name, df in (("symbols", plain.symbols), ("edges", plain.edges), ("unresolved", plain.unresolved)):
+        assert rows(store.load(spark, index, name), df.columns) == rows(df, df.columns), name
+
+
 def test_empty_sources(spark):
     none = spark.createDataFrame([], "path string, language string, text string")
     syms, edges, open_, errors = extraction.extracted(none)
@@ -222,6 +268,10 @@ def test_facts_and_coverage_are_stored(spark, tmp_path):
     store.put_facts(spark, str(tmp_path), fact("old"))
     store.put_facts(spark, str(tmp_path), fact("new"))
     assert [r["payload"] for r in store.facts(spark, str(tmp_path)).collect()] == ["new"]
+    results = spark.createDataFrame([("t", "PASSED", 5, 1, 2), ("t", "FAILED", 3, 9, 1), ("u", "PASSED", 1, 0, 1)], "test string, outcome string, duration_ms bigint, failed_attempts int, place int")
+    store.add_runs(spark, str(tmp_path), 1, "c1", results)
+    store.add_runs(spark, str(tmp_path), 2, "c1", results.drop("place").coalesce(1))
+    assert {(r["run_id"], r["test"]): r["outcome"] for r in spark.read.parquet(f"{tmp_path}/results").collect()} == {(1, "t"): "PASSED", (2, "t"): "FAILED", (1, "u"): "PASSED", (2, "u"): "PASSED"}
     lines = spark.createDataFrame([("t", "lcov", "a.ts", 1, True)], "test string, format string, path string, line int, hit boolean")
     store.add_coverage(spark, str(tmp_path), 3, "c1", lines)
     assert spark.read.parquet(f"{tmp_path}/coverage").first()["commit"] == "c1"

@@ -166,7 +166,7 @@ def strong(pairs):
     return {x: min(y for y in r | {x} if y == x or (y in r and x in all_[y])) for x, r in all_.items() if any(y != x and x in all_[y] for y in r)}
 
 
-@pytest.mark.parametrize("task_edges", [200_000, 6, 0])
+@pytest.mark.parametrize("task_edges", [200_000, 40, 6, 0])
 def test_cycles_of_random_graphs(spark, task_edges):
     r = random.Random(task_edges)
     pairs = list({(f"n{r.randrange(60):02}", f"n{r.randrange(60):02}") for _ in range(75)}) + [("x", "x"), ("p", "q"), ("q", "p"), ("q", "r")]
