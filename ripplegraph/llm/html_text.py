@@ -4,10 +4,11 @@ A page's leaf blocks, in order, are vectors of hashed tag paths (with classes an
 LSTM in numpy reads the whole sequence and labels every block, so that a block is judged in the context of its page.
 Blocks labelled as content are joined by one line feed.
 
-The labeller is trained here, on the driver, on at most TRAIN_PAGES pages (those of the smallest hashes) and copies of
+The labeller is trained here, on the driver, on at most TRAIN_PAGES pages (those of the smallest hashes) and COPIES copies of
 them with boilerplate of many kinds put in; training labels come from the semantic elements (article and main against
 navigation, header, footer, aside, forms, adverts, notices, comments). Some copies keep the labels and lose the elements that told them:
-their articles stand in plain divisions or table cells, as older sites have them.
+their articles stand in plain divisions or table cells, as older sites have them. In the copies, blocks of the articles also stand as items of
+lists, table cells, quotes, captions, headers of the article and paragraphs that are one link.
 
 Cases: null and empty html, and pages without content, give the empty string; scripts, styles, comments and markup never count as text;
 unclosed tags, comments and quotes end with the page; rows that repeat are treated alike; whole pages are read, however long and however
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES, TRAIN_BYTES = 150, 1 << 16
-PATH_SIZE, WORD_SIZE, HIDDEN = 48, 16, 16
+TRAIN_PAGES, TRAIN_BYTES, COPIES = 150, 1 << 16, 5
+PATH_SIZE, WORD_SIZE, HIDDEN = 128, 16, 16
 WORDS = 40
 SIZE = PATH_SIZE + WORD_SIZE + 4
-EPOCHS, RATE, SEED = 40, 0.02, 7
+EPOCHS, RATE, SEED = 30, 0.02, 7
 #: Pages, and steps of padded sequences, that are labelled together.
 PAGES_AT_ONCE, STEPS_AT_ONCE = 128, 1 << 14
 
@@ -47,7 +48,7 @@ _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: For training labels.
 _CONTENT = frozenset(("article", "main"))
-_NOISE = frozenset("nav header footer aside form button select dialog head menu ad ads advert advertisement banner sponsored promo sidebar comment comments reply replies notice cookie consent newsletter subscribe share social related breadcrumb breadcrumbs pagination widget popup modal navigation contentinfo complementary".split())
+_NOISE = frozenset("nav header footer aside form button select dialog head menu ad ads advert advertisement banner sponsored promo sidebar comment comments reply replies disqus discussion respond notice cookie consent newsletter subscribe share social related breadcrumb breadcrumbs pagination widget popup modal navigation contentinfo complementary".split())
 
 
 class Element:
@@ -185,7 +186,9 @@ def vectors(page: list[Block]) -> np.ndarray:
 
 
 def weak_label(path: tuple[str, ...]) -> float:
-    return float(bool(_CONTENT & set(path)) and not _NOISE & set(path))
+    """Content and no noise around; the header of an article is its own."""
+    at = next((i for i, t in enumerate(path) if t in _CONTENT), None)
+    return float(at is not None and not _NOISE & ({*path[:at], *path[at:]} - ({"header"} if "header" not in path[:at] else set())))
 
 
 class Labeller:
@@ -282,6 +285,16 @@ def packed(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 _ARTICLES = (("article",), ("main",), ("div", "content"), ("div", "post"), ("section", "entry"), ("div",), ("table", "tr", "td"), ("table", "tbody", "tr", "td"))
 
 
+#: How blocks of an article may stand in it, besides paragraphs.
+_FORMS = (("ul", "li"), ("ul", "li"), ("ol", "li"), ("table", "tr", "td"), ("table", "tbody", "tr", "th"), ("blockquote", "p"), ("dl", "dd"), ("figure", "figcaption"), ("header", "h1"), ("header", "p"), ("section", "h2"), ("h3",), ("pre",), ("div", "p"), ("ul", "li", "p"), ("p",))
+
+
+def _formed(path: tuple[str, ...], b: Block, form: tuple[str, ...], r: np.random.Generator) -> Block:
+    """The block as another form of an article's block has it: short, as items and cells are, or all of it one link."""
+    text = " ".join(b.text.split(" ")[: int(r.integers(1, 9))]) if r.random() < 0.6 else b.text
+    return Block(_ROOT, text, float(r.random() < 0.2), (*path[:-1], *form))
+
+
 def _put_in(page: list[tuple[Block, float]], r: np.random.Generator, phrases: list[str]) -> list[tuple[Block, float]]:
     """A copy of the page's blocks and labels with boilerplate of several kinds around and between them, and paths as other sites have them."""
     noise = sorted(_NOISE - {"head"})
@@ -290,9 +303,16 @@ def _put_in(page: list[tuple[Block, float]], r: np.random.Generator, phrases: li
     # Containers on the way to the content: their own words say nothing.
     outer = tuple(str(x) for x in r.choice(["div", "section", "wrapper", "page", "content", "container", "post", "entry", "body"], int(r.integers(0, 4))))
     out = [(b._replace(words=(*b.path[:2], *outer, *(x for t in b.path[2:] for x in (renamed if t in _CONTENT else (t,))))), yes) for b, yes in page]
+    for _ in range(int(r.integers(1, 5))):
+        form, at = _FORMS[int(r.integers(len(_FORMS)))], int(r.integers(len(out)))
+        # Without an article around it a header is the page's.
+        form = ("p",) if form[0] == "header" and not _CONTENT & set(renamed) else form
+        for i in range(at, min(len(out), at + int(r.integers(1, 6)))):
+            if out[i][1]:
+                out[i] = (_formed(out[i][0].path, out[i][0], form, r), 1.0)
     for _ in range(int(r.integers(1, 6))):
         kind = noise[int(r.integers(len(noise)))]
-        inside = r.random() < 0.4
+        inside = r.random() < 0.4 and kind != "header"
         path = ("html", "body", *(renamed if inside else ()), str(r.choice(around)), kind, *(str(x) for x in r.choice(around, int(r.integers(0, 3)))))
         at = int(r.integers(len(out) + 1))
         for _ in range(int(r.integers(1, 5))):
@@ -311,7 +331,7 @@ def fit(pages: DataFrame) -> Labeller:
         seen.append([(Block(_ROOT, text, links, path), weak_label(path)) for path, text, links in ((("html", "body", "nav"), "home", 1.0), (("html", "body", "article", "p"), "A sentence of some length, as articles have them.", 0.0), (("html", "body", "footer"), "imprint", 0.5))])
     r = np.random.default_rng(SEED)
     phrases = [b.text for page in seen for b, _ in page]
-    seen = [*seen, *(_put_in(page, r, phrases) for page in seen for _ in range(2))]
+    seen = [*seen, *(_put_in(page, r, phrases) for page in seen for _ in range(COPIES))]
     return Labeller().train([vectors([b for b, _ in page]) for page in seen], [np.array([yes for _, yes in page], dtype=np.float32) for page in seen])
 
 
