@@ -107,6 +107,11 @@ def token_fingerprint(tokens: str) -> Column:
     return F.md5(F.concat_ws("", F.transform(tokens, lambda t: F.concat(F.length(t).cast("string"), F.lit(":"), t))))
 
 
+def merged_fingerprint(place: str, fingerprint: str) -> Column:
+    """An aggregate: the hash of a group's fingerprints in the order of their places."""
+    return F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, fingerprint))), lambda x: x[fingerprint]), ""))
+
+
 def joined_relative(directory: str, relative: str) -> Column:
     """directory/relative with . and .. taken in; null where it leaves the root."""
     parts = F.filter(F.split(F.concat_ws("/", directory, relative), "/"), lambda x: (x != "") & (x != "."))

@@ -169,6 +169,20 @@ def classify_symbols(base: DataFrame, head: DataFrame) -> DataFrame:
     return both.select("id", change.alias("change")).filter("change is not null")
 
 
+def in_changed_files(base: DataFrame, head: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The symbols (id, file and more) of both sides that either has in one of the paths: a symbol that went to or came from a file that did not change is there on both."""
+    own = base.select("id", F.col("file").alias("path")).union(head.select("id", F.col("file").alias("path"))).join(paths.select("path").distinct(), "path", "left_semi").select("id").distinct()
+    return base.join(own, "id", "left_semi"), head.join(own, "id", "left_semi")
+
+
+def row_delta(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows that only one of two tables of the same columns has, with change: ADDED or REMOVED; rows that repeat count once."""
+    columns = old.columns
+    both = old.select(*columns, F.lit(1).alias("_old")).unionByName(new.select(*columns, F.lit(None).cast("int").alias("_old")))
+    sides = both.groupBy(*columns).agg(F.max("_old").isNotNull().alias("was"), F.max(F.col("_old").isNull()).alias("is"))
+    return sides.filter("was <> is").select(*columns, F.when(F.col("is"), "ADDED").otherwise("REMOVED").alias("change"))
+
+
 def _unique(df: DataFrame, key: list[str], name: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias(name)).filter("n = 1").drop("n")
 

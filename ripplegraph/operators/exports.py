@@ -23,14 +23,20 @@ _DEFAULT = rf"(?m)^\s*export\s+default\s+{_NAME}\s*;"
 ENDINGS = ("", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js")
 
 
+def first_files(options: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
+    """key and the path of the least n of the options (key, n, path) that is one of the files (path)."""
+    hit = options.join(files.select("path").distinct(), "path", "left_semi")
+    return hit.groupBy(*key).agg(F.min_by("path", "n").alias("path"))
+
+
 def resolved_modules(refs: DataFrame, files: DataFrame) -> DataFrame:
     """refs (file, spec and more) with to_module: of the paths that a relative specifier may mean the first that is a file (path); null where none is or the specifier is not relative."""
     known = refs.withColumn("dir", F.regexp_extract("file", r"^(.*)/[^/]*$", 1))
     some = known.filter(F.startswith("spec", F.lit("."))).select("file", "dir", "spec").distinct().withColumn("stem", paths.joined_relative("dir", "spec")).filter("stem is not null")
     bare = F.regexp_replace("stem", r"\.(m?)js(x?)$", "")
     options = F.array(F.col("stem"), *(F.concat(bare, F.lit(e)) for e in ENDINGS[1:]))
-    hit = some.select("file", "spec", F.posexplode(options).alias("n", "path")).join(files.select("path").distinct(), "path", "left_semi")
-    return refs.join(hit.groupBy("file", "spec").agg(F.min_by("path", "n").alias("to_module")), ["file", "spec"], "left")
+    hit = first_files(some.select("file", "spec", F.posexplode(options).alias("n", "path")), files, ["file", "spec"])
+    return refs.join(hit.withColumnRenamed("path", "to_module"), ["file", "spec"], "left")
 
 
 def _spec(c: str) -> Column:

@@ -15,7 +15,7 @@ from ripplegraph.operators import exports, hierarchy
 from ripplegraph.operators.graph import overrides, parent_closure
 from ripplegraph.operators.syntax import syntax_errors
 from ripplegraph.schema import EDGE_KINDS, TYPE_KINDS
-from ripplegraph.session import written
+from ripplegraph.session import placed, written
 
 #: Comments, regular expressions (after what an expression may follow), text blocks, strings, characters and templates, whichever begins first; what is left open ends with the line or the file.
 _NOT_CODE = r"""(?s)/\*.*?(?:\*/|\z)|//[^\n]*|(?<=[=(,:;!&|?\[{\n]\s{0,9})/(?![*/\s>])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*|\"\"\".*?(?:\"\"\"|\z)|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|`[^`\\]*+(?:\\.[^`\\]*+)*+`?"""
@@ -247,6 +247,18 @@ def _imports(lines: DataFrame, syms: DataFrame) -> DataFrame:
     return _edge(both.withColumn("from", F.concat(F.lit("file:"), "file")), "from", "to", "IMPORTS", F.lit(5), "line", F.col("rule"))
 
 
+def canonical_types(types: DataFrame) -> DataFrame:
+    """types (fqn, path and more) with id: of the types of one name the first by path keeps it, the others' ids carry their paths."""
+    first = types.groupBy("fqn").agg(F.min("path").alias("first"))
+    return types.join(first, "fqn").withColumn("id", F.when(F.col("path") == F.col("first"), F.col("fqn")).otherwise(F.concat("fqn", F.lit("@"), "path"))).drop("first")
+
+
+def numbered_titles(rows: DataFrame, title: str, order: list[Column]) -> DataFrame:
+    """rows with the title of all but the first of each title numbered, in an order (a total one): `title #2`. A title that very many rows have is numbered by ranges."""
+    n = placed(rows, order, "_nth", [title])
+    return n.withColumn(title, F.when(F.col("_nth") == 1, F.col(title)).otherwise(F.concat(title, F.lit(" #"), F.col("_nth").cast("string")))).drop("_nth")
+
+
 class Extracted(NamedTuple):
     """errors: path, line, of: where files do not parse, the first lines of each and the number of all."""
 

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.operators import exports, hierarchy, syntax
+from ripplegraph.functions import paths
+from ripplegraph.operators import changes, exports, hierarchy, syntax
 from ripplegraph.plans import store
 from ripplegraph.plans.queries import Tables, query
 from ripplegraph.session import shared_dir
@@ -92,3 +93,26 @@ def stored_index(t: Tables) -> DataFrame:
     for side in (t.base, t.head):
         store.apply(t.spark, where, {"symbols": side})
     return store.load(t.spark, where, "symbols")
+
+
+@query("WITH p AS (SELECT coalesce(b.path, h.path) AS path FROM {base} b FULL OUTER JOIN {head} h ON b.path = h.path WHERE b.body IS DISTINCT FROM h.body OR b.kind IS DISTINCT FROM h.kind), o AS (SELECT id FROM {base} WHERE path IN (SELECT path FROM p) UNION SELECT id FROM {head} WHERE path IN (SELECT path FROM p)) SELECT o.id, CASE WHEN b.id IS NULL THEN 'ADDED' WHEN h.id IS NULL THEN 'DELETED' ELSE 'MODIFIED' END AS change FROM o LEFT JOIN {base} b ON b.id = o.id LEFT JOIN {head} h ON h.id = o.id WHERE b.id IS NULL OR h.id IS NULL OR b.fp IS DISTINCT FROM h.fp")
+def classify_in_changed_files(t: Tables) -> DataFrame:
+    """Symbols of the changed files alone."""
+    files = lambda df: df.select("path", F.col("body").alias("blob"), "kind")
+    diff = changes.diff_paths(files(t.base), files(t.head)).filter("change <> 'UNCHANGED'")
+    own = lambda df: df.select("id", F.col("path").alias("file"), "fp")
+    return changes.classify_symbols(*changes.in_changed_files(own(t.base), own(t.head), diff))
+
+
+@query("WITH o AS (SELECT DISTINCT f, t, kind FROM {dep_base}), n AS (SELECT DISTINCT f, t, kind FROM {dep} WHERE l_shipdate >= TIMESTAMP '1993-01-01 00:00:00') SELECT *, 'ADDED' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) x UNION ALL SELECT *, 'REMOVED' FROM (SELECT * FROM o EXCEPT SELECT * FROM n) y")
+def unresolved_delta(t: Tables) -> DataFrame:
+    """References that only one of two versions has."""
+    key = ["f", "t", "kind"]
+    return changes.row_delta(t.dep_base.select(*key), t.dep.filter("l_shipdate >= timestamp '1993-01-01 00:00:00'").select(*key))
+
+
+@query("SELECT o_custkey AS owner, md5(string_agg(md5(concat(o_orderstatus, o_orderpriority)), '' ORDER BY o_orderkey)) AS fp FROM {orders} GROUP BY o_custkey")
+def merged_fingerprint(t: Tables) -> DataFrame:
+    """The fingerprint of a declaration that is made of several parts."""
+    parts = t.orders.select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("place"), F.md5(F.concat("o_orderstatus", "o_orderpriority")).alias("fp"))
+    return parts.groupBy("owner").agg(paths.merged_fingerprint("place", "fp").alias("fp"))

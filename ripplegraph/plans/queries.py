@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ripplegraph.functions import paths
 from ripplegraph.operators import architecture as arch
-from ripplegraph.operators import assessment, changes, evidence, graph, selection
+from ripplegraph.operators import assessment, changes, evidence, exports, extraction, graph, selection
+from ripplegraph.plans import store
 from ripplegraph.schema import MAX_DEPTH, MAX_IMPACTED, evidence_name
 from ripplegraph.session import written
 from ripplegraph.sources.adapters import load, sql
@@ -108,6 +109,21 @@ def impact_bfs(t: Tables) -> DataFrame:
     return _impact(t, "part:7")
 
 
+def hops_sql(root: str) -> str:
+    """impact_sql with the hops that lead to each symbol."""
+    text = impact_sql(root, MAX_IMPACTED)
+    text = text.replace("via AS via_dispatch,", "via AS via_dispatch, list_append(p.hops, concat_ws(' ', f, kind, t)) AS hops,").replace("false AS via_dispatch, cast(0", "false AS via_dispatch, cast([] as varchar[]) AS hops, cast(0")
+    text = text.replace("root, via_dispatch, row_number()", "root, via_dispatch, hops, row_number()").replace("root, via_dispatch, (SELECT", "root, via_dispatch, hops, (SELECT")
+    return text.replace("SELECT id, depth, strength, parent, root, via_dispatch FROM v6", "SELECT id, depth, array_to_string(hops, ' > ') AS path FROM v6")
+
+
+@query(hops_sql("part:7"))
+def impact_paths(t: Tables) -> DataFrame:
+    """The path that explains every impacted symbol, from the root on."""
+    got = graph.impact(written(graph_of(t), "graph"), t.spark.createDataFrame([("part:7",)], "id string")).reached
+    return got.select("id", "depth", F.array_join("hops", " > ").alias("path"))
+
+
 @query(impact_sql("supplier:3", 700))
 def impact_truncated(t: Tables) -> DataFrame:
     return _impact(t, "supplier:3", 700)
@@ -699,30 +715,27 @@ def resolve_relative_import(t: Tables) -> DataFrame:
     """An import's candidates in order; the first that is a file."""
     s = F.col("p_size").cast("string")
     c = t.part.select(F.col("p_partkey").alias("id"), F.posexplode(F.array(F.concat(F.lit("src/part/"), s), F.concat(F.lit("src/part/"), s, F.lit(".ts")), F.concat(F.lit("src/supplier/"), s, F.lit(".ts")))).alias("n", "path"))
-    hit = c.join(t.sym.select(F.col("file").alias("path")).distinct(), "path", "left_semi").groupBy("id").agg(F.min_by("path", "n").alias("path"))
+    hit = exports.first_files(c, t.sym.select(F.col("file").alias("path")), ["id"])
     return t.part.select(F.col("p_partkey").alias("id")).join(hit, "id", "left")
 
 
 @query("SELECT doc_id, CASE WHEN n = 1 THEN title ELSE concat(title, ' #', cast(n as string)) END AS title FROM (SELECT doc_id, concat(source, ' ', lang) AS title, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM {documents}) x")
 def dedupe_titles(t: Tables) -> DataFrame:
-    titled = graph.Window.partitionBy("source", "lang").orderBy("doc_id")
-    n = t.documents.select("doc_id", F.concat("source", F.lit(" "), "lang").alias("title"), F.row_number().over(titled).alias("n"))
-    return n.select("doc_id", F.when(F.col("n") == 1, F.col("title")).otherwise(F.concat("title", F.lit(" #"), F.col("n").cast("string"))).alias("title"))
+    titled = t.documents.select("doc_id", F.concat("source", F.lit(" "), "lang").alias("title"))
+    return extraction.numbered_titles(titled, "title", [F.col("doc_id")]).select("doc_id", "title")
 
 
 @query("SELECT path, blob, CASE WHEN n = 1 THEN fqn ELSE concat(fqn, '@', path) END AS id FROM (SELECT path, blob, concat('java:', substr(blob, 1, 2)) AS fqn, row_number() OVER (PARTITION BY substr(blob, 1, 2) ORDER BY path) AS n FROM {files}) x")
 def canonical_types(t: Tables) -> DataFrame:
     """Of types of one name the first by path keeps it; the others' ids carry their paths."""
-    first = graph.Window.partitionBy("fqn").orderBy("path")
-    n = t.files.select("path", "blob", F.concat(F.lit("java:"), F.substring("blob", 1, 2)).alias("fqn")).withColumn("n", F.row_number().over(first))
-    return n.select("path", "blob", F.when(F.col("n") == 1, F.col("fqn")).otherwise(F.concat("fqn", F.lit("@"), "path")).alias("id"))
+    return extraction.canonical_types(t.files.select("path", "blob", F.concat(F.lit("java:"), F.substring("blob", 1, 2)).alias("fqn"))).select("path", "blob", "id")
 
 
 @query("SELECT path, blob FROM {files} f WHERE NOT EXISTS (SELECT 1 FROM {files} c WHERE c.doc_id % 3 = 0 AND c.blob = f.blob AND c.path = f.path)")
 def fact_cache_misses(t: Tables) -> DataFrame:
     """Files whose facts are not stored yet: only these are parsed."""
     f = t.files.select("path", "blob", "doc_id")
-    return f.join(f.filter("doc_id % 3 = 0").select("path", "blob"), ["path", "blob"], "left_anti").select("path", "blob")
+    return store.missing_facts(f, f.filter("doc_id % 3 = 0")).select("path", "blob")
 
 
 @query("WITH RECURSIVE p AS (SELECT concat(cast(conv_id as string), ':', cast(turn as string)) AS c, concat(cast(conv_id as string), ':', cast(turn - 1 as string)) AS p FROM {conversations} WHERE turn > 1), a AS (SELECT c AS start, p AS ancestor, 1 AS distance FROM p UNION ALL SELECT a.start, p.p, a.distance + 1 FROM a JOIN p ON p.c = a.ancestor) SELECT start AS id, ancestor, distance FROM a")
