@@ -6,6 +6,9 @@ of that kind, and a value's score is the noisy-or of its confident patterns. Sco
 graph until none changes; values that reach KNOWN join the kind (and keep it), count in every pattern of theirs from then on,
 and their occurrences outside base spans are added. Scores have three places and only rise, so the rounds end.
 
+What may be added is a word with a digit or an at sign that has five characters at least without the punctuation around it; a name of letters alone is not
+added, however sure its contexts are.
+
 Cases: null text counts as empty; a text without hits has an empty list; rows that repeat a doc_id and text get equal
 results each; a null doc_id is kept; spans of one kind never overlap; an added span never overlaps a base one; ties at one start go by
 KINDS order; other columns are not read. Very long texts are read whole; contexts reach CONTEXT characters from a span."""
