@@ -68,10 +68,11 @@ BROADCAST_ROWS = 200_000
 
 def steps(edges: DataFrame) -> DataFrame:
     """n, nxt, the edge's columns, via: one step of impact. Against every edge that carries impact; along overrides as well (dispatch)."""
-    e = edges.select(*EDGE_ORDER, "kind", "strength")
-    back = e.filter(~F.col("kind").isin(*SILENT_KINDS)).select(F.col("t").alias("n"), F.col("f").alias("nxt"), "*", F.lit(False).alias("via"))
-    along = e.filter("kind = 'OVERRIDES'").select(F.col("f").alias("n"), F.col("t").alias("nxt"), "*", F.lit(True).alias("via"))
-    return back.union(along)
+    # Both kinds of step in one pass over the edges.
+    back = F.when(~F.col("kind").isin(*SILENT_KINDS), F.struct(F.col("t").alias("n"), F.col("f").alias("nxt"), F.lit(False).alias("via")))
+    along = F.when(F.col("kind") == "OVERRIDES", F.struct(F.col("f").alias("n"), F.col("t").alias("nxt"), F.lit(True).alias("via")))
+    e = edges.select(*EDGE_ORDER, "kind", "strength", F.explode(F.array_compact(F.array(back, along))).alias("step"))
+    return e.select("step.n", "step.nxt", *EDGE_ORDER, "kind", "strength", "step.via")
 
 
 def _rank(*payload: Column) -> Column:
@@ -82,17 +83,17 @@ def _rank(*payload: Column) -> Column:
 def impact(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH, max_impacted: int = MAX_IMPACTED) -> Impact:
     """What depends on the roots (id), level by level, each with its best explaining parent.
 
-    The steps are written once, sorted by where they start. A level joins them with the frontier, takes the best way into each new
+    The steps are written once. A level joins them with the frontier, takes the best way into each new
     symbol, and writes what it found with its path: nothing but numbers of rows comes to the driver. Any number of roots may be given; max_impacted
     bounds what is reached, and with it every frontier but the first."""
     spark = edges.sparkSession
-    step = written(steps(edges).repartition("n").sortWithinPartitions("n"), "steps")
+    step = written(steps(edges), "steps")
     start = roots.select("id").distinct().select("id", F.lit(5).alias("weakest"), F.col("id").alias("root"), F.array().cast("array<string>").alias("hops"))
-    frontier = written(start, "frontier")
+    frontier = bounded_broadcast(written(start, "frontier"), BROADCAST_ROWS)
     seen, found, left, truncated = frontier.select("id"), None, max_impacted, False
     for depth in range(1, max_depth + 1):
         hop = F.concat_ws(" ", "f", "kind", "t")
-        ways = step.join(bounded_broadcast(frontier, BROADCAST_ROWS), F.col("n") == F.col("id")).select("nxt", _rank("root", F.array_append("hops", hop).alias("hops")).alias("r"))
+        ways = step.join(frontier, F.col("n") == F.col("id")).select("nxt", _rank("root", F.array_append("hops", hop).alias("hops")).alias("r"))
         best = ways.groupBy("nxt").agg(F.min("r").alias("r")).join(seen.select(F.col("id").alias("nxt")), "nxt", "left_anti")
         level = best.select(F.col("nxt").alias("id"), F.lit(depth).alias("depth"), (-F.col("r.s")).alias("strength"), "r.parent", "r.root", F.col("r.via").alias("via_dispatch"), "r.hops")
         level = written(level.orderBy("id").limit(left + 1), "level")
@@ -105,6 +106,7 @@ def impact(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH, max_i
         if not n or truncated:
             break
         frontier = level.select("id", F.col("strength").alias("weakest"), "root", "hops")
+        frontier = F.broadcast(frontier) if n <= BROADCAST_ROWS else frontier
         seen = seen.union(level.select("id"))
     return Impact(found if found is not None else spark.createDataFrame([], _REACHED), truncated)
 
@@ -114,7 +116,7 @@ _REACHED = "id string, depth int, strength int, parent string, root string, via_
 
 def impact_many(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """query, id, depth, strength, parent for many roots (query, id) at once, without a cap: frontiers and visited symbols stay on the cluster."""
-    step = written(steps(edges).repartition("n").sortWithinPartitions("n"), "steps")
+    step = written(steps(edges), "steps")
     frontier = written(roots.select("query", "id", F.lit(5).alias("weakest")).distinct(), "frontier")
     seen = frontier.select("query", "id")
     found = None

@@ -99,8 +99,8 @@ def impact_sql(root: str, cap: int, depth: int = MAX_DEPTH) -> str:
 
 
 def _impact(t: Tables, root: str, cap: int = MAX_IMPACTED) -> DataFrame:
-    # The traversal scans the graph once for each level: it is deduplicated once, before.
-    got = graph.impact(written(graph_of(t), "graph"), t.spark.createDataFrame([(root,)], "id string"), max_impacted=cap)
+    # The traversal writes the steps of the deduplicated graph once, and reads them for each level.
+    got = graph.impact(graph_of(t), t.spark.createDataFrame([(root,)], "id string"), max_impacted=cap)
     return got.reached.drop("hops")
 
 
@@ -120,7 +120,7 @@ def hops_sql(root: str) -> str:
 @query(hops_sql("part:7"))
 def impact_paths(t: Tables) -> DataFrame:
     """The path that explains every impacted symbol, from the root on."""
-    got = graph.impact(written(graph_of(t), "graph"), t.spark.createDataFrame([("part:7",)], "id string")).reached
+    got = graph.impact(graph_of(t), t.spark.createDataFrame([("part:7",)], "id string")).reached
     return got.select("id", "depth", F.array_join("hops", " > ").alias("path"))
 
 
@@ -145,7 +145,7 @@ def many_sql(depth: int) -> str:
 @query(many_sql(2))
 def impact_of_every_part(t: Tables) -> DataFrame:
     roots = t.part.select(F.col("p_partkey").alias("query"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
-    return graph.impact_many(written(graph_of(t), "graph"), roots, 2)
+    return graph.impact_many(graph_of(t), roots, 2)
 
 
 ALL_PARTS = "SELECT concat('part:', cast(p_partkey as string)) AS id FROM {part}"
@@ -154,7 +154,7 @@ ALL_PARTS = "SELECT concat('part:', cast(p_partkey as string)) AS id FROM {part}
 @query(impact_sql(ALL_PARTS, MAX_IMPACTED))
 def impact_of_all_parts(t: Tables) -> DataFrame:
     """One traversal from more roots than may be reached."""
-    got = graph.impact(written(graph_of(t), "graph"), t.spark.sql(ALL_PARTS, part=t.part))
+    got = graph.impact(graph_of(t), t.spark.sql(ALL_PARTS, part=t.part))
     return got.reached.drop("hops")
 
 
