@@ -100,6 +100,23 @@ def findings(candidates: DataFrame) -> DataFrame:
     return first.select("rule", "x.level", "x.path", "x.line", "x.message", "fingerprint")
 
 
+def leveled(candidates: DataFrame, gates: DataFrame) -> DataFrame:
+    """candidates (rule and more) with level: error, warning or note, as the gate (gate, status) of the rule's name fails, warns, or neither."""
+    status = gates.select(F.col("gate").alias("rule"), "status")
+    level = F.when(F.col("status") == "FAIL", "error").when(F.col("status") == "WARN", "warning").otherwise("note")
+    return candidates.join(F.broadcast(status), "rule", "left").withColumn("level", level).drop("status")
+
+
+def located_findings(candidates: DataFrame, gates: DataFrame) -> DataFrame:
+    """rule, level, path, line, message, fingerprint of candidates (rule, path, line, message, identity: an array of strings), one for each rule and identity, the first by place.
+
+    The fingerprint is that of the rule and the identity, which holds no lines: it stays when code above moves."""
+    print_ = F.md5(F.concat_ws("", F.transform(F.concat(F.array("rule"), "identity"), lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x))))
+    rows = leveled(candidates, gates).withColumn("fingerprint", print_)
+    first = rows.groupBy("rule", "fingerprint").agg(F.min(F.struct("path", F.when(F.col("line").isNotNull(), F.greatest("line", F.lit(1))).alias("line"), "level", "message")).alias("x"))
+    return first.select("rule", "x.level", "x.path", "x.line", "x.message", "fingerprint")
+
+
 #: Uncertainties by severity, in order: fixed values.
 SEVERITIES = ("high", "medium", "low")
 _ROW = "severity string, kind string, file string, line int, symbol string, detail string"

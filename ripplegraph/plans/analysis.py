@@ -50,6 +50,7 @@ class Analysis(NamedTuple):
     verdict: DataFrame
     truncated: bool
     hunks: DataFrame
+    findings: DataFrame
 
 
 def snapshot(spark: SparkSession, root: str, index: str | None = None) -> Snapshot:
@@ -236,7 +237,20 @@ def analyze(base: Snapshot, head: Snapshot, policy: Policy, recorded: Evidence |
     found_ = found_.union(gate(spark.range(int(policy_changed)), "config_changed")).union(gate(spark.range(len(policy_errors or [])), "config_invalid"))
     levels = spark.createDataFrame(sorted(policy.levels.items()), "gate string, level string")
     gates = written(assessment.verdicts(found_, levels), "gates")
-    return Analysis(files, changed, impacted, tests, reasons, chosen, doubt, violations, cycles, surface, owners, signals, assessment.risk(signals), gates, assessment.worst(gates), truncated, hunks)
+    # Findings: where the new violations, breaking changes, unparsed files and the policy's errors are
+    at = head_deps.groupBy("f", "t", "kind").agg(F.min(F.struct("file", "line")).alias("at"))
+    bad = new_bad.select("f", "t", "kind").join(head_bad, ["f", "t", "kind"]).join(at, ["f", "t", "kind"])
+    lines = head.symbols.select("id", "file", "start_line").union(base.symbols.join(head.symbols.select("id"), "id", "left_anti").select("id", "file", "start_line"))
+    api_at = breaking.select("id", "change").join(lines, "id")
+    row = lambda df, rule, path, line, message, *identity: df.select(F.lit(rule).alias("rule"), path.alias("path"), line.cast("int").alias("line"), message.alias("message"), F.array(*identity).alias("identity"))
+    candidates = row(bad, "new_architecture_violation", F.col("at.file"), F.col("at.line"), F.concat("a", F.lit(" must not depend on "), "b", F.lit(": "), "f", F.lit(" -> "), "t"), F.col("f"), F.col("t"), F.col("kind"), F.col("rule").cast("string"))
+    candidates = candidates.union(row(api_at, "breaking_api_change", F.col("file"), F.col("start_line"), F.concat_ws(" ", F.lit("public API"), "change", "id"), F.col("change"), F.col("id")))
+    not_read = doubt.filter("severity = 'high' and kind in ('SYNTAX_ERROR', 'PARSE_FAILURE', 'FILE_TOO_LARGE') and file is not null")
+    candidates = candidates.union(row(not_read, "parse_failure_in_changed_file", F.col("file"), F.col("line"), F.concat("detail", F.lit("; symbols in it may be missing")), F.col("file"), F.col("kind")))
+    errors = spark.createDataFrame([(e,) for e in policy_errors or []], "error string")
+    candidates = candidates.union(row(errors, "config_invalid", F.lit(None).cast("string"), F.lit(None), F.concat(F.lit("the policy cannot be read: "), "error"), F.col("error")))
+    findings = written(assessment.located_findings(candidates, gates), "findings")
+    return Analysis(files, changed, impacted, tests, reasons, chosen, doubt, violations, cycles, surface, owners, signals, assessment.risk(signals), gates, assessment.worst(gates), truncated, hunks, findings)
 
 
 def report(a: Analysis) -> dict[str, DataFrame]:
@@ -250,5 +264,6 @@ def report(a: Analysis) -> dict[str, DataFrame]:
         "uncertainty": assessment.listed(a.uncertainty.withColumn("ord", ordinal("severity", assessment.SEVERITIES)), ["ord", "kind", "file", "line", "symbol", "detail"], LIST_CAP),
         "violations": assessment.listed(a.violations, ["f", "t", "kind"], LIST_CAP),
         "api": assessment.listed(a.surface, ["id", "change"], LIST_CAP),
+        "findings": assessment.listed(a.findings, ["path", "line", "rule", "fingerprint"], LIST_CAP),
         "owners": assessment.listed(a.owners, ["owner"], LIST_CAP),
     }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import paths
-from ripplegraph.operators import changes, exports, hierarchy, syntax
+from ripplegraph.operators import assessment, changes, exports, hierarchy, syntax
 from ripplegraph.plans import store
 from ripplegraph.plans.queries import Tables, query
 from ripplegraph.session import shared_dir
@@ -116,3 +116,15 @@ def merged_fingerprint(t: Tables) -> DataFrame:
     """The fingerprint of a declaration that is made of several parts."""
     parts = t.orders.select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("place"), F.md5(F.concat("o_orderstatus", "o_orderpriority")).alias("fp"))
     return parts.groupBy("owner").agg(paths.merged_fingerprint("place", "fp").alias("fp"))
+
+
+GATES = "SELECT r_name AS gate, CASE r_regionkey % 3 WHEN 0 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS status FROM {region} WHERE r_regionkey < 4"
+SPOTS = "SELECT r_name AS rule, CASE WHEN s_suppkey % 5 = 0 THEN cast(null as string) ELSE concat('src/', n_name) END AS path, cast(s_suppkey % 7 - 1 as int) AS line, s_name AS message, n_name AS x, cast(s_suppkey % 3 as string) AS y FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey"
+
+
+@query(f"""WITH g AS ({GATES}), c AS ({SPOTS}), l AS (SELECT c.*, CASE g.status WHEN 'FAIL' THEN 'error' WHEN 'WARN' THEN 'warning' ELSE 'note' END AS level, md5(concat(length(rule), ':', rule, length(x), ':', x, length(y), ':', y)) AS fingerprint FROM c LEFT JOIN g ON g.gate = c.rule)
+SELECT rule, level, path, line, message, fingerprint FROM (SELECT rule, level, path, greatest(line, 1) AS line, message, fingerprint, row_number() OVER (PARTITION BY rule, fingerprint ORDER BY path NULLS FIRST, greatest(line, 1), level, message) AS k FROM l) z WHERE k = 1""")
+def located_findings(t: Tables) -> DataFrame:
+    """Findings with the levels that their gates give them, one for each identity."""
+    spots = t.spark.sql(SPOTS, supplier=t.supplier, nation=t.nation, region=t.region).withColumn("identity", F.array("x", "y"))
+    return assessment.located_findings(spots, t.spark.sql(GATES, region=t.region))

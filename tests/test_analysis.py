@@ -101,6 +101,10 @@ def test_analysis(spark, two):
     assert len(gates) == 8 and gates["new_cycle"] == gates["breaking_api_change"] == "WARN" and gates["config_invalid"] == "PASS" and a.verdict.first()["result"] == "WARN"
     assert {r["reason"]: r["severity"] for r in a.reasons.collect()}["MIGRATION"] == "HIGH"
     assert tuple(a.selection.first())[:2] == ("BALANCED", "FULL_SUITE")
+    found = {(r["rule"], r["level"], r["path"]) for r in a.findings.collect()}
+    assert ("breaking_api_change", "warning", "src/main/shop/api/Cart.java") in found and {x[0] for x in found} >= {"breaking_api_change", "new_architecture_violation"}
+    hunks = {(r["path"], r["old_start"], r["new_start"]): r for r in a.hunks.collect()}
+    assert any("java:shop.Price#unit" in r["head_symbols"] for r in hunks.values()) and ("db/migrate/2.sql", 0, 1) not in hunks
     lists = analysis.report(a)
     assert all(df.count() >= 0 for df in lists.values()) and lists["changed"].first()["of"] == len(changed)
     assert analysis.check(two[1], POLICY).count() == 1
