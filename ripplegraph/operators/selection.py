@@ -35,17 +35,19 @@ def recommended(changed: DataFrame, impacted: DataFrame, symbols: DataFrame, con
     """id, reason, depth, strength, root.
 
     Changed tests recommend themselves, other changed symbols their container; impacted units themselves; impacted
-    containers themselves unless a unit of theirs is impacted; what else is impacted in a container recommends that."""
+    containers themselves unless a unit of theirs is impacted; what else is impacted in a container recommends that. Coverage is recorded by container: one that is reached
+    along coverage (impacted has a column `measured`) stays although a unit of its is impacted. Of equal recommendations the one of the first symbol by id counts."""
     s = symbols.select("id", "is_test", "is_unit")
     c = changed.filter("change <> 'DELETED'").select("id").join(s, "id").join(container, "id", "left")
-    own = c.select(F.when(F.col("is_test"), F.col("id")).otherwise(F.col("container")).alias("test"), F.lit(0).alias("reason_ord"), F.lit(0).alias("depth"), F.lit(5).alias("strength"), F.col("id").alias("root"))
-    i = impacted.select("id", "depth", "strength", "root").join(s, "id").join(container, "id", "left")
-    busy = i.filter("is_unit and container is not null").select(F.col("container").alias("id")).distinct()
-    units = i.filter("is_unit").select("id", F.lit(1).alias("reason_ord"), "depth", "strength", "root")
-    whole = i.filter("is_test and not is_unit").join(busy, "id", "left_anti").select("id", F.lit(1), "depth", "strength", "root")
-    inside = i.filter("not is_test and container is not null").select("container", F.lit(1), "depth", "strength", "root")
-    every = own.filter("test is not null").toDF("id", "reason_ord", "depth", "strength", "root").union(units).union(whole).union(inside)
-    first = first_recommendations(every.withColumn("seq", F.col("root")))
+    own = c.select(F.when(F.col("is_test"), F.col("id")).otherwise(F.col("container")).alias("test"), F.lit(0).alias("reason_ord"), F.lit(0).alias("depth"), F.lit(5).alias("strength"), F.col("id").alias("root"), F.col("id").alias("seq"))
+    measured = F.coalesce("measured", F.lit(False)) if "measured" in impacted.columns else F.lit(False)
+    i = impacted.select("id", "depth", "strength", "root", measured.alias("measured")).join(s, "id").join(container, "id", "left")
+    busy = i.filter("is_unit and container is not null").select(F.col("container").alias("id")).distinct().withColumn("busy", F.lit(True))
+    units = i.filter("is_unit").select("id", F.lit(1).alias("reason_ord"), "depth", "strength", "root", F.col("id").alias("seq"))
+    whole = i.filter("is_test and not is_unit").join(busy, "id", "left").filter("busy is null or measured").select("id", F.lit(1), "depth", "strength", "root", "id")
+    inside = i.filter("not is_test and container is not null").select("container", F.lit(1), "depth", "strength", "root", "id")
+    every = own.filter("test is not null").toDF("id", "reason_ord", "depth", "strength", "root", "seq").union(units).union(whole).union(inside)
+    first = first_recommendations(every)
     return first.select("id", F.when(F.col("reason_ord") == 0, "CHANGED_TEST").otherwise("STATIC_PATH").alias("reason"), "depth", "strength", "root")
 
 

@@ -148,8 +148,9 @@ def analyze(base: Snapshot, head: Snapshot, policy: Policy, recorded: Evidence |
 
     # Tests
     container = selection.containers(graph.parent_closure(head.symbols), head.symbols)
-    found = selection.recommended(changed, impacted.select("id", "depth", "strength", "root"), head.symbols, container)
-    hops = impacted.select("id", F.array(F.exists("hops", lambda h: F.contains(h, F.lit(" TESTS ")))).alias("observed"))
+    measured = F.exists("hops", lambda h: F.contains(h, F.lit(" TESTS ")))
+    found = selection.recommended(changed, impacted.select("id", "depth", "strength", "root", measured.alias("measured")), head.symbols, container)
+    hops = impacted.select("id", F.array(measured).alias("observed"))
     found = found.join(hops, "id", "left").withColumn("observed", F.coalesce("observed", F.array(F.lit(False)))).withColumn("strengths", F.array("strength")).withColumn("tier", selection.tier())
     if recorded.history is not None:
         found = found.join(evidence.reliability(recorded.history).select(F.col("test").alias("id"), "reliability", F.col("median_ms").alias("duration_ms")), "id", "left")
