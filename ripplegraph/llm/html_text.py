@@ -299,7 +299,7 @@ def _put_in(page: list[tuple[Block, float]], r: np.random.Generator, phrases: li
     """A copy of the page's blocks and labels with boilerplate of several kinds around and between them, and paths as other sites have them."""
     noise = sorted(_NOISE - {"head"})
     around = ("body", "div", "section", "ul", "li", "p", "span")
-    renamed = _ARTICLES[int(r.integers(2))] if r.random() < 0.6 else _ARTICLES[int(r.integers(len(_ARTICLES)))]
+    renamed = _ARTICLES[int(r.integers(2))] if r.random() < 0.4 else _ARTICLES[int(r.integers(len(_ARTICLES)))]
     # Containers on the way to the content: their own words say nothing.
     outer = tuple(str(x) for x in r.choice(["div", "section", "wrapper", "page", "content", "container", "post", "entry", "body"], int(r.integers(0, 4))))
     out = [(b._replace(words=(*b.path[:2], *outer, *(x for t in b.path[2:] for x in (renamed if t in _CONTENT else (t,))))), yes) for b, yes in page]
@@ -331,7 +331,9 @@ def fit(pages: DataFrame) -> Labeller:
         seen.append([(Block(_ROOT, text, links, path), weak_label(path)) for path, text, links in ((("html", "body", "nav"), "home", 1.0), (("html", "body", "article", "p"), "A sentence of some length, as articles have them.", 0.0), (("html", "body", "footer"), "imprint", 0.5))])
     r = np.random.default_rng(SEED)
     phrases = [b.text for page in seen for b, _ in page]
-    seen = [*seen, *(_put_in(page, r, phrases) for page in seen for _ in range(COPIES))]
+    # Of few pages there are more copies, so that the net takes as many steps.
+    copies = max(COPIES, -(-TRAIN_PAGES * (COPIES + 1) // len(seen)) - 1)
+    seen = [*seen, *(_put_in(page, r, phrases) for page in seen for _ in range(copies))]
     return Labeller().train([vectors([b for b, _ in page]) for page in seen], [np.array([yes for _, yes in page], dtype=np.float32) for page in seen])
 
 
