@@ -37,3 +37,20 @@ def test_first_critical_symbols_need_no_rows_of_tests_and_symbols(spark, rows_wr
     got = graph.first_critical(edges(spark, rows), one(f"t{i:02}" for i in range(40)), one(["b07", "b05"]), 3).collect()
     assert {tuple(r) for r in got} == {(f"t{i:02}", "b05", 2) for i in range(40)}
     assert max(counts) <= len(rows)
+
+
+def test_overrides_make_no_pairs_of_methods(spark):
+    r = random.Random(5)
+    methods = [(i, f"o{r.randrange(4)}", f"m{r.randrange(2)}", str(r.randrange(2)), str(r.randrange(4))) for i in range(400)]
+    supers = [(f"o{i}", f"o{j}", i - j) for i in range(4) for j in range(i)]
+    m = spark.createDataFrame(methods, "id int, owner string, name string, params string, signature string")
+    want = {}
+    for i, owner, name, params, signature in methods:
+        found = [(d, j, 5 if signature == s else 3) for o, above, d in supers if o == owner for j, other, n, p, s in methods if (other, n, p) == (above, name, params)]
+        if found:
+            want[i] = min(found)[1:]
+    got = graph.overrides(m, spark.createDataFrame(supers, "owner string, above string, distance int"))
+    assert {x["f"]: (x["t"], x["strength"]) for x in got.collect()} == want and len(want) > 100
+    # No method meets another one: methods are joined with what is above their owners, of which there is one a name and parameters.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join") and plan.count("Aggregate") >= 3
