@@ -134,8 +134,8 @@ def cycle_edges(t: Tables) -> DataFrame:
 
 @query(reached_sql(f"SELECT s.id, s.kind, s.file, (SELECT count(*) FROM e WHERE t = 'part:7') AS incoming, (SELECT count(*) FROM e WHERE f = 'part:7') AS outgoing, (SELECT count(*) FROM v6 WHERE depth > 0) AS impacted, (SELECT count(*) FROM v6 v JOIN {{sym}} y ON y.id = v.id WHERE v.depth > 0 AND y.is_test) AS tests FROM {{sym}} s WHERE s.id = 'part:7'"))
 def symbol_info(t: Tables) -> DataFrame:
-    e = written(graph_of(t), "graph")
-    reached = graph.impact(e, t.spark.createDataFrame([("part:7",)], "id string")).reached
+    e = graph_of(t)
+    reached = graph.impact(t.edge_raw, t.spark.createDataFrame([("part:7",)], "id string")).reached
     return graph.symbol_info(e, t.sym, written(reached, "reached"), "part:7")
 
 

@@ -77,3 +77,27 @@ def test_innermost_symbols_equal_all_pairs(spark, rows_written):
         want[file, line] = min(around)[1] if around else f"file:{file}"
     # A span of 200 lines has 14 blocks at most; no row for a line and a symbol around it.
     assert got == want and max(counts) <= 14 * len(syms)
+
+
+def test_impact_writes_no_graph(spark, rows_written):
+    rows = [("b", "a", "CALLS", 5, 1), ("c", "b", "CALLS", 5, 2)] + [(f"x{i}", f"y{i}", "CALLS", 5, 1) for i in range(300)]
+    counts = rows_written(graph)
+    one = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    got = graph.impact(edges(spark, rows), one("a")).reached.collect()
+    assert {(r["id"], r["depth"]) for r in got} == {("b", 1), ("c", 2)}
+    assert [h["t"] for h in graph.dependency_path(edges(spark, rows), "c", "a").hops.orderBy("hop").collect()] == ["b", "a"]
+    assert max(counts) <= 2
+
+
+def test_impact_of_a_frontier_that_is_not_broadcast(spark, monkeypatch):
+    r = random.Random(11)
+    rows = list({(f"s{r.randrange(40):02}", f"s{r.randrange(40):02}", r.choice(["CALLS", "OVERRIDES", "CONTAINS"])): 0 for _ in range(150)})
+    # Of edges of one (f, t, kind) the one with the best evidence counts, whether they were brought down to it before or not.
+    rows = [(*x, s, line) for x in rows for s, line in ((5, 2), (3, 1))]
+    roots = spark.createDataFrame([(f"s{i:02}",) for i in range(6)], "id string")
+    for cap in (5000, 9):
+        want = graph.impact(graph.graph_edges(edges(spark, rows)), roots, max_impacted=cap)
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", 1)
+        got = graph.impact(edges(spark, rows), roots, max_impacted=cap)
+        monkeypatch.undo()
+        assert sorted(map(str, got.reached.collect())) == sorted(map(str, want.reached.collect())) and got.truncated == want.truncated
