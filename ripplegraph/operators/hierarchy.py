@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.operators.graph import parent_closure
@@ -32,15 +32,30 @@ def method_candidates(calls: DataFrame, closure: DataFrame, beyond: DataFrame, m
     less is enough); of one signature the nearest, then the least id. One candidate is FOUND exactly (5); several are all FOUND, inferred (3). Without any a call is EXTERNAL where the
     hierarchy leaves the code base or every class has the method, else NOT_FOUND."""
     calls = written(calls.select("call", "type", "name", F.col("arity").cast("int").alias("arity")), "calls")
+    # Whatever the call, of a type's methods of one name, signature and number of parameters only the nearest can be meant.
     own = methods.select(F.col("id").alias("method"), F.col("owner").alias("above"), "name", "signature", F.col("params").cast("int").alias("params"), "varargs")
+    own = own.groupBy("above", "name", "signature", "params", "varargs").agg(F.min("method").alias("method"))
     fits = F.col("arity").isNull() | F.when(F.col("varargs"), F.col("arity") + 1 >= F.col("params")).otherwise(F.col("arity") == F.col("params"))
-    # The closure is joined for the types and names that are called, once each.
-    asked = calls.select("type", "name").distinct()
-    there = written(asked.join(closure.withColumnRenamed("id", "type"), "type").join(own, ["above", "name"]), "candidates")
-    found = calls.join(there, ["type", "name"]).filter(fits)
-    best = found.groupBy("call", "signature").agg(F.min(F.struct("distance", "method"))["method"].alias("method"))
-    several = F.count(F.lit(1)).over(Window.partitionBy("call")) > 1
-    hit = written(best.select("call", "method", F.when(several, 3).otherwise(5).alias("strength"), F.lit("FOUND").alias("status")), "methods")
-    rest = calls.join(hit.select("call"), "call", "left_anti").join(beyond.select(F.col("id").alias("type"), F.lit(True).alias("leaves")), "type", "left")
-    status = F.when(F.coalesce("leaves", F.lit(False)) | F.col("name").isin(*OBJECT_METHODS), "EXTERNAL").otherwise("NOT_FOUND")
-    return hit.unionByName(rest.select("call", F.lit(None).cast("string").alias("method"), F.lit(None).cast("int").alias("strength"), status.alias("status")))
+    nearest = lambda df, *key: df.groupBy(*key, "signature").agg(F.min(F.struct("distance", "method")).alias("x")).select(*key, "signature", "x.*")
+    # What is meant is found once for each type, name and arity, the signatures of which a call gets as they are.
+    asked = written(calls.select("type", "name", "arity").distinct(), "asked")
+    there = asked.select("type", "name").distinct().join(closure.withColumnRenamed("id", "type"), "type").join(own, ["above", "name"])
+    there = written(nearest(there, "type", "name", "params", "varargs"), "candidates")
+    found = nearest(asked.join(there, ["type", "name"]).filter(fits), "type", "name", "arity")
+    meant = written(found.groupBy("type", "name", "arity").agg(F.collect_list(F.struct("signature", "distance", "method")).alias("found")), "meant")
+    same = [F.col("type") == F.col("_type"), F.col("name") == F.col("_name"), F.col("arity").eqNullSafe(F.col("_arity"))]
+    told = calls.join(meant.select(F.col("type").alias("_type"), F.col("name").alias("_name"), F.col("arity").alias("_arity"), "found"), same, "left").select("call", "type", "name", "found")
+    # A call that has several rows has the nearest of all of them.
+    again = written(calls.groupBy("call").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("call"), "again")
+    once = told
+    if not again.isEmpty():
+        once = told.join(again, "call", "left_anti")
+        several = told.join(again, "call", "left_semi")
+        each = nearest(several.select("call", F.inline("found")), "call").groupBy("call").agg(F.collect_list(F.struct("signature", "distance", "method")).alias("found"))
+        rest = several.join(each.select("call"), "call", "left_anti")
+        once = once.unionByName(each.select("call", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("name"), "found")).unionByName(rest)
+    strength = F.when(F.size("found") > 1, 3).otherwise(5)
+    leaves = beyond.select(F.col("id").alias("type"), F.lit(True).alias("leaves"))
+    status = F.when(F.col("found").isNotNull(), "FOUND").when(F.coalesce("leaves", F.lit(False)) | F.col("name").isin(*OBJECT_METHODS), "EXTERNAL").otherwise("NOT_FOUND")
+    out = once.join(leaves, "type", "left").select("call", F.when(F.col("found").isNotNull(), strength).alias("strength"), status.alias("status"), "found")
+    return out.select("call", "strength", "status", F.explode_outer("found.method").alias("method")).select("call", "method", "strength", "status")

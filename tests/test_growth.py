@@ -64,21 +64,6 @@ def test_lines_without_their_ends(spark):
     assert got == {("d/1.ts", "a/1.ts", 57), ("d/2.ts", "a/2.ts", 66), ("d/3.ts", "a/3.ts", 100), ("d/2.ts", "a/3.ts", 66)}
 
 
-def test_innermost_symbols_equal_all_pairs(spark, rows_written):
-    r = random.Random(9)
-    syms = [(f"s{i:03}", f"f{r.randrange(2)}", a, a + r.choice([-1, 0, 0, 1, 2, 5, 30, 200])) for i, a in ((i, r.randrange(-5, 300)) for i in range(300))]
-    points = [(f"f{r.randrange(3)}", r.randrange(-10, 350)) for _ in range(400)]
-    counts = rows_written(changes)
-    s = spark.createDataFrame(syms, "id string, file string, start_line int, end_line int")
-    got = {(x["file"], x["line"]): x["id"] for x in changes.innermost_symbols(spark.createDataFrame(points, "file string, line int").distinct(), s).collect()}
-    want = {}
-    for file, line in points:
-        around = [(b - a, i) for i, f, a, b in syms if f == file and a <= line <= b]
-        want[file, line] = min(around)[1] if around else f"file:{file}"
-    # A span of 200 lines has 14 blocks at most; no row for a line and a symbol around it.
-    assert got == want and max(counts) <= 14 * len(syms)
-
-
 def test_impact_writes_no_graph(spark, rows_written):
     rows = [("b", "a", "CALLS", 5, 1), ("c", "b", "CALLS", 5, 2)] + [(f"x{i}", f"y{i}", "CALLS", 5, 1) for i in range(300)]
     counts = rows_written(graph)
@@ -101,3 +86,34 @@ def test_impact_of_a_frontier_that_is_not_broadcast(spark, monkeypatch):
         got = graph.impact(edges(spark, rows), roots, max_impacted=cap)
         monkeypatch.undo()
         assert sorted(map(str, got.reached.collect())) == sorted(map(str, want.reached.collect())) and got.truncated == want.truncated
+
+
+def test_innermost_symbols_equal_all_pairs(spark, rows_written):
+    r = random.Random(9)
+    syms = [(f"s{i:03}", f"f{r.randrange(2)}", a, a + r.choice([-1, 0, 0, 1, 2, 5, 30, 200])) for i, a in ((i, r.randrange(-5, 300)) for i in range(300))]
+    points = [(f"f{r.randrange(3)}", r.randrange(-10, 350)) for _ in range(400)]
+    counts = rows_written(changes)
+    s = spark.createDataFrame(syms, "id string, file string, start_line int, end_line int")
+    got = {(x["file"], x["line"]): x["id"] for x in changes.innermost_symbols(spark.createDataFrame(points, "file string, line int").distinct(), s).collect()}
+    want = {}
+    for file, line in points:
+        around = [(b - a, i) for i, f, a, b in syms if f == file and a <= line <= b]
+        want[file, line] = min(around)[1] if around else f"file:{file}"
+    # A span of 200 lines has 14 blocks at most; no row for a line and a symbol around it.
+    assert got == want and max(counts) <= 14 * len(syms)
+
+
+def test_calls_of_one_kind_are_told_once(spark, rows_written):
+    from ripplegraph.operators import hierarchy
+
+    types = spark.createDataFrame([("B",), ("A",)], "id string")
+    closure = spark.createDataFrame([("B", "B", 0), ("B", "A", 1), ("A", "A", 0)], "id string, above string, distance int")
+    methods = spark.createDataFrame([(f"m{i:02}", "A", "f", f"s{i % 10}", 1, False) for i in range(30)] + [("n", "B", "f", "s3", 1, False)], "id string, owner string, name string, signature string, params int, varargs boolean")
+    calls = spark.createDataFrame([(f"c{i:02}", "B", "f", 1 if i % 2 else None) for i in range(60)] + [("c00", "A", "f", 1), ("d", "A", "g", None), ("d", "A", "g", 2)], "call string, type string, name string, arity int")
+    counts = rows_written(hierarchy)
+    got = [tuple(r) for r in hierarchy.method_candidates(calls, closure, types.filter("id = 'A'"), methods).collect()]
+    want = {f"m{i:02}" for i in range(10) if i != 3} | {"n"}
+    # c00 has a row of A too, of which m03 is as near as n is of B.
+    kept = lambda i, m: "m03" if (i, m) == (0, "n") else m
+    assert sorted(got, key=str) == sorted([(f"c{i:02}", kept(i, m), 3, "FOUND") for i in range(60) for m in want] + 2 * [("d", None, None, "EXTERNAL")], key=str)
+    assert max(counts) <= 63
