@@ -119,16 +119,22 @@ def resolved_exports(wanted: DataFrame, exports: DataFrame) -> DataFrame:
     said = names.join(own, ["module", "name"], "left").join(beyond, "module", "left")
     outside = outside | (F.col("kind").isNull() & (F.col("name") != "default") & F.coalesce("beyond", F.lit(False)))
     first = written(said.select("module", "name", value.alias("lo"), value.alias("hi"), outside.alias("outside")).filter("lo is not null or outside"), "values")
-    values = first
+    values = changed = first
+    ways = written(ways, "ways")
     while True:
-        there = values.select(F.col("module").alias("to_module"), F.col("name").alias("to_name"), "lo", "hi", "outside")
-        came = ways.join(there, ["to_module", "to_name"]).select("module", "name", "lo", "hi", (F.col("outside") & ~F.col("star")).alias("outside"))
-        after = first.unionByName(came).groupBy("module", "name").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("outside").alias("outside"))
-        after = written(after.filter("lo is not null or outside"), "values")
-        changed = after.join(values, [after[c].eqNullSafe(values[c]) for c in ("module", "name", "lo", "hi", "outside")], "left_anti").count()
-        values = after
-        if not changed:
+        # Only what changed in the round before goes on along the ways.
+        there = changed.select(F.col("module").alias("to_module"), F.col("name").alias("to_name"), "lo", "hi", "outside")
+        came = ways.join(there, ["to_module", "to_name"]).groupBy("module", "name").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.col("outside") & ~F.col("star")).alias("outside"))
+        had = values.select("module", "name", *(F.col(c).alias(f"old_{c}") for c in ("lo", "hi", "outside")))
+        both = came.filter("lo is not null or outside").join(had, ["module", "name"], "left")
+        grown = {"lo": F.least("lo", "old_lo"), "hi": F.greatest("hi", "old_hi"), "outside": F.col("outside") | F.coalesce("old_outside", F.lit(False))}
+        moved = ~(F.col("lo").eqNullSafe(F.col("old_lo")) & F.col("hi").eqNullSafe(F.col("old_hi")) & F.col("outside").eqNullSafe(F.col("old_outside")))
+        changed = written(both.withColumns(grown).filter(moved).select("module", "name", "lo", "hi", "outside"), "values")
+        if changed.isEmpty():
             break
+        # lo only falls and hi only rises: of a name's rows the least and the greatest count.
+        values = values.unionByName(changed).groupBy("module", "name").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("outside").alias("outside"))
+        values = written(values, "values")
     out = wanted.select("module", "name").distinct().join(values, ["module", "name"], "left")
     # Only where nothing is found inside does the name come from outside.
     found = F.coalesce("lo", F.when(F.col("outside"), EXTERNAL))
