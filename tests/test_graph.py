@@ -128,6 +128,19 @@ def test_ancestors_of_one_commit(spark):
         graph.ancestors_of(df, "c250", most=100)
 
 
+def test_ancestors_that_grow_are_not_broadcast(spark, monkeypatch):
+    chain = spark.createDataFrame([(f"c{i}", f"c{i - 1}") for i in range(1, 200)] + [(f"c{i}", f"s{i}") for i in range(0, 200, 9)], "id string, parent string")
+    plans = []
+    keep = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, name))[1])
+    monkeypatch.setattr(graph, "FEW_ABOVE", 0, raising=False)
+    assert graph.ancestors_of(chain, "c150").count() == 151 + 17
+    assert not any("BroadcastHashJoin" in p for p in plans)
+    assert graph.ancestors_of(chain, "c150", most=None).count() == 151 + 17
+    with pytest.raises(ValueError):
+        graph.ancestors_of(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent string"), "a", most=None)
+
+
 def test_more_roots_than_may_be_reached(spark):
     rows = [(f"u{i}", f"r{i}", "CALLS", 5, 1) for i in range(5500, 6000)]
     g = edges(spark, rows)
