@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.operators import changes, graph
 from ripplegraph.plans.queries import ORACLES, QUERIES
-from tests.test_graph import edges
+from tests.test_graph import brute, edges
 
 
 @pytest.fixture
@@ -117,3 +117,29 @@ def test_calls_of_one_kind_are_told_once(spark, rows_written):
     kept = lambda i, m: "m03" if (i, m) == (0, "n") else m
     assert sorted(got, key=str) == sorted([(f"c{i:02}", kept(i, m), 3, "FOUND") for i in range(60) for m in want] + 2 * [("d", None, None, "EXTERNAL")], key=str)
     assert max(counts) <= 63
+
+
+def test_symbols_that_lead_nowhere_have_no_row_for_each_query(spark, rows_written):
+    # Ten methods in a line, each with 40 callers that nothing depends on.
+    rows = [(f"m{i}", f"m{i - 1}", "OVERRIDES", 5, 1) for i in range(1, 10)] + [(f"c{i}-{j:02}", f"m{i}", "CALLS", 5, 1) for i in range(10) for j in range(40)]
+    counts = rows_written(graph)
+    got = graph.impact_many(edges(spark, rows), spark.createDataFrame([(i, f"m{i}") for i in range(10)], "query int, id string"))
+    steps = 18 + 400
+    assert max(counts) <= steps
+    # Five steps to either side, and the callers of these; six for methods.
+    assert got.count() == sum(abs(i - j) <= 6 for i in range(10) for j in range(10)) - 10 + 40 * sum(abs(i - j) <= 5 for i in range(10) for j in range(10))
+
+
+def test_impact_of_many_roots_by_short_lists(spark, monkeypatch):
+    r = random.Random(21)
+    rows = list({(f"s{r.randrange(30):02}", f"s{r.randrange(14):02}", r.choice(["CALLS", "CALLS", "OVERRIDES", "CONTAINS"])): 0 for _ in range(90)})
+    rows = [(*x, s, line) for x in rows for s, line in ((r.choice([3, 4]), 2), (r.choice([3, 5]), 1))]
+    # Roots that lead nowhere, that lead further, that are no symbols of the graph, and twice the same.
+    roots = [(q, f"s{(q * 7 + k * 11) % 32:02}") for q in range(12) for k in range(3)] + [(3, "s21")]
+    want = {(q, k, *v[:3]) for q in range(12) for k, v in brute(rows, {i for p, i in roots if p == q}, depth=3)[0].items()}
+    for name, value in (("LISTED", 2), ("TASK_WAYS", 5), ("BROADCAST_ROWS", 1)):
+        monkeypatch.setattr(graph, name, value)
+    df = spark.createDataFrame(roots, "query int, id string")
+    got = [tuple(x) for x in graph.impact_many(edges(spark, rows), df, 3).collect()]
+    assert len(got) == len(set(got)) == len(want) > 100 and set(got) == want
+    assert graph.impact_many(edges(spark, rows), df, 0).count() == 0
