@@ -119,6 +119,13 @@ def test_calls_of_one_kind_are_told_once(spark, rows_written):
     assert max(counts) <= 63
 
 
+def test_impact_of_every_part_goes_all_the_way(spark):
+    got = QUERIES["impact_of_every_part"](spark, "/root/testdata/sf0.001")
+    assert {r["depth"] for r in got.select("depth").distinct().collect()} == {1, 2, 3, 4, 5, 6}
+    one = QUERIES["impact_bfs"](spark, "/root/testdata/sf0.001").select("id", "depth", "strength", "parent")
+    assert sorted(map(tuple, got.filter("query = 7").select(one.columns).collect())) == sorted(map(tuple, one.collect()))
+
+
 def test_symbols_that_lead_nowhere_have_no_row_for_each_query(spark, rows_written):
     # Ten methods in a line, each with 40 callers that nothing depends on.
     rows = [(f"m{i}", f"m{i - 1}", "OVERRIDES", 5, 1) for i in range(1, 10)] + [(f"c{i}-{j:02}", f"m{i}", "CALLS", 5, 1) for i in range(10) for j in range(40)]
