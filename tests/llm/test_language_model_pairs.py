@@ -48,3 +48,11 @@ def test_rare_pairs_and_words_score_as_common_ones(spark, monkeypatch):
     for some in got[1:]:
         for x, y in zip(got[0], some, strict=True):
             assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], abs=1e-6)
+
+
+def test_the_exact_way_on_odd_rows(odd, none):
+    near, far = (sorted((tuple(r) for r in f(odd).collect()), key=str) for f in (language_model.scored_by_pairs, language_model.scored))
+    key = lambda r: str(r[:5])
+    for x, y in zip(sorted(near, key=key), sorted(far, key=key), strict=True):
+        assert x[:5] == y[:5] and x[5] == pytest.approx(y[5], abs=1e-6)
+    assert language_model.scored_by_pairs(none).collect() == []
